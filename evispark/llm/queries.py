@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, quality_rules, simhash
+from . import byte_bpe, language_id, packing, quality_rules, simhash
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.learn(docs))
+    return found.select("doc_id", language_id.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id")
@@ -31,6 +37,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_trees": op2_quality_trees,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_cross_parsing": op7_cross_parsing,
     "op9_simhash": op9_simhash,
     "op10_curve_packing": op10_curve_packing,
 }
