@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, importance, language_id, packing, quality_rules, simhash
+from . import byte_bpe, importance, language_id, packing, quality_rules, simhash, url_rules
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.learn(docs))
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
     "op2_quality_trees": op2_quality_trees,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_url_rules": op6_url_rules,
     "op7_cross_parsing": op7_cross_parsing,
     "op9_simhash": op9_simhash,
     "op10_curve_packing": op10_curve_packing,
