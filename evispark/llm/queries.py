@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, importance, language_id, packing, quality_rules, simhash, url_rules
+from . import byte_bpe, importance, language_id, packing, quality_rules, simhash, tool_calls, url_rules
 from .common import table
 
 
@@ -33,6 +34,15 @@ def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
 
 
+#: Tools of the query; conversations that call none are messages only.
+TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "calculate": {"expression": ("string", True)}}
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tool_calls.link(table(spark, sf_dir, "conversations"), TOOLS)
+    return found.select("conv_id", "turn", "pos", "kind", "call_id", "name", "level", "status", F.array_join("errors", ",").alias("errors"), "json")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id")
@@ -48,8 +58,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_url_rules": op6_url_rules,
     "op7_cross_parsing": op7_cross_parsing,
+    "op8_tool_calls": op8_tool_calls,
     "op9_simhash": op9_simhash,
     "op10_curve_packing": op10_curve_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # The tables hold no tool calls: every turn is a message.
+    "op8_tool_calls": """
+        SELECT conv_id, turn, CAST(0 AS INTEGER) AS pos, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
+               CAST(NULL AS VARCHAR) AS name, CAST(0 AS INTEGER) AS level, 'message' AS status, '' AS errors,
+               '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":'
+                   || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
+        FROM conversations
+    """,
+}
