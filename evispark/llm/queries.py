@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, importance, language_id, packing, quality_rules, simhash, tool_calls, url_rules
+from . import byte_bpe, graph_search, importance, language_id, packing, quality_rules, simhash, tool_calls, url_rules
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_search.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -55,6 +60,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
     "op2_quality_trees": op2_quality_trees,
+    "op3_graph_search": op3_graph_search,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_url_rules": op6_url_rules,
     "op7_cross_parsing": op7_cross_parsing,
