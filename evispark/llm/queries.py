@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, graph_search, importance, language_id, packing, quality_rules, simhash, tool_calls, url_rules
+from . import byte_bpe, graph_search, importance, language_id, packing, quality_rules, simhash, suffix_dedup, tool_calls, url_rules
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
     "op2_quality_trees": op2_quality_trees,
     "op3_graph_search": op3_graph_search,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_url_rules": op6_url_rules,
     "op7_cross_parsing": op7_cross_parsing,
