@@ -16,7 +16,9 @@ without words.  An empty table gives no rows.  Extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -125,15 +127,20 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = 0.5, deviatio
     return out
 
 
+def weights(raw: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, summed log ratio) of each document of a block."""
+    bucket, doc = grams(raw, offsets)
+    n = np.bincount(doc, minlength=len(offsets) - 1).astype(np.int64)
+    return n, np.bincount(doc, ratios[bucket], len(offsets) - 1)
+
+
 def weigh(df: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams long, log_weight double): the summed log ratio, a row for each row of df."""
-    shared = df.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))  # fixed size
+    """(doc_id, n_grams long, log_weight double), a row for each row of df."""
+    shared = df.sparkSession.sparkContext.broadcast(ratios)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", BLOCK_BYTES):
-            bucket, doc = grams(*buffer_of(b.column("text")))
-            n = np.bincount(doc, minlength=b.num_rows).astype(np.int64)
-            total = np.bincount(doc, shared.value[bucket], b.num_rows)
+            n, total = weights(*buffer_of(b.column("text")), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total)], ["doc_id", "n_grams", "log_weight"])
 
     return df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
@@ -180,9 +187,17 @@ def gumbel(column: str):
     return -F.log(-F.log(unit))
 
 
-def resample(df: DataFrame, labels: DataFrame, temperature: float = 0.02, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key and kept, a row for each row of df."""
-    spark = df.sparkSession
+@dataclass
+class Sampler:
+    """Log ratios of the buckets, and the smallest key that is sampled."""
+
+    ratios: np.ndarray
+    temperature: float
+    limit: float
+
+
+def fit(df: DataFrame, labels: DataFrame, temperature: float = 0.02, max_labelled: int = MAX_LABELLED) -> tuple[Sampler, DataFrame]:
+    """The sampler for df, and what it weighed: doc_id, n_grams, log_weight, gumbel_key, a row for each row of df."""
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("quality"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumn("good", (F.col("quality") == 1) & (F.col("toxic") == 0))
     marked = F.broadcast(chosen.select("doc_id", "good"))  # at most max_labelled rows
@@ -194,4 +209,26 @@ def resample(df: DataFrame, labels: DataFrame, temperature: float = 0.02, max_la
     cut = best_cut(np.array([r[1] for r in seen if r[0]]), np.array([r[1] for r in seen if not r[0]])) if target.any() else -np.inf
     with_words = weighed.filter("n_grams > 0")
     limit = kth_largest(with_words, "gumbel_key", with_words.filter(F.col("log_weight") >= cut).count())
-    return weighed.withColumn("kept", (F.col("n_grams") > 0) & (F.col("gumbel_key") >= F.lit(limit)))
+    return Sampler(ratios, temperature, limit), weighed
+
+
+def resample(df: DataFrame, labels: DataFrame, temperature: float = 0.02, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, n_grams, log_weight, gumbel_key and kept, a row for each row of df."""
+    sampler, weighed = fit(df, labels, temperature, max_labelled)
+    return weighed.withColumn("kept", (F.col("n_grams") > 0) & (F.col("gumbel_key") >= F.lit(sampler.limit)))
+
+
+def sampled(df: DataFrame, labels: DataFrame, temperature: float = 0.02, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of df, with all their columns, that are sampled; texts are weighed again where they stand, not shuffled."""
+    sampler, _ = fit(df, labels, temperature, max_labelled)
+    shared = df.sparkSession.sparkContext.broadcast(sampler)
+    noise = f"noise_{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for b in slices(batches, "text", BLOCK_BYTES):
+            n, total = weights(*buffer_of(b.column("text")), s.ratios)
+            keys = total / s.temperature + b.column(noise).to_numpy()
+            yield b.filter(pa.array((n > 0) & (keys >= s.limit))).drop_columns([noise])
+
+    return df.withColumn(noise, gumbel("doc_id")).mapInArrow(run, df.schema)

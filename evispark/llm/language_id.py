@@ -182,17 +182,25 @@ def learn(df: DataFrame, max_docs: int = MAX_DOCS, max_symbols: int = MAX_SYMBOL
     return CrossParser(out)
 
 
-def predict(df: DataFrame, parser: CrossParser, keep_columns: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score, a row for each row of df; with ``keep_columns`` its columns come first."""
+def predict(df: DataFrame, parser: CrossParser) -> DataFrame:
+    """doc_id, lang_pred, score, a row for each row of df."""
     shared = df.sparkSession.sparkContext.broadcast(parser)  # bounded: languages times symbols learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", BLOCK_BYTES):
             names, score = shared.value.judge(b.column("text").to_pylist())
-            columns = b.columns if keep_columns else [b.column("doc_id")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score)], [*(b.schema.names if keep_columns else ["doc_id"]), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    if keep_columns:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
     return df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(df: DataFrame, parser: CrossParser) -> DataFrame:
+    """The rows of df, with all their columns, whose text is in a learned language: all but those without a letter."""
+    shared = df.sparkSession.sparkContext.broadcast(parser)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", BLOCK_BYTES):
+            names, _ = shared.value.judge(b.column("text").to_pylist())
+            yield b.filter(pa.array([n != UNKNOWN for n in names]))
+
+    return df.mapInArrow(run, df.schema)

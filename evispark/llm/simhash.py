@@ -142,7 +142,7 @@ def _keyed(df: DataFrame, masks: Column) -> DataFrame:
     return df.select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 2, block: int = 4096) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = 2, block: int = 8192) -> DataFrame:
     """(a, b): fingerprints whose connected components are those of all pairs within the radius.
 
     ``distinct`` has distinct values in fp.  Buckets beyond ``block`` are split until none is.
@@ -201,5 +201,16 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, seed: int =
     return marked.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(df: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of df (doc_id, text, ...) without near-duplicates: of each component the row of the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays.  Rows without doc_id stand in no component and stay.
+    """
+    found = near_duplicates(df.filter("doc_id IS NOT NULL"), words, radius)
+    first = materialize(found.filter("doc_id = component_id").select("doc_id").distinct())
+    stay = df.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(df.filter("doc_id IS NULL"))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -364,12 +366,54 @@ def _cut(with_text: bool):
     return run
 
 
+def _keyed(df: DataFrame, doc: str, th: str) -> DataFrame:
+    """df with two columns more that tell documents apart."""
+    text_hash = F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND((1 << TEXT_BITS) - 1)
+    return df.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(th, text_hash)
+
+
+def _spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
+    """(doc, th, spans: intervals to remove, which may overlap)."""
+    found = repeats(docs, length, hot)
+    spans = materialize(found.groupBy("doc", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "zstd")
+    reclaim(docs)
+    return spans
+
+
 def deduplicate(df: DataFrame, length: int = 100, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (binary), a row for each row of df."""
-    th = F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND((1 << TEXT_BITS) - 1)
-    docs = df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("th", th)
-    found = repeats(docs.select("doc", "th", "text"), length, hot)
-    spans = materialize(found.groupBy("doc", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "zstd")
-    reclaim(df)
+    docs = _keyed(df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text"), "doc", "th")
+    spans = _spans(docs.select("doc", "th", "text"), length, hot)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return docs.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(with_text), kind)
+
+
+def cut_texts(df: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
+    """The rows of df with repeats cut out of text; characters of which a part was cut go whole; n_chars follows."""
+    doc, th, spans = (f"{n}_{uuid.uuid4().hex}" for n in ("doc", "th", "spans"))
+    keyed = _keyed(df, doc, th)
+    found = _spans(keyed.select(F.col(doc).alias("doc"), F.col(th).alias("th"), "text"), length, hot)
+    found = found.withColumnsRenamed({"doc": doc, "th": th, "spans": spans})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 4 << 20):
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            kept = []
+            for data, cuts in zip(texts, b.column(spans).to_pylist(), strict=True):
+                if not cuts:
+                    kept.append(data)
+                    continue
+                parts, at = [], 0
+                for first, last in sorted((r["first"], r["last"]) for r in cuts):
+                    parts.append(data[at : max(at, first)])
+                    at = max(at, last)
+                kept.append(b"".join(p.decode("utf-8", "ignore").encode() for p in (*parts, data[at:])))
+            text = pa.array(kept, pa.binary()).cast(b.schema.field("text").type)
+            b = b.drop_columns([spans])
+            b = b.set_column(b.schema.get_field_index("text"), "text", text)
+            at = b.schema.get_field_index("n_chars")
+            if at >= 0:
+                b = b.set_column(at, "n_chars", pc.utf8_length(text).cast(b.schema.field(at).type))
+            yield b
+
+    return keyed.join(found, [doc, th], "left").select(*df.columns, spans).mapInArrow(run, df.schema)
