@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing the package registers them in the catalog."""
 
-from . import evaluation, relational  # noqa: F401
+from . import evaluation, relational, scalars  # noqa: F401
