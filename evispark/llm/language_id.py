@@ -104,10 +104,13 @@ class CrossParser:
             width = len(used) + 1  # the last column: a symbol that the sample lacks is a phrase by itself
             code = np.full(SYMBOLS, len(used), np.uint8)
             code[used] = np.arange(len(used))
-            root = np.append(moves[0], 0)
-            full = np.concatenate([moves, np.full((len(moves), 1), -1, np.int32)], 1)
+            # One state more: after a symbol that the sample lacks, whatever follows begins a phrase.
+            alone = len(moves)
+            root = np.append(moves[0], alone)
+            full = np.concatenate([np.concatenate([moves, np.full((alone, 1), -1, np.int32)], 1), np.full((1, width), -1, np.int32)])
             ended = full < 0
-            full = np.where(ended, root[None, :], full)
+            ended[0] = False
+            full = np.where(full < 0, root[None, :], full)
             self.code.append(code)
             self.width.append(width)
             # An entry is the next state's row start, doubled, plus 1 if a phrase ended before this symbol.
