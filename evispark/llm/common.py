@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -46,8 +47,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and share a limit with their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the bytes of ``column`` in each stay near ``limit``; a longer text has a slice of its own."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,6 +70,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             stop = min(max(stop, begin + 1), batch.num_rows)
             yield batch.slice(begin, stop - begin)
             begin = stop
+        del batch, col
+        give_back()
 
 
 def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ TABLES = (slice(0, 1 << WORD_BITS), slice(1 << WORD_BITS, (1 << WORD_BITS) + (1
 #: Bytes of a token's beginning.
 BEGINNING = 6
 #: Counts go to the reducers in so many parts; bytes of text in a block.
-PARTS, BLOCK_BYTES = 64, 8 << 20
+PARTS, BLOCK_BYTES = 64, 1 << 20
 PART = SIZE // PARTS
 #: Labelled documents from which the target model and the cut-off are learned at most.
 MAX_LABELLED = 40_000
@@ -72,8 +72,10 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for hashes, docs, bits in ((word, doc, WORD_BITS), (pair, doc[1:][inside], PAIR_BITS), (begins, doc[longer], PAIR_BITS)):
         parts.append(docs * SIZE + base + (hashes >> np.uint64(64 - bits)).astype(np.int64))
         base += 1 << bits
-    both = np.unique(np.concatenate(parts))
-    return both % SIZE, both // SIZE
+    both = np.sort(np.concatenate(parts))
+    both = both[np.append(True, both[1:] != both[:-1])]
+    docs = both // SIZE
+    return both - docs * SIZE, docs
 
 
 def gram_counts(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, buffer_of, mix, prefix_hash, slices, span_hash, word_spans
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 DIGIT = np.zeros(256, bool)

@@ -28,7 +28,7 @@ from .common import buffer_of, materialize, release, slices
 
 BITS = 64
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def fingerprint(text: bytes, words: int, seed: int) -> int:

@@ -41,7 +41,7 @@ GRAM = 32
 #: A perfect difference set: every residue modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of text in a block, anchors that a task settles together, windows of a sorting block, stretches of a hot bucket.
-BLOCK_BYTES, TOGETHER, WINDOWS, HOT = 1 << 20, 1_000_000, 400_000, 200_000
+BLOCK_BYTES, TOGETHER, WINDOWS, HOT = 1 << 20, 400_000, 200_000, 200_000
 #: Layout of ``place``: 21 bits of the text's hash, 28 of the anchor's position, 7 each of its least and largest offset.
 TEXT_BITS, POS_BITS = 21, 28
 NULL_ID = -(1 << 63)
@@ -339,7 +339,7 @@ def repeats(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             out: list[list] = [[], [], [], [], []]
             for data, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = data or b""
@@ -396,7 +396,7 @@ def cut_texts(df: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     found = found.withColumnsRenamed({"doc": doc, "th": th, "spans": spans})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             kept = []
             for data, cuts in zip(texts, b.column(spans).to_pylist(), strict=True):
