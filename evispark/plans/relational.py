@@ -32,7 +32,7 @@ def _(t: Tables):
 @query(
     "d2_nested_rollup",
     """
-    SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR) || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS items,
+    SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR) || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS items,
            CAST(max(CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END) AS INTEGER) AS worst, count(*) AS n
     FROM lineitem GROUP BY l_orderkey
     """,
