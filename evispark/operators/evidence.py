@@ -92,7 +92,7 @@ def ground(items: DataFrame, documents: DataFrame) -> DataFrame:
     at = F.position(F.col("snippet"), F.col("text"))
     n = F.floor((F.length("text") - F.length(F.replace("text", F.col("snippet"), F.lit("")))) / F.greatest(F.length("snippet"), F.lit(1)))
     given = F.substring(F.col("text"), F.col("start") + 1, F.length("snippet")) == F.col("snippet")
-    label = F.when(blank(F.col("snippet")) | F.col("text").isNull(), "missing").when(F.coalesce(given, F.lit(False)), "exact").when(n == 1, "corrected").when(n > 1, "ambiguous").when(T.fragments_in_order(F.col("snippet"), F.col("text")), "ellipsis").otherwise("missing")
+    label = F.when(blank(F.col("snippet")) | F.col("text").isNull(), "missing").when(F.coalesce(given, F.lit(False)), "exact").when(n == 1, "corrected").when(n > 1, "ambiguous").when(F.rlike("snippet", F.lit(r"\.{3}|…")) & T.fragments_in_order(F.col("snippet"), F.col("text")), "ellipsis").otherwise("missing")
     out = j.withColumn("grounding", label)
     start = F.when(F.col("grounding") == "exact", F.col("start")).when(F.col("grounding") == "corrected", at - 1)
     return out.withColumn("start", start.cast("int")).withColumn("end", (F.col("start") + F.length("snippet")).cast("int")).drop("text")
