@@ -28,7 +28,7 @@ from .common import buffer_of, materialize, prefix_hash, slices, span_hash, word
 #: Hashed features, dimensions of the curve and bits in each.
 FEATURES, DIMENSIONS, BITS = 256, 4, 12
 #: Bytes of text in a block, and pieces and chunks remembered by a worker.
-BLOCK_BYTES, REMEMBERED, REMEMBERED_CHUNKS = 8 << 20, 500_000, 2_500_000
+BLOCK_BYTES, REMEMBERED, REMEMBERED_CHUNKS = 2 << 20, 400_000, 1_500_000
 #: How the vocabulary's own rules split lower-cased text without white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
@@ -161,9 +161,9 @@ class WordTokenizer:
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             begin = len(self.pool) + np.cumsum(sizes) - sizes
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
-            keys = np.concatenate([self.known, new])
-            order = np.argsort(keys, kind="stable")
-            self.known, self.at = keys[order], np.concatenate([self.at, np.stack([begin, sizes], 1)])[order]
+            place = np.searchsorted(self.known, new)
+            self.known = np.insert(self.known, place, new)
+            self.at = np.insert(self.at, place, np.stack([begin, sizes], 1), axis=0)
         begin, sizes = self.at[np.searchsorted(self.known, hashes)][which].T
         stop = np.cumsum(sizes)
         ids = self.pool[np.repeat(begin - (stop - sizes), sizes) + np.arange(stop[-1])]
