@@ -13,7 +13,7 @@ from evispark.llm import importance, language_id, packing, simhash, suffix_dedup
 from evispark.llm.common import materialize, table
 
 #: Near-duplicates of the pipeline.  Few edits flip fewer bits of a fingerprint of two-word shingles than of longer ones.
-NEAR = {"words": 2, "radius": 5}
+NEAR = {"words": 2, "radius": 6}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
