@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing the package registers them in the catalog."""
 
-from . import documents, evaluation, evidence, relational, scalars  # noqa: F401
+from . import documents, evaluation, evidence, more, relational, scalars  # noqa: F401

@@ -94,3 +94,25 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     want = {(r["win"]["start"], r["s"], r["f"]) for r in batch.collect()}
     closed = {(r["win"]["start"], r["successes"], r["failures"]) for r in spark.table("health").collect()}
     assert closed and closed <= want
+
+
+def test_logistic_separates_and_folds_are_held_out(spark):
+    import numpy as np
+
+    from evispark.operators import learning as N
+
+    rng = np.random.default_rng(0)
+    rows = [(f"f{i % 4}", float(a), float(b), int(a + 0.2 * b > 0)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "fold string, a double, b double, y int")
+    got = N.leave_one_out(df, "fold", ["a", "b"], "y").toPandas()
+    assert len(got) == 200 and ((got.probability > 0.5) == (got.label > 0.5)).mean() > 0.9
+    grid = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0)], "grid_id int, w_a double, w_b double")
+    assert N.weighted_grid(df, ["a", "b"], grid).filter("grid_id = 1 AND abs(score - b) > 1e-9").count() == 0
+
+
+def test_change_rate(spark):
+    from evispark.operators import learning as N
+
+    p = spark.createDataFrame([(0, "k", "x"), (0, "l", None), (1, "k", "y"), (1, "l", None)], "grid_id int, k string, v string")
+    got = {r["grid_id"]: r["changed"] for r in N.changed_rate(p, p.filter("grid_id = 0"), ["k"], "v").collect()}
+    assert got == {0: 0.0, 1: 0.5}
