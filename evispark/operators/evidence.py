@@ -263,3 +263,25 @@ def literature_graph(chains_: DataFrame) -> tuple[DataFrame, DataFrame]:
     edge = F.explode(F.array(F.struct(at("gene").alias("src"), at("disease").alias("dst"), F.lit("ASSOCIATED_WITH").alias("rel_type")), F.struct(at("variant").alias("src"), at("disease").alias("dst"), F.lit("OBSERVED_IN").alias("rel_type")))).alias("e")
     edges = chains_.select(edge).select("e.*").filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst", "rel_type").agg(F.count("*").alias("evidence_count"))
     return nodes, edges
+
+
+def quality_report(items: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Per document: items by status, found ones without source, missing required fields, whether it passes and can be scored."""
+    s = F.col("status")
+    n = items.groupBy("document_id").agg(
+        *(F.count_if(s == k).alias(k) for k in ("found", "not_found", "source_invalid", "ocr_gap", "table_ungrounded")),
+        F.count_if((s == "found") & blank(F.col("snippet"))).alias("missing_source"),
+        F.array_sort(F.array_except(F.array(*(F.lit(r) for r in required)), F.collect_set(F.when(s == "found", F.col("field_id"))))).alias("missing_required"),
+    )
+    review = F.col("source_invalid") + F.col("ocr_gap") + F.col("table_ungrounded") > 0
+    return n.withColumn("review", review).withColumn("passed", (F.col("missing_source") == 0) & (F.size("missing_required") == 0)).withColumn("scorable", F.col("found") > 0)
+
+
+def missing_fields(expected: DataFrame, found: DataFrame, sources: DataFrame) -> DataFrame:
+    """Expected facts (document_id, field_id, value) that were not found, with what the source (document_id, text) shows of them."""
+    gone = expected.join(found.select("document_id", "field_id").distinct(), ["document_id", "field_id"], "left_anti")
+    j = gone.join(sources, "document_id", "left")
+    shown = F.coalesce(F.contains(F.lower("text"), F.lower("value")), F.lit(False))
+    cue_ = F.coalesce(cue(F.col("text"), "causal") | cue(F.col("text"), "direct"), F.lit(False))
+    why = F.when(F.col("text").isNull(), "no_source").when(shown, "span_selected_but_field_missing").when(cue_, "normalization_gap").otherwise("span_not_selected")
+    return j.select("document_id", "field_id", "value", why.alias("cause"))

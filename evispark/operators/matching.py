@@ -119,3 +119,37 @@ def margin_decision(ranked: DataFrame, threshold: float, margin: float) -> DataF
     best = ranked.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("rank") == 1, F.col("vec_id"))).alias("vec_id"))
     status = F.when(F.col("first") < threshold, "unmapped").when(F.col("first") - F.col("second") < margin, "ambiguous").otherwise("standardized")
     return best.select("query_id", status.alias("status"), "vec_id")
+
+
+def by_gene_context(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One variant entry a mention: the smallest id of the best alias tier among entries of the mention's gene; without
+    any of that gene a single candidate stands, and several are dropped.
+
+    mentions (mention_id, gene), candidates (mention_id, entry_id, gene_symbol, alias_type).
+    """
+    j = candidates.join(mentions.select("mention_id", F.upper(F.trim("gene")).alias("_gene")), "mention_id", "left")
+    same = F.coalesce((F.upper(F.trim("gene_symbol")) == F.col("_gene")) & (F.col("_gene") != ""), F.lit(False))
+    tier = F.lit(99)
+    for k, v in ALIAS_TIER.items():
+        tier = F.when(F.col("alias_type") == k, v).otherwise(tier)
+    g = j.groupBy("mention_id").agg(F.min(F.when(same, F.struct(tier.alias("t"), "entry_id"))).alias("s"), F.countDistinct("entry_id").alias("n"), F.min("entry_id").alias("only"))
+    entry = F.when(F.col("s").isNotNull(), F.col("s.entry_id")).when(F.col("n") == 1, F.col("only"))
+    return g.select("mention_id", entry.alias("entry_id")).filter("entry_id IS NOT NULL")
+
+
+def label_lookup(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query, node): the label equal to the query, else the first by position that contains it or lies in it.
+
+    Only what no label equals is compared with all labels; labels (label, node, pos) are an ontology's, read in place.
+    """
+    exact = queries.join(labels.groupBy("label").agg(F.max_by("node", "pos").alias("node")), queries["query"] == F.col("label")).select("query", "node")
+    rest = queries.join(exact.select("query"), "query", "left_anti")
+    near = rest.join(labels, F.contains("label", F.col("query")) | F.contains("query", F.col("label")))
+    return exact.unionByName(near.groupBy("query").agg(F.min_by("node", "pos").alias("node")))
+
+
+def alias_references(relations: DataFrame, aliases: DataFrame, side: str) -> DataFrame:
+    """relations with <side>_id filled: given ids stay, else the smallest entry of the typed alias; unresolved rows go."""
+    first = aliases.groupBy(F.col("entity_type").alias(f"{side}_type"), F.col("alias").alias(f"{side}_alias")).agg(F.min("entry_id").alias("_id"))
+    j = relations.join(first, [f"{side}_type", f"{side}_alias"], "left")
+    return j.withColumn(f"{side}_id", F.coalesce(f"{side}_id", "_id")).drop("_id").filter(F.col(f"{side}_id").isNotNull()).select(*relations.columns)
