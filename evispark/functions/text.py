@@ -290,3 +290,71 @@ def segment(df, text_col: str, max_tokens: int, max_chars: int):
         return s.map(cut)
 
     return df.select("*", F.posexplode(segments(F.col(text_col))).alias("segment_index", "segment"))
+
+
+#: Words that do not tell diseases apart.
+DISEASE_STOPWORDS = ["disease", "syndrome", "disorder", "type", "the", "a", "an", "of", "due", "to", "with", "and", "or"]
+
+
+def disease_match(expected: Column, extracted: Column, least: float = 0.6) -> Column:
+    """As fuzzy_match, on words between blanks and hyphens without those that do not tell diseases apart."""
+    a, b = collapse_spaces(F.lower(expected)), collapse_spaces(F.lower(extracted))
+    words = lambda c: F.array_except(F.array_distinct(F.split(c, r"[\s\-]+")), F.array(*(F.lit(w) for w in DISEASE_STOPWORDS)))
+    overlap = (F.size(words(a)) > 0) & (F.size(words(b)) > 0) & (F.size(F.array_intersect(words(a), words(b))) >= least * F.size(words(a)))
+    return F.coalesce((a != "") & (b != "") & ((a == b) | F.contains(b, a) | F.contains(a, b) | overlap), F.lit(False))
+
+
+def disease_tokens(c: Column) -> Column:
+    """Words of more than two characters that tell diseases apart, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), F.lit(1)), lambda w: (F.length(w) > 2) & ~w.isin(DISEASE_STOPWORDS))
+
+
+def mapped(c: Column, table: dict[str, str]) -> Column:
+    """A text by a small literal map of its lower-cased form; others stay."""
+    out = c
+    for k, v in table.items():
+        out = F.when(F.lower(F.trim(c)) == k, v).otherwise(out)
+    return out
+
+
+def first_bucket(c: Column, buckets: dict[str, list[str]], other: str = "other") -> Column:
+    """The first bucket one of whose words occurs."""
+    low, out = F.lower(c), F.lit(other)
+    for name, words in reversed(list(buckets.items())):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(low, F.lit(w))
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def relationship(c: Column) -> Column:
+    """A gene-disease statement as one of causative, uncertain, disputed, refuted; rules in order, else lower-cased."""
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    has = lambda p: F.rlike(t, F.lit(p))
+    return (
+        F.when(t.isin("", "causative", "uncertain", "disputed", "refuted"), t).when(t.isin("associated", "association", "susceptibility"), "causative")
+        .when(has(r"disput|conflict"), "disputed").when(has(r"\bno (evidence|association)|refut|not associated"), "refuted")
+        .when(has(r"uncertain|limited|insufficient"), "uncertain").when(has(r"\bcaus|pathogenic|responsible"), "causative").otherwise(t)
+    )
+
+
+def difficulty(field_id: Column) -> Column:
+    """Tier of a field by its category."""
+    return F.when(F.startswith(field_id, F.lit("A.")), "simple_explicit").when(F.startswith(field_id, F.lit("B.")), "medium_contextual").when(F.startswith(field_id, F.lit("C.")), "complex_evidence").otherwise("other")
+
+
+def whole_number(c: Column) -> Column:
+    """Ids that a spreadsheet turned into numbers: ``.0`` at the end goes."""
+    return F.regexp_replace(missing_to_null(c), r"^(\d+)\.0$", "$1")
+
+
+def identifier_body(c: Column) -> Column:
+    """An identifier without its scheme."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"^(pmid|doi|pmcid)\s*:\s*", "")
+
+
+def plain_title(c: Column) -> Column:
+    """Lower-cased title of ASCII letters, digits, CJK characters and single blanks."""
+    spaced = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s\-–—]+", " ")
+    return collapse_spaces(F.regexp_replace(spaced, r"[^a-z0-9一-鿿\s]", ""))
