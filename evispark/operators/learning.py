@@ -49,7 +49,7 @@ def leave_one_out(df: DataFrame, fold: str, features: Sequence[str], label: str,
     The samples of an evaluation are a report-sized input; each fold gets a copy of them, and folds run side by side.
     """
     folds = df.select(F.col(fold).alias("_held")).distinct()
-    copies = folds.join(df.select(F.col(fold).alias("_fold"), F.col(label).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f) for f in features)))
+    copies = F.broadcast(folds).join(df.select(F.col(fold).alias("_fold"), F.col(label).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f) for f in features)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held = (pdf["_fold"] == pdf["_held"]).to_numpy()
