@@ -27,20 +27,36 @@ def materialize(df: DataFrame, codec: str = "lz4") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    _WRITTEN.append(path)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evispark_path = path
     return out
 
 
+#: Tables written by this driver and not yet deleted.
+_WRITTEN: list[str] = []
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that no later step reads."""
     for df in frames:
         path = getattr(df, "_evispark_path", None)
         if path:
-            jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that :func:`materialize` wrote; to be called once the results that read them are written."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -358,3 +358,15 @@ def test_url_rules(spark):
 def test_buffer_of_handles_slices_and_nulls():
     raw, offsets = buffer_of(pa.array(["ab", None, "c", ""]).slice(1, 3))
     assert raw.tobytes() == b"c" and offsets.tolist() == [0, 0, 1, 1]
+
+
+def test_written_tables_can_be_deleted(spark):
+    import os
+
+    from evispark.llm import common
+
+    kept = common.materialize(spark.range(3))
+    path = kept._evispark_path.removeprefix("file://")
+    assert os.path.isdir(path) and kept.count() == 3
+    common.clean_up(spark)
+    assert not os.path.exists(path) and not common._WRITTEN
