@@ -139,7 +139,9 @@ def _bucket_links(radius: int, block: int):
 
 
 def _keyed(df: DataFrame, masks: Column) -> DataFrame:
-    return df.select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    # Fingerprints are few bytes, so their table lies in few partitions; what they are multiplied to needs many.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select("fp").repartition(parts, "fp").select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = 2, block: int = 8192) -> DataFrame:
