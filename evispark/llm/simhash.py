@@ -19,10 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import buffer_of, materialize, release, slices
 
@@ -150,7 +152,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, block: int = 8192) -
     ``distinct`` has distinct values in fp.  Buckets beyond ``block`` are split until none is.
     """
     masks = covering_masks(radius)
-    rows, level, found = _keyed(distinct, F.array([F.lit(signed(m)) for m in masks])), masks, None
+    rows, found = _keyed(distinct, F.array([F.lit(signed(m)) for m in masks])), None
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def finer(mask: pd.Series) -> pd.Series:
+        return mask.map({m: [signed(s) for s in halves(m & (1 << BITS) - 1, radius)] for m in mask.unique().tolist()})
+
     while True:
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n"))
         # Few buckets are that large; what comes back to the driver is whether there is one.
@@ -162,10 +169,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, block: int = 8192) -
         found = links if found is None else found.unionByName(links)
         if not some:
             return found
-        finer = F.create_map([x for m in level for x in (F.lit(signed(m)), F.array([F.lit(signed(s)) for s in halves(m, radius)]))])
-        hotter = rows.join(hot, ["mask", "key"]).select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
+        hotter = rows.join(hot, ["mask", "key"]).select("fp", F.explode(finer("mask")).alias("mask"))
         rows = materialize(hotter.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))))
-        level = sorted({s for m in level for s in halves(m, radius)})
 
 
 def components(links: DataFrame) -> DataFrame:
