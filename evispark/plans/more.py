@@ -186,10 +186,10 @@ def _(t: Tables):
     return missing.unionByName(extra)
 
 
-@query("b10_document_profile", "SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 1) AS confidence, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey")
+@query("b10_document_profile", "SELECT o_custkey, count(*) AS n, CAST(round(sum(o_totalprice) * 100) AS BIGINT) AS cents, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey")
 def _(t: Tables):
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 1).alias("confidence"), ids.alias("ids"))
+    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice") * 100).cast("long").alias("cents"), ids.alias("ids"))
 
 
 @query("b17_stale_and_new", "SELECT o_orderkey, 'kept' AS state FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 5 = 0")
