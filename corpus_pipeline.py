@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from evispark.llm import importance, language_id, packing, simhash, suffix_dedup
 from evispark.llm.common import materialize, table
 
-#: Near-duplicates of the pipeline.  Few edits flip fewer bits of a fingerprint of two-word shingles than of longer ones.
-NEAR = {"words": 2, "radius": 6}
+#: Near-duplicates of the pipeline: five-word shingles of Jaccard similarity 0.8 or more, held against the texts.  Pairs
+#: are proposed by bands of minimum hashes and by fingerprints, whose two-word shingles flip fewer bits than longer ones.
+NEAR = {"words": 2, "radius": 6, "shingle": 5, "least": 0.8}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group that links of five-word similarity 0.8 or more make."""
     return simhash.one_of_each(docs, **NEAR)
 
 

@@ -1,8 +1,10 @@
+import random
+
 import corpus_pipeline
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from .fixtures import odd_texts
+from .fixtures import documents, odd_texts, words
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -19,3 +21,34 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert not ids & {0, 1, 2} and 6 not in ids and len(ids & {5, 7}) == 1
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in pieces.collect()} == ids
+
+
+def test_near_duplicates_are_those_of_five_word_similarity(spark):
+    """One stays of each component of exact five-word similarity 0.8 or more, whatever the fingerprints say."""
+    rng = random.Random(8)
+    texts = []
+    for edits in range(0, 13):
+        base = words(rng, 245).split()
+        copy = list(base)
+        for at in rng.sample(range(3, 240), edits):
+            copy[at] = words(rng, 1)
+        texts += [" ".join(base), " ".join(copy)]
+    # Shuffled halves keep most word pairs: fingerprints lie near each other, five-word similarity is far below 0.8.
+    base = words(rng, 240).split()
+    parts = [base[i : i + 4] for i in range(0, 240, 4)]
+    rng.shuffle(parts)
+    texts += [" ".join(base), " ".join(w for p in parts for w in p), None, "  ", "x", "X", "y"]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if (not a and not b) or (a | b and len(a & b) / len(a | b) >= 0.8):
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), "").collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r}
