@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,12 +103,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 1000) -> DataFrame:
-    """Exact k nearest vectors of each of a bounded set of queries (query_id, q); every vector is read once.
+    """Exact k nearest vectors of each query (query_id, q); every vector is read once for each block of queries.
 
-    Queries are a request's: more than ``max_queries`` are refused, so what is broadcast has a known size.
+    Blocks have about half of ``max_queries`` queries, dealt by hash, so what is broadcast at once has a known size.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
+    n = queries.count()
+    if n > max_queries:
+        blocks = -(-2 * n // max_queries)
+        dealt = [_k_nearest(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), vectors, k) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, dealt)
+    return _k_nearest(queries, vectors, k)
+
+
+def _k_nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     pairs = vectors.join(F.broadcast(queries)).filter(F.col("vec_id") != F.col("query_id"))
     scored = pairs.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -588,6 +588,20 @@ def _(t: Tables):
     return M.margin_decision(M.k_nearest(q, t.embeddings, 5), 0.4, 0.05)
 
 
+def every_hundredth(t: Tables):
+    return t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query("e9_knn_whole")
+def _(t: Tables):
+    return M.k_nearest(every_hundredth(t), t.embeddings, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("e10_margin_whole")
+def _(t: Tables):
+    return M.margin_decision(M.k_nearest(every_hundredth(t), t.embeddings, 5), 0.4, 0.05)
+
+
 @query(
     "e13_disjunctive_join",
     "SELECT DISTINCT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey AND (s.s_suppkey = c.c_custkey OR floor(s.s_acctbal / 100) = floor(c.c_acctbal / 100))",
