@@ -123,7 +123,16 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    d = t.documents.filter("doc_id < 40").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("a"))
+    return graded_match(t, t.documents.filter("doc_id < 40"))
+
+
+@query("e17_graded_match_whole")
+def _(t: Tables):
+    return graded_match(t, t.documents)
+
+
+def graded_match(t: Tables, docs):
+    d = docs.select(F.col("doc_id").alias("item_id"), F.lower("text").alias("a"))
     m = t.benchmark.select("item_id", F.lower("text").alias("b")).join(d, "item_id", "left")
     kind = F.when(F.col("a").isNull(), "missing").when(F.col("a") == F.col("b"), "exact").when(F.contains("a", F.col("b")), "normalized").otherwise("wrong_value")
     return m.groupBy(kind.alias("match_type")).agg(F.count("*").alias("n"))

@@ -105,9 +105,18 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
+    return section_state(t.documents.filter("doc_id < 200"))
+
+
+@query("h78_section_state_whole")
+def _(t: Tables):
+    return section_state(t.documents)
+
+
+def section_state(docs):
     from pyspark.sql import Window
 
-    lines = t.documents.filter("doc_id < 200").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     state = F.when(F.length("line") <= 60, (F.col("pos") + 1) % 2 == 1)
     keep = F.last(state, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("keep", F.coalesce(keep, F.lit(True))).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("keep")).alias("kept"))

@@ -1,5 +1,7 @@
 """Queries over whole tables, against brute force."""
 
+import tempfile
+
 import numpy as np
 
 from evispark.operators import matching as M
@@ -27,3 +29,36 @@ def test_many_queries_are_answered_in_blocks(spark):
     q = df.selectExpr("vec_id AS query_id", "embedding AS q")
     rows = lambda n: sorted(tuple(r[c] for c in ("query_id", "vec_id", "rank")) for r in M.k_nearest(q, df, 3, n).collect())
     assert rows(10) == rows(1000) and len(rows(10)) == 120
+
+
+def test_section_state_and_graded_match_read_all_documents(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    marks = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    # Documents beyond the ids that the SQL twins read.
+    fixture = Fixture(spark, [(i + 1000, t) for i, t in docs.items()], [(r["item_id"] + 1000, r["text"]) for r in marks])
+    state = {r["doc_id"]: (r["n"], r["kept"]) for r in fixture.run("h78_section_state_whole")}
+    want = {}
+    for i, text in docs.items():
+        if text is not None:
+            keep, kept, lines = True, 0, text.split("\n")
+            for k, line in enumerate(lines):
+                keep = k % 2 == 0 if len(line) <= 60 else keep
+                kept += keep
+            want[i + 1000] = (len(lines), kept)
+    assert state == want
+    kinds = {}
+    for r in marks:
+        a, b = (docs.get(r["item_id"]) or "").lower(), r["text"].lower()
+        kind = "missing" if docs.get(r["item_id"]) is None else "exact" if a == b else "normalized" if b in a else "wrong_value"
+        kinds[kind] = kinds.get(kind, 0) + 1
+    assert {r["match_type"]: r["n"] for r in fixture.run("e17_graded_match_whole")} == kinds
+
+
+class Fixture:
+    def __init__(self, spark, documents, benchmark):
+        self.spark, self.dir = spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{self.dir}/documents.parquet")
+        spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{self.dir}/benchmark.parquet")
+
+    def run(self, name):
+        return catalog.QUERIES[name](self.spark, self.dir).collect()
