@@ -149,8 +149,17 @@ def _(t: Tables):
 
 @query("j21_weight_grid", "SELECT l_orderkey, l_linenumber, l_partkey, g.id AS grid_id, round(l_discount * g.a + l_tax * g.b, 6) AS score FROM lineitem, (SELECT unnest([0, 1]) AS id, unnest([0.5, 1.0]) AS a, unnest([0.5, 0.25]) AS b) g WHERE l_orderkey < 500")
 def _(t: Tables):
+    return weight_grid_rows(t, t.lineitem.filter("l_orderkey < 500"))
+
+
+@query("j21_weight_grid_whole")
+def _(t: Tables):
+    return weight_grid_rows(t, t.lineitem)
+
+
+def weight_grid_rows(t: Tables, lineitem):
     grid = t.spark.createDataFrame([(0, 0.5, 0.5), (1, 1.0, 0.25)], "grid_id int, w_l_discount double, w_l_tax double")
-    rows = t.lineitem.filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_tax")
+    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_tax")
     return N.weighted_grid(rows, ["l_discount", "l_tax"], grid).select("l_orderkey", "l_linenumber", "l_partkey", "grid_id", F.round("score", 6).alias("score"))
 
 
@@ -229,8 +238,17 @@ def _(t: Tables):
 
 @query("n_ranking_windows", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(dense_rank() OVER w AS INTEGER) AS d, CAST(ntile(3) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_linenumber) AS INTEGER) AS t FROM lineitem WHERE l_orderkey < 1000 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity)")
 def _(t: Tables):
+    return ranking_windows_rows(t, t.lineitem.filter("l_orderkey < 1000"))
+
+
+@query("n_ranking_windows_whole")
+def _(t: Tables):
+    return ranking_windows_rows(t, t.lineitem)
+
+
+def ranking_windows_rows(t: Tables, lineitem):
     w = Window.partitionBy("l_orderkey")
-    rows = t.lineitem.filter("l_orderkey < 1000")
+    rows = lineitem
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.dense_rank().over(w.orderBy("l_quantity")).alias("d"), F.ntile(3).over(w.orderBy("l_extendedprice", "l_partkey", "l_linenumber")).alias("t"))
 
 

@@ -107,7 +107,16 @@ def _(t: Tables):
 
 @query("d8_group_pairs", "SELECT user_id, event_type, min(event_id) AS first_id FROM events WHERE user_id < 20 GROUP BY user_id, event_type")
 def _(t: Tables):
-    return R.first_wins(t.events.filter("user_id < 20").select("user_id", "event_type", F.col("event_id").alias("first_id")), ["user_id", "event_type"], "first_id")
+    return group_pairs_rows(t, t.events.filter("user_id < 20"))
+
+
+@query("d8_group_pairs_whole")
+def _(t: Tables):
+    return group_pairs_rows(t, t.events)
+
+
+def group_pairs_rows(t: Tables, events):
+    return R.first_wins(events.select("user_id", "event_type", F.col("event_id").alias("first_id")), ["user_id", "event_type"], "first_id")
 
 
 @query(

@@ -49,7 +49,16 @@ def _(t: Tables):
 
 @query("h35_category", "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS category FROM lineitem WHERE l_orderkey < 200")
 def _(t: Tables):
-    return t.lineitem.filter("l_orderkey < 200").select("l_orderkey", "l_linenumber", "l_partkey", T.field_category(F.concat_ws(".", "l_returnflag", "l_linestatus")).alias("category"))
+    return category_rows(t, t.lineitem.filter("l_orderkey < 200"))
+
+
+@query("h35_category_whole")
+def _(t: Tables):
+    return category_rows(t, t.lineitem)
+
+
+def category_rows(t: Tables, lineitem):
+    return lineitem.select("l_orderkey", "l_linenumber", "l_partkey", T.field_category(F.concat_ws(".", "l_returnflag", "l_linestatus")).alias("category"))
 
 
 @query("h46_title_key", "SELECT page_id, nullif(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\\p{L}\\p{N}]+', '', 'g'), '') AS k FROM pages")
