@@ -152,9 +152,18 @@ BOOT = """
 
 @query("j2_bootstrap", f"{J} {BOOT} SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m")
 def _(t: Tables):
+    return bootstrap_of(t, 200)
+
+
+@query("j2_bootstrap_whole")
+def _(t: Tables):
+    return bootstrap_of(t, 5000)
+
+
+def bootstrap_of(t: Tables, replicates: int):
     w = Window.orderBy("doc_id")  # an evaluation's entries, a report-sized input
     s = judged(t).select((F.row_number().over(w) - 1).alias("pos"), (F.col("gold") == F.col("pred")).cast("int").alias("v"))
-    i = E.interval(E.bootstrap_means(s, "pos", "v", 200, 7))
+    i = E.interval(E.bootstrap_means(s, "pos", "v", replicates, 7))
     return i.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -165,8 +174,17 @@ def _(t: Tables):
     SELECT round(observed, 6) AS observed, round((count(*) FILTER (WHERE abs(m) >= abs(observed) - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM p, o GROUP BY observed""",
 )
 def _(t: Tables):
+    return permutation_of(t, 200)
+
+
+@query("j4_permutation_whole")
+def _(t: Tables):
+    return permutation_of(t, 10000)
+
+
+def permutation_of(t: Tables, replicates: int):
     d = judged(t).select("doc_id", ((F.col("gold") == F.col("pred")).cast("int") - (F.col("gold") == F.col("pred2")).cast("int")).alias("d"))
-    return E.permutation_test(d, "doc_id", "d", 200, 11)
+    return E.permutation_test(d, "doc_id", "d", replicates, 11)
 
 
 @query("j7_mcnemar", f"{J}, c AS (SELECT count(*) FILTER (WHERE gold = pred AND gold <> pred2) AS b, count(*) FILTER (WHERE gold <> pred AND gold = pred2) AS c FROM j) SELECT b, c, round(CASE WHEN b + c = 0 THEN 0.0 ELSE pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) END, 6) AS chi2 FROM c")

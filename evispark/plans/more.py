@@ -133,9 +133,18 @@ def _(t: Tables):
       r AS (SELECT a.b AS replicate, CAST(floor(CAST(('0x' || left(md5('5|' || a.b || '|' || k.k), 8)) AS BIGINT) / 4294967296.0 * n.n) AS BIGINT) AS pos FROM n, range(100) a(b), range(n.n) k(k)),
       m AS (SELECT replicate, avg(v) AS mean FROM r JOIN s USING (pos) GROUP BY replicate) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def _(t: Tables):
+    return paired_bootstrap_of(t, 100)
+
+
+@query("j3_paired_bootstrap_whole")
+def _(t: Tables):
+    return paired_bootstrap_of(t, 10000)
+
+
+def paired_bootstrap_of(t: Tables, replicates: int):
     right = lambda p: (F.col("gold") == F.col(p)).cast("int")
     s = judged(t).select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("pos"), (right("pred") - right("pred2")).alias("v"))
-    i = E.interval(E.bootstrap_means(s, "pos", "v", 100, 5))
+    i = E.interval(E.bootstrap_means(s, "pos", "v", replicates, 5))
     return i.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -143,8 +152,17 @@ def _(t: Tables):
       r AS (SELECT a.b AS replicate, CAST(floor(CAST(('0x' || left(md5('3|' || a.b || '|' || d.d), 8)) AS BIGINT) / 4294967296.0 * k.k) AS BIGINT) AS pos FROM k, range(100) a(b), range(k.k) d(d))
       SELECT replicate, round(sum(s) / sum(n), 6) AS mean FROM r JOIN c USING (pos) GROUP BY replicate""")
 def _(t: Tables):
+    return clustered_bootstrap_of(t, 100)
+
+
+@query("j10_clustered_bootstrap_whole")
+def _(t: Tables):
+    return clustered_bootstrap_of(t, 5000)
+
+
+def clustered_bootstrap_of(t: Tables, replicates: int):
     d = judged(t).select("source", (F.col("gold") == F.col("pred")).cast("int").alias("d"))
-    return N.clustered_bootstrap(d, "source", "d", 100, 3).select("replicate", F.round("mean", 6).alias("mean"))
+    return N.clustered_bootstrap(d, "source", "d", replicates, 3).select("replicate", F.round("mean", 6).alias("mean"))
 
 
 @query("j21_weight_grid", "SELECT l_orderkey, l_linenumber, l_partkey, g.id AS grid_id, round(l_discount * g.a + l_tax * g.b, 6) AS score FROM lineitem, (SELECT unnest([0, 1]) AS id, unnest([0.5, 1.0]) AS a, unnest([0.5, 0.25]) AS b) g WHERE l_orderkey < 500")

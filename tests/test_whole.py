@@ -68,6 +68,15 @@ def test_whole_tables_equal_the_sql_without_its_cut(spark, name, cut):
     assert sorted(map(key, frame.collect())) == sorted(map(key, rel.fetchall()))
 
 
+def test_resampling_has_the_reference_counts(spark):
+    assert catalog.QUERIES["j10_clustered_bootstrap_whole"](spark, SF).count() == 5000
+    p = catalog.QUERIES["j4_permutation_whole"](spark, SF).first()["p"]
+    assert abs(p * 10001 - round(p * 10001)) < 0.01
+    for name in ("j2_bootstrap_whole", "j3_paired_bootstrap_whole"):
+        r = catalog.QUERIES[name](spark, SF).first()
+        assert r["low"] < r["high"]
+
+
 class Fixture:
     def __init__(self, spark, documents, benchmark):
         self.spark, self.dir = spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp")
