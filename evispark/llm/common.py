@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-DEFAULT_CHECKPOINT_DIR = "file:///tmp/checkpoints/evispark"
+#: Used only in local mode, where driver and executors are one process, if the session names no shared folder.
+LOCAL_CHECKPOINT_DIR = "file:///tmp/checkpoints/evispark"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+    """A fresh folder name below ``spark.checkpoint.dir``, which driver and executors share; a cluster must set it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_CHECKPOINT_DIR
     return f"{base.rstrip('/')}/evispark-{uuid.uuid4().hex}"
 
 
@@ -46,10 +50,20 @@ def release(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Delete all tables that :func:`materialize` wrote; to be called once the results that read them are written."""
-    for path in list(_WRITTEN):
-        _delete(spark, path)
+def clean_up(spark: SparkSession, keep: Iterable[DataFrame] = (), since: int = 0) -> None:
+    """Delete the tables that :func:`materialize` wrote, from the ``since``-th on and but for ``keep``.
+
+    To be called once the results that read them are written.
+    """
+    kept = {getattr(df, "_evispark_path", None) for df in keep}
+    for path in _WRITTEN[since:]:
+        if path not in kept:
+            _delete(spark, path)
+
+
+def written() -> int:
+    """How many tables exist now, to be given to :func:`clean_up`."""
+    return len(_WRITTEN)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -104,19 +118,6 @@ def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-#: Fixed random 64-bit values, one for each byte, and an odd base with its inverse modulo 2**64.
-BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 2**64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(32))
@@ -126,17 +127,58 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Polynomial prefix hashes modulo 2**64; entry i covers raw[:i]."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[raw] * powers(BASE, len(raw)), out=out[1:], dtype=np.uint64)
-    return out
+#: Two primes below 2**31, an odd base for each, and values below both for the 256 bytes.
+PRIMES = (2_147_483_647, 2_147_483_629)
+BASES = (1_103_515_245, 742_938_285)
+BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 30, 256, dtype=np.uint64)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[start:end], equal for equal bytes wherever they stand."""
-    inv = powers(BASE_INV, len(prefix))
-    return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64))
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo a prime below 2**31; a worker keeps the longest table that it needed."""
+    table = _POWERS.get((base, prime))
+    if table is None or len(table) < n:
+        table = np.ones(1, np.uint64)
+        while len(table) < n:
+            table = np.concatenate([table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)])
+        _POWERS[base, prime] = table
+    return table[:n]
+
+
+class SpanHashes:
+    """Hashes of any spans of a block: polynomials modulo two primes, 62 bits, equal for equal bytes wherever they stand.
+
+    Unlike polynomials modulo a power of two, these have no structured strings that collide whatever the base; two given
+    different spans of n bytes collide with a probability of at most (n / 2**31)**2 over the choice of bases.
+    """
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.sums = []
+        for base, prime in zip(BASES, PRIMES, strict=True):
+            out = np.zeros(len(raw) + 1, np.uint64)
+            # Terms are below 2**31: more than 2**32 of them fit.
+            np.cumsum(BYTE_CODE[raw] * powers(base, prime, len(raw)) % np.uint64(prime), out=out[1:])
+            self.sums.append(out)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Mixed hashes of raw[start:end]."""
+        out = []
+        for sums, base, prime in zip(self.sums, BASES, PRIMES, strict=True):
+            back = powers(pow(base, -1, prime), prime, len(sums))
+            out.append((sums[end] - sums[start]) % np.uint64(prime) * back[start] % np.uint64(prime))
+        return mix((out[0] << np.uint64(31) | out[1]) ^ (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def pieces_of(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive stretches of a buffer as a binary column."""
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of each value, distinct values in order of number); values are told apart by themselves, not by hashes."""
+    found = values.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
 SPACE = np.zeros(256, bool)
@@ -156,3 +198,8 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     last[cut - 1] |= word[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def words_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words that :func:`word_spans` found, as a binary column."""
+    return pieces_of(raw[~SPACE[raw]], end - start)

@@ -5,13 +5,13 @@ over labelled good texts the target model.  A document's weight is the log ratio
 n-grams.  Sampling k documents without replacement in proportion to (tempered) weights is taking the k largest of
 weight / temperature + Gumbel noise.  Noise comes from a hash of the id, so a task that runs again draws the same.
 
-k is the number of documents whose weight reaches a cut-off that is learned on labelled documents: the one that tells
-good from other documents best, errors of both kinds weighing the same.  The k-th largest key is found by counting keys
-in ever finer ranges; no sort of the table, and no document list on the driver.
+k is a parameter, or else ``share`` of the documents that have words.  The k-th largest key is found by counting keys in
+ever finer ranges; no sort of the table, and no document list on the driver.
 
 Results: null, empty and blank texts have weight 0 and no n-grams; they are never sampled.  Equal keys at the limit are
-all taken.  Repeated rows share their noise and their verdict.  Without labelled good texts nothing is rejected but texts
-without words.  An empty table gives no rows.  Extra columns are not read.
+all taken.  Repeated rows share their noise and their verdict.  Rows without doc_id share one noise.  Without labelled
+good texts nothing is rejected but texts without words.  A text longer than a block is a block by itself, weighed whole.
+An empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffer_of, materialize, mix, prefix_hash, slices, span_hash
+from .common import SPACE, SpanHashes, buffer_of, materialize, mix, slices
 
 #: Bits of a bucket number: a table of counts for tokens, one for token pairs and one for token beginnings.
 WORD_BITS, PAIR_BITS = 17, 16
@@ -36,8 +36,8 @@ BEGINNING = 6
 #: Counts go to the reducers in so many parts; bytes of text in a block.
 PARTS, BLOCK_BYTES = 64, 1 << 20
 PART = SIZE // PARTS
-#: Labelled documents from which the target model and the cut-off are learned at most.
-MAX_LABELLED = 40_000
+#: Labelled documents from which the target model is learned at most, and the share of documents that is sampled.
+MAX_LABELLED, SHARE = 40_000, 0.85
 
 
 LETTER = np.zeros(256, bool)
@@ -61,13 +61,13 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     doc = np.searchsorted(offsets, start, side="right") - 1
     if not len(start):
         return np.zeros(0, np.int64), doc
-    prefix = prefix_hash(low)
-    word = span_hash(prefix, start, end)
+    hashed = SpanHashes(low)
+    word = hashed(start, end)
     inside = doc[1:] == doc[:-1]
     # A token and itself again is one and the same pair, whatever the token.
     pair = np.where(word[:-1] == word[1:], mix(np.ones(1, np.uint64)), mix(word[:-1] * np.uint64(3) + word[1:]))[inside]
     longer = end - start > BEGINNING
-    begins = span_hash(prefix, start[longer], start[longer] + BEGINNING)
+    begins = hashed(start[longer], start[longer] + BEGINNING)
     parts, base = [], 0
     for hashes, docs, bits in ((word, doc, WORD_BITS), (pair, doc[1:][inside], PAIR_BITS), (begins, doc[longer], PAIR_BITS)):
         parts.append(docs * SIZE + base + (hashes >> np.uint64(64 - bits)).astype(np.int64))
@@ -78,15 +78,22 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both - docs * SIZE, docs
 
 
-def gram_counts(df: DataFrame) -> DataFrame:
-    """(part int, counts array<bigint>) of all texts of df: every task adds up its own, reducers add the tasks'."""
+def gram_counts(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each bucket in the texts of df (text, good), and in those of them that are good.
+
+    Every task adds up its own, reducers add the tasks'; what comes to the driver has a size fixed by the buckets.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, np.int64)
-        for b in slices(batches, "text", BLOCK_BYTES):
-            total += np.bincount(grams(*buffer_of(b.column("text")))[0], minlength=SIZE)
+        total = np.zeros((2, SIZE), np.int64)
+        for b in slices(batches, "text", block_bytes):
+            bucket, doc = grams(*buffer_of(b.column("text")))
+            total[0] += np.bincount(bucket, minlength=SIZE)
+            good = b.column("good").fill_null(False).to_numpy(zero_copy_only=False)
+            if good.any():
+                total[1] += np.bincount(bucket[good[doc]], minlength=SIZE)
         if total.any():
-            data = [np.ascontiguousarray(x).astype("<i8").tobytes() for x in total.reshape(PARTS, PART)]
+            data = [np.ascontiguousarray(total[:, i : i + PART]).astype("<i8").tobytes() for i in range(0, SIZE, PART)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,34 +105,29 @@ def gram_counts(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["part", "data"])
 
     kind = "part int, data binary"
-    return df.select("text").mapInArrow(count, kind).repartition(F.col("part")).mapInArrow(add, kind)
-
+    out = np.zeros((2, SIZE), np.int64)
+    for r in df.select("text", "good").mapInArrow(count, kind).repartition(F.col("part")).mapInArrow(add, kind).collect():
+        out[:, r["part"] * PART : (r["part"] + 1) * PART] += np.frombuffer(r["data"], "<i8").reshape(2, PART)
+    return out[0], out[1]
 
-def collected(df: DataFrame) -> np.ndarray:
-    """The table of counts; its size is fixed by the number of buckets."""
-    total = np.zeros((PARTS, PART), np.int64)
-    for r in gram_counts(df).collect():
-        total[r["part"]] += np.frombuffer(r["data"], "<i8")
-    return total.ravel()
 
+def log_ratios(target: np.ndarray, raw: np.ndarray, rare: float = 0.001, wide: float = 4.0, narrow: float = 0.005, burst: float = 3.0) -> np.ndarray:
+    """log p_target / p_raw of each bucket, smoothed: the mean of what it may be, given both counts.
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = 0.5, deviations: float = 4.0, least: float = 2.0) -> np.ndarray:
-    """log p_target / p_raw of each bucket, relative to that of typical text, where there is evidence for it.
-
-    ``prior`` n-grams at the raw rate stand behind each bucket.  A bucket counts nothing (0) if what the target has of it
-    lies within ``deviations`` standard deviations of what the raw model expects, or its log ratio within ``least`` of
-    the typical one: else the many rare n-grams of a text would outweigh the few that tell something.
+    An observed log ratio varies by ``burst`` times what independent n-grams would (documents repeat themselves) around
+    the true one, which has variance ``narrow`` in most buckets and ``wide`` in a ``rare`` share of them.  So buckets with
+    little evidence stay near 0 without being cut off, and those whose ratio is beyond doubt keep it.
     """
     out = np.zeros(SIZE)
     for part in TABLES:
         r, t = raw[part].astype(float), target[part].astype(float)
         expected = r * (t.sum() / max(r.sum(), 1.0))
-        ratio = np.log((t + prior) / (expected + prior))
-        order = np.argsort(ratio)
-        mass = np.cumsum(expected[order])
-        ratio -= ratio[order[min(int(np.searchsorted(mass, mass[-1] / 2)), len(order) - 1)]]
-        sure = (np.abs(t - expected) > deviations * np.sqrt(expected + 1)) & (np.abs(ratio) > least)
-        out[part] = np.where(sure, ratio, 0.0)
+        ratio = np.log((t + 0.5) / (expected + 0.5))
+        error = burst / (expected + 0.5)
+        a, b = error + wide, error + narrow
+        odds = rare / (1 - rare) * np.sqrt(b / a) * np.exp(np.minimum(ratio**2 / 2 * (1 / b - 1 / a), 50.0))
+        real = odds / (1 + odds)
+        out[part] = ratio * (real * wide / a + (1 - real) * narrow / b)
     return out
 
 
@@ -136,29 +138,18 @@ def weights(raw: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> tuple[n
     return n, np.bincount(doc, ratios[bucket], len(offsets) - 1)
 
 
-def weigh(df: DataFrame, ratios: np.ndarray) -> DataFrame:
+def weigh(df: DataFrame, ratios: np.ndarray, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_grams long, log_weight double), a row for each row of df."""
     shared = df.sparkSession.sparkContext.broadcast(ratios)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             n, total = weights(*buffer_of(b.column("text")), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total)], ["doc_id", "n_grams", "log_weight"])
 
     return df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
 
 
-def best_cut(good: np.ndarray, other: np.ndarray) -> float:
-    """The cut-off between two samples at which the shares of wrong decisions sum to the least."""
-    if not len(good) or not len(other):
-        return -np.inf
-    values = np.unique(np.concatenate([good, other]))
-    wrong = np.searchsorted(np.sort(good), values, side="left") / len(good) + 1 - np.searchsorted(np.sort(other), values, side="left") / len(other)
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    i = int(best[0])
-    return float(values[i] if i == 0 else (values[i - 1] + values[i]) / 2)
-
-
 def kth_largest(df: DataFrame, column: str, k: int, ways: int = 4096) -> float:
     """The k-th largest value of a column, by counting values in ever finer ranges between the smallest and largest."""
     lo, hi = df.agg(F.min(column), F.max(column)).first()
@@ -198,37 +189,35 @@ class Sampler:
     limit: float
 
 
-def fit(df: DataFrame, labels: DataFrame, temperature: float = 0.02, max_labelled: int = MAX_LABELLED) -> tuple[Sampler, DataFrame]:
+def fit(df: DataFrame, labels: DataFrame, k: int | None = None, share: float = SHARE, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, block_bytes: int = BLOCK_BYTES) -> tuple[Sampler, DataFrame]:
     """The sampler for df, and what it weighed: doc_id, n_grams, log_weight, gumbel_key, a row for each row of df."""
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("quality"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumn("good", (F.col("quality") == 1) & (F.col("toxic") == 0))
-    marked = F.broadcast(chosen.select("doc_id", "good"))  # at most max_labelled rows
-    known = materialize(df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(marked, "doc_id"))
-    raw, target = collected(df), collected(known.filter("good"))
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    marked = F.broadcast(chosen.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")))  # at most max_labelled rows
+    raw, target = gram_counts(df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(marked, "doc_id", "left"), block_bytes)
     ratios = log_ratios(target, raw) if target.any() else np.zeros(SIZE)
-    weighed = materialize(weigh(df, ratios).withColumn("gumbel_key", F.col("log_weight") / temperature + gumbel("doc_id")))
-    seen = known.select("doc_id", "good").join(weighed, "doc_id").filter("n_grams > 0").select("good", "log_weight").collect()
-    cut = best_cut(np.array([r[1] for r in seen if r[0]]), np.array([r[1] for r in seen if not r[0]])) if target.any() else -np.inf
+    weighed = materialize(weigh(df, ratios, block_bytes).withColumn("gumbel_key", F.col("log_weight") / temperature + gumbel("doc_id")))
     with_words = weighed.filter("n_grams > 0")
-    limit = kth_largest(with_words, "gumbel_key", with_words.filter(F.col("log_weight") >= cut).count())
-    return Sampler(ratios, temperature, limit), weighed
+    if k is None:
+        k = round((share if target.any() else 1.0) * with_words.count())
+    return Sampler(ratios, temperature, kth_largest(with_words, "gumbel_key", k)), weighed
 
 
-def resample(df: DataFrame, labels: DataFrame, temperature: float = 0.02, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key and kept, a row for each row of df."""
-    sampler, weighed = fit(df, labels, temperature, max_labelled)
+def resample(df: DataFrame, labels: DataFrame, **sampling) -> DataFrame:
+    """doc_id, n_grams, log_weight, gumbel_key and kept, a row for each row of df; ``sampling`` as for :func:`fit`."""
+    sampler, weighed = fit(df, labels, **sampling)
     return weighed.withColumn("kept", (F.col("n_grams") > 0) & (F.col("gumbel_key") >= F.lit(sampler.limit)))
 
 
-def sampled(df: DataFrame, labels: DataFrame, temperature: float = 0.02, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def sampled(df: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES, **sampling) -> DataFrame:
     """The rows of df, with all their columns, that are sampled; texts are weighed again where they stand, not shuffled."""
-    sampler, _ = fit(df, labels, temperature, max_labelled)
+    sampler, _ = fit(df, labels, block_bytes=block_bytes, **sampling)
     shared = df.sparkSession.sparkContext.broadcast(sampler)
     noise = f"noise_{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             n, total = weights(*buffer_of(b.column("text")), s.ratios)
             keys = total / s.temperature + b.column(noise).to_numpy()
             yield b.filter(pa.array((n > 0) & (keys >= s.limit))).drop_columns([noise])

@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, materialize, prefix_hash, slices, span_hash, word_spans
+from .common import buffer_of, materialize, numbered, slices, word_spans, words_of
 
 #: Hashed features, dimensions of the curve and bits in each.
 FEATURES, DIMENSIONS, BITS = 256, 4, 12
 #: Bytes of text in a block, and pieces and chunks remembered by a worker.
-BLOCK_BYTES, REMEMBERED, REMEMBERED_CHUNKS = 2 << 20, 400_000, 1_500_000
+BLOCK_BYTES, REMEMBERED, REMEMBERED_CHUNKS = 2 << 20, 400_000, 600_000
 #: How the vocabulary's own rules split lower-cased text without white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
@@ -42,20 +42,19 @@ NONE = np.int64(1 << 40)
 class WordTokenizer:
     """Ids of texts by a tokenizer file (BPE with word ends) whose splitting never looks across white space.
 
-    Texts are put together from remembered chunks (runs between ASCII white space, told apart by 64-bit hashes); a chunk
-    from remembered pieces.
+    Texts are put together from remembered chunks (runs between ASCII white space); a chunk from remembered pieces.
     New pieces are merged together: in each round every piece applies its lowest-ranked pair.  Chunks beyond the Latin
     range, those that may hold a special token, and long pieces are given to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED, remembered_chunks: int = REMEMBERED_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
+        self.remembered, self.remembered_chunks = remembered, remembered_chunks
         self.pieces: dict[str, bytes] = {}
-        # Remembered chunks: their 64-bit hashes in order, and where in the pool their ids lie.
-        self.known, self.at, self.pool = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, np.uint32)
+        self.forget_chunks()
         model = json.loads(self.library.to_str())["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -69,6 +68,11 @@ class WordTokenizer:
         self.merged = np.zeros(len(ranks), np.int64)
         self.merged[ranks] = merged
 
+    def forget_chunks(self) -> None:
+        """Remembered chunks: a number for each, where in the pool the ids of a number lie, and the pool."""
+        self.known: dict[bytes, int] = {}
+        self.at, self.pool = np.zeros((0, 2), np.int64), np.zeros(0, np.uint32)
+
     def _library(self, words: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -124,7 +128,7 @@ class WordTokenizer:
     def encode_chunks(self, words: list[bytes]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of distinct chunks."""
         pieces = self.pieces
-        if len(pieces) > REMEMBERED:
+        if len(pieces) > self.remembered:
             pieces.clear()
         split, whole, need = {}, [], set()
         for w in words:
@@ -150,21 +154,20 @@ class WordTokenizer:
         start, end, doc = word_spans(raw, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        hashes, first, which = np.unique(span_hash(prefix_hash(raw), start, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED_CHUNKS:
-            self.known, self.at, self.pool = self.known[:0], self.at[:0], self.pool[:0]
-        new = hashes[~np.isin(hashes, self.known, assume_unique=True)]
-        if len(new):
-            at = first[np.searchsorted(hashes, new)]
-            data = raw.tobytes()
-            ids = self.encode_chunks([data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        which, distinct = numbered(words_of(raw, start, end))
+        chunks = distinct.to_pylist()
+        if len(self.known) > self.remembered_chunks:
+            self.forget_chunks()
+        new = [c for c in chunks if c not in self.known]
+        if new:
+            ids = self.encode_chunks(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             begin = len(self.pool) + np.cumsum(sizes) - sizes
+            self.known.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
-            place = np.searchsorted(self.known, new)
-            self.known = np.insert(self.known, place, new)
-            self.at = np.insert(self.at, place, np.stack([begin, sizes], 1), axis=0)
-        begin, sizes = self.at[np.searchsorted(self.known, hashes)][which].T
+            self.at = np.concatenate([self.at, np.stack([begin, sizes], 1)])
+        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        begin, sizes = self.at[number[which]].T
         stop = np.cumsum(sizes)
         ids = self.pool[np.repeat(begin - (stop - sizes), sizes) + np.arange(stop[-1])]
         return ids, np.bincount(doc, weights=sizes, minlength=len(offsets) - 1).astype(np.int64)
@@ -226,14 +229,14 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_key(np.minimum(unit * (1 << BITS), (1 << BITS) - 1).astype(np.int64), BITS)
 
 
-def tokenize(df: DataFrame, path: str, end_id: int) -> DataFrame:
+def tokenize(df: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, hkey long, n long, ids binary of little-endian unsigned 32-bit ids with end_id last), a row for each row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _loaded(path)
         # Two bytes an id hold any vocabulary of this size; larger ones keep four.
         kind = np.dtype("<u2" if tokenizer.size <= 1 << 16 else "<u4")
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             ids, counts = tokenizer.encode(*buffer_of(b.column("text")))
             ids = np.insert(ids, np.cumsum(counts), end_id)
             stops = np.cumsum(counts + 1)
@@ -278,10 +281,10 @@ def cut(start: int, n: int, length: int, full: int, tail: np.ndarray) -> list[tu
     return out
 
 
-def pack(df: DataFrame, path: str, length: int = 4096, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, path: str, length: int = 4096, end_id: int = 2, with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids (binary)."""
     spark = df.sparkSession
-    tokens = materialize(tokenize(df, path, end_id).withColumn("uid", F.monotonically_increasing_id()), "zstd")
+    tokens = materialize(tokenize(df, path, end_id, block_bytes).withColumn("uid", F.monotonically_increasing_id()), "zstd")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = tokens.select("uid", "hkey", "doc_id", "n").repartitionByRange(parts, "hkey", "doc_id", "uid")
     narrow = narrow.sortWithinPartitions("hkey", "doc_id", "uid").select("uid", "n")
@@ -299,7 +302,7 @@ def pack(df: DataFrame, path: str, length: int = 4096, end_id: int = 2, with_ids
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "ids", BLOCK_BYTES):
+        for b in slices(batches, "ids", block_bytes):
             rows, parts = [], []
             for doc, at, raw in zip(b.column("doc_id").to_pylist(), b.column("at").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 ids = np.frombuffer(raw, width).astype("<u4")

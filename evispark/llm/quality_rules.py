@@ -7,7 +7,8 @@ flattened into node arrays, so scoring is a fixed number of array steps for all
 
 Results: a null, empty or blank text has no words and fails the base rule; its verdict is false.  Repeated rows get
 equal results.  With no labelled rows, or labels of one kind only, every document that passes the base rule is kept.
-Extra columns are not read.
+A text longer than a block is a block by itself, counted whole.  An empty table gives no rows.  Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffer_of, mix, prefix_hash, slices, span_hash, word_spans
+from .common import SPACE, buffer_of, numbered, pieces_of, slices, word_spans, words_of
 
+#: Bytes of text in a block, unless a caller says otherwise.
 BLOCK_BYTES = 2 << 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -43,9 +45,8 @@ def _within(counted: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _repeated(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: does its value occur twice or more in its document, and did it occur earlier there."""
-    # Two 64-bit hashes of one document meet by chance with a probability below 1e-10 even at a million words.
-    key = mix(value ^ (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    """For each entry: does its value (a number below len + 1) occur twice or more in its document, and did it earlier there."""
+    key = doc * (len(value) + 1) + value
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     more, earlier = np.zeros(len(key), bool), np.zeros(len(key), bool)
@@ -62,11 +63,12 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out = {"n_words": np.bincount(doc, minlength=n).astype(np.int64)}
     out["word_chars"] = _within(~SPACE[raw] & ((raw & 0xC0) != 0x80), offsets)
     out["n_symbols"] = _within(SYMBOL[raw], offsets)
-    prefix = prefix_hash(raw)
     repeat = np.zeros(n, np.int64)
     if len(start) >= 3:
-        word = span_hash(prefix, start, end)
-        gram = mix(mix(word[:-2]) + word[1:-1] * np.uint64(3)) + word[2:]
+        # Words, pairs and triples are numbered by what they are, so different ones never count as equal.
+        word, _ = numbered(words_of(raw, start, end))
+        pair, _ = numbered(pa.array(word[:-1] * len(word) + word[1:]))
+        gram, _ = numbered(pa.array(pair[:-1] * len(word) + word[2:]))
         inside = np.flatnonzero(doc[:-2] == doc[2:])
         more, _ = _repeated(doc[inside], gram[inside])
         covered = np.zeros(len(start), bool)
@@ -81,9 +83,9 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_start = np.sort(np.concatenate([newline + 1, offsets[:-1]]))
     words_until = np.append(0, np.cumsum(~SPACE[raw], dtype=np.int64))
     full = words_until[line_end] > words_until[line_start]
-    line_start, line_end = line_start[full], line_end[full]
-    line_doc = np.searchsorted(offsets, line_start, side="right") - 1
-    _, earlier = _repeated(line_doc, span_hash(prefix, line_start, line_end))
+    line, _ = numbered(pieces_of(raw[raw != 0x0A], line_end - line_start))
+    line_doc = np.searchsorted(offsets, line_start[full], side="right") - 1
+    _, earlier = _repeated(line_doc, line[full])
     out["n_lines"] = np.bincount(line_doc, minlength=n).astype(np.int64)
     out["n_dup_lines"] = np.bincount(line_doc[earlier], minlength=n).astype(np.int64)
     for name, kind in (("digits", DIGIT), ("uppers", UPPER), ("stops", STOP)):
@@ -172,11 +174,11 @@ def grow(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, dep
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, x array<double>"
 
 
-def measured(df: DataFrame) -> DataFrame:
+def measured(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, the five counts and the features x of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             s = statistics(*buffer_of(b.column("text")))
             x = features(s)
             flat = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
@@ -186,26 +188,29 @@ def measured(df: DataFrame) -> DataFrame:
 
 
 def fit(df: DataFrame, labels: DataFrame, max_labelled: int = 5000) -> Trees | None:
-    """Trees from at most ``max_labelled`` labelled documents, those of the smallest hashed ids; None if they can't be grown."""
+    """Trees from at most ``max_labelled`` labelled documents, those of the smallest hashed ids; None if they can't be grown.
+
+    Of rows that repeat a doc_id the one of the smallest features counts.
+    """
     chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     quality = {r["doc_id"]: r["quality"] for r in chosen.collect()}
     if not quality:
         return None
     marked = df.sparkSession.createDataFrame(list(quality.items()), "doc_id long, quality int")
-    rows = measured(df.join(F.broadcast(marked), "doc_id", "left_semi").select("doc_id", "text")).select("doc_id", "x").dropDuplicates(["doc_id"]).collect()
+    rows = measured(df.join(F.broadcast(marked), "doc_id", "left_semi").select("doc_id", "text")).groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     y = np.array([float(quality[r["doc_id"]] > 0) for r in rows])
     if len(set(y)) < 2:
         return None
     return grow(np.array([r["x"] for r in rows]), y, list(FEATURES.values()))
 
 
-def judge(df: DataFrame, labels: DataFrame, max_labelled: int = 5000, threshold: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, max_labelled: int = 5000, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, the five counts, base_failed, score double and kept, a row for each row of df."""
     trees = fit(df, labels, max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             s = statistics(*buffer_of(b.column("text")))
             failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
             score = trees.score(features(s)) if trees else np.ones(len(failed))

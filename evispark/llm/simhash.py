@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import BASE, buffer_of, materialize, mix, powers, release, slices
+from .common import buffer_of, materialize, mix, release, slices
 
 BITS = 64
 #: Bytes of text in a block.
@@ -236,7 +236,7 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * ROWS, ~np.uint64(0))
     for i in range(0, len(shingles), 1024):
         np.minimum(low, (shingles[i : i + 1024, None] * FACTORS[None, :]).min(0), out=low)
-    folded = (mix(low).reshape(BANDS, ROWS) * powers(BASE, ROWS)[None, :]).sum(1, dtype=np.uint64)
+    folded = (mix(low).reshape(BANDS, ROWS) * FACTORS[None, :ROWS]).sum(1, dtype=np.uint64)
     return mix(folded + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
