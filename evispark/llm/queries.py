@@ -43,12 +43,33 @@ def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
 
 
-#: Tools of the query; conversations that call none are messages only.
-TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "calculate": {"expression": ("string", True)}}
+#: The tool of the query op8.
+TOOLS = {"search": {"after": ("string", False), "limit": ("integer", True), "query": ("string", True)}}
+
+
+def tool_transcript(conversations: DataFrame) -> DataFrame:
+    """All conversations as transcripts of tool use: each assistant turn is a call, the user's turn after it a result.
+
+    The driver's tables hold no calls; what a call looks like follows from its text, so that every case occurs.  A call
+    asks for its text, is known by its turn, and may use the call two turns before; by the length of the text it names an
+    unknown tool (every fifth), gives a limit of a wrong type (third), no query (seventh), or comes twice (eleventh).
+    """
+    n = F.length("text")
+    number = F.col("turn").cast("string")
+    after = F.when(n % 2 == 0, F.concat(F.lit("$ref:call-"), (F.col("turn") - 2).cast("string")))
+    query = F.when(n % 7 != 0, F.col("text"))
+    wrong = F.to_json(F.struct(after.alias("after"), n.cast("string").alias("limit"), query.alias("query")))
+    right = F.to_json(F.struct(after.alias("after"), n.alias("limit"), query.alias("query")))
+    call = F.struct(F.when(n % 3 == 0, wrong).otherwise(right).alias("arguments"), F.concat(F.lit("call-"), number).alias("id"), F.when(n % 5 == 0, "lookup").otherwise("search").alias("name"))
+    calls = F.to_json(F.struct(F.when(n % 11 == 0, F.array(call, call)).otherwise(F.array(call)).alias("tool_calls")))
+    result = F.to_json(F.struct(F.col("text").alias("content"), F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("tool_call_id")))
+    is_call = (F.col("role") == "assistant") & F.col("text").isNotNull()
+    is_result = (F.col("role") == "user") & (F.col("turn") > 0) & F.col("text").isNotNull()
+    return conversations.select("conv_id", "turn", F.when(is_result, "tool").otherwise(F.col("role")).alias("role"), F.when(is_call, calls).when(is_result, result).otherwise(F.col("text")).alias("text"))
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tool_calls.link(table(spark, sf_dir, "conversations"), TOOLS)
+    found = tool_calls.link(tool_transcript(table(spark, sf_dir, "conversations")), TOOLS)
     return found.select("conv_id", "turn", "pos", "kind", "call_id", "name", "level", "status", F.array_join("errors", ",").alias("errors"), "json")
 
 
@@ -75,12 +96,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    # The tables hold no tool calls: every turn is a message.
     "op8_tool_calls": """
+        WITH t AS (
+            SELECT conv_id, turn, role, text, length(text) AS n, role = 'assistant' AND text IS NOT NULL AS is_call,
+                   role = 'user' AND turn > 0 AND text IS NOT NULL AS is_result
+            FROM conversations
+        ), c AS (
+            SELECT t.*, CASE WHEN n % 2 = 0 THEN '"after":"$ref:call-' || (turn - 2) || '",' ELSE '' END
+                       || '"limit":' || CASE WHEN n % 3 = 0 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END
+                       || CASE WHEN n % 7 <> 0 THEN ',"query":' || CAST(to_json(text) AS VARCHAR) ELSE '' END AS arguments,
+                   CASE WHEN n % 5 = 0 THEN 'lookup' ELSE 'search' END AS name,
+                   CASE WHEN n % 5 = 0 THEN '*' WHEN n % 21 = 0 THEN 'limit,query' WHEN n % 3 = 0 THEN 'limit' WHEN n % 7 = 0 THEN 'query' ELSE '' END AS errors,
+                   n % 2 = 0 AND EXISTS (SELECT 1 FROM t AS p WHERE p.is_call AND p.conv_id = t.conv_id AND p.turn = t.turn - 2) AS refers,
+                   EXISTS (SELECT 1 FROM t AS r WHERE r.is_result AND r.conv_id = t.conv_id AND r.turn = t.turn + 1) AS answered,
+                   row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS k
+            FROM t WHERE is_call
+        ), l AS (
+            SELECT *, CAST(k - max(CASE WHEN NOT refers THEN k END) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS INTEGER) AS level FROM c
+        )
         SELECT conv_id, turn, CAST(0 AS INTEGER) AS pos, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
                CAST(NULL AS VARCHAR) AS name, CAST(0 AS INTEGER) AS level, 'message' AS status, '' AS errors,
                '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":'
                    || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
-        FROM conversations
+        FROM t WHERE NOT coalesce(is_call, FALSE) AND NOT coalesce(is_result, FALSE)
+        UNION ALL
+        SELECT conv_id, turn, CAST(p.pos AS INTEGER), 'call', 'call-' || turn, name, CASE WHEN p.pos = 0 THEN level END,
+               CASE WHEN p.pos > 0 THEN 'duplicate_call' WHEN errors <> '' THEN 'invalid_arguments' WHEN answered THEN 'linked' ELSE 'no_result' END,
+               errors, '{"arguments":{' || arguments || '},"id":"call-' || turn || '","name":"' || name || '","type":"call"}'
+        FROM l, (VALUES (0), (1)) AS p(pos) WHERE p.pos = 0 OR n % 11 = 0
+        UNION ALL
+        SELECT t.conv_id, t.turn, CAST(0 AS INTEGER), 'result', 'call-' || (t.turn - 1), l.name, l.level,
+               CASE WHEN l.conv_id IS NULL THEN 'no_call' ELSE 'linked' END, '',
+               '{"content":' || CAST(to_json(t.text) AS VARCHAR) || ',"role":"tool","tool_call_id":"call-' || (t.turn - 1) || '"}'
+        FROM t LEFT JOIN l ON l.conv_id = t.conv_id AND l.turn = t.turn - 1 WHERE t.is_result
     """,
 }

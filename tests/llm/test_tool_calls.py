@@ -46,3 +46,33 @@ def test_links_orders_validates_and_serialises(spark):
 def test_empty_and_repeated(spark):
     assert tool_calls.link(table(spark, []), SCHEMAS).count() == 0
     assert tool_calls.link(table(spark, [(1, 0, "user", "", "x")] * 3)).count() == 3
+
+
+def test_levels_of_chains_forks_and_circles(spark):
+    """Long chains, calls with several references, circles and what hangs on them; keys that look like references."""
+    chain = [(1, 0, "assistant", json.dumps({"tool_calls": [call("a0", "echo", x="x")] + [call(f"a{i}", "echo", x=f"$ref:a{i - 1}") for i in range(1, 41)]}), "x")]
+    forks = [
+        (2, 0, "assistant", json.dumps({"tool_calls": [call("r", "e"), call("s", "e", x="$ref:r"), call("t", "e", x="$ref:s"), call("u", "e", x=["$ref:t", {"k": "$ref:r"}])]}), "x"),
+        (2, 1, "assistant", json.dumps({"tool_calls": [call("v", "e", x="$ref:u"), call("w", "e", x="$ref:v", y="$ref:t"), call("k", "e", **{"$ref:w": 'say "$ref:v"', "z": "a:\"$ref:u\""})]}), "x"),
+        (3, 0, "assistant", json.dumps({"tool_calls": [call("p", "e", x="$ref:q"), call("q", "e", x="$ref:p"), call("h", "e", x="$ref:p"), call("m", "e", x="$ref:h", y="$ref:o"), call("o", "e", x="$ref:gone"), call("z", "e", x="$ref:z")]}), "x"),
+    ]
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.link(table(spark, chain + forks)).collect()}
+    assert [got[1, f"a{i}"] for i in range(41)] == list(range(41))
+    assert {k: got[2, k] for k in "rstuvwk"} == {"r": 0, "s": 1, "t": 2, "u": 3, "v": 4, "w": 5, "k": 0}
+    assert {k: got[3, k] for k in "pqhmoz"} == {"p": None, "q": None, "h": None, "m": None, "o": 0, "z": None}
+
+
+def test_hot_ids_are_joined_in_place(spark):
+    rows = [(1, t, "assistant", json.dumps({"tool_calls": [call("same", "echo", x="y")]}), "x") for t in range(30)]
+    rows += [(1, 40 + t, "tool", json.dumps({"tool_call_id": "same", "content": t}), "x") for t in range(5)] + [(2, 0, "assistant", json.dumps({"tool_calls": [call("one", "echo", x="y")]}), "x")]
+    keys = ("conv_id", "turn", "pos", "kind", "status", "level", "json")
+    few, many = (sorted(tuple(str(r[k]) for k in keys) for r in tool_calls.link(table(spark, rows), SCHEMAS, hot=h).collect()) for h in (3, 1000))
+    assert few == many and len(few) == 36 and sum(r[4] == "linked" for r in few) == 2
+
+
+def test_query_covers_every_case(spark):
+    """On the smallest tables all of calls, results, levels, errors and duplicates occur."""
+    from evispark.llm import queries
+
+    got = queries.op8_tool_calls(spark, "/root/testdata/sf0.01").groupBy("kind", "status").count().collect()
+    assert {(r["kind"], r["status"]) for r in got} >= {("message", "message"), ("call", "linked"), ("call", "invalid_arguments"), ("call", "no_result"), ("call", "duplicate_call"), ("result", "linked")}
