@@ -272,8 +272,36 @@ def test_cross_parse_counts_phrases():
 
     rng = np.random.default_rng(2)
     sample, text = rng.integers(2, 6, 400).astype(np.uint8), rng.integers(2, 7, 200).astype(np.uint8)
-    parser = language_id.CrossParser({"x": sample})
-    assert parser.phrases(text, np.array([0, 200]))[0, 0] == slow(text.tolist(), sample.tolist())
+    other = rng.integers(2, 8, 300).astype(np.uint8)
+    # Whole texts, whatever the windows: short and long ones, and some that never fall back into step.
+    texts = [text, text[:0], text[:1], np.full(333, 3, np.uint8), np.tile(sample[:7], 60), rng.integers(2, 6, 900).astype(np.uint8), np.tile(np.array([2, 3], np.uint8), 200)]
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    for window in (1, 2, 5, 16, 256):
+        parser = language_id.CrossParser({"x": sample, "y": other}, window)
+        got = parser.phrases(np.concatenate(texts), offsets)
+        assert got.tolist() == [[slow(t.tolist(), sample.tolist()), slow(t.tolist(), other.tolist())] for t in texts]
+
+
+def test_language_of_texts_equals_a_slow_parse(spark):
+    """lang_pred is the language of the fewest phrases; more languages than 64, repeated rows, junk and short texts."""
+    import random
+
+    rng = random.Random(4)
+    syllables = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for k in range(70)}
+    rows = []
+    for k, (lang, own) in enumerate(syllables.items()):
+        rows += [(k * 10 + i, " ".join("".join(rng.choice(own) for _ in range(2)) for _ in range(40)), lang, "s", 0) for i in range(10)]
+    rows += [(5, rows[5][1] + " again", "l00", "s", 0), (9000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(700)), "l01", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parser = language_id.learn(df, max_docs=4, max_symbols=500)
+    assert parser.languages == sorted(syllables)
+    found = language_id.predict(df, parser).collect()
+    assert len(found) == len(rows) and np.mean([r["lang_pred"] == syllable for r in found for syllable in [next((x[2] for x in rows if x[0] == r["doc_id"]))]]) > 0.98
+    need, n, _ = parser.needs([r[1] for r in rows])
+    best = [parser.languages[int(i)] for i in np.argmin(need, 1)]
+    assert sorted(r["lang_pred"] for r in found) == sorted(best)
+    kept = language_id.accepted(df.withColumn("lang", F.lit(None).cast("string")), parser).collect()
+    assert 9000 not in {r["doc_id"] for r in kept} and len(kept) > 690 and all(r["lang"] for r in kept)
 
 
 # ---------------------------------------------------------------- op1
