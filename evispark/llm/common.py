@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only in local mode, where driver and executors are one process, if the session names no shared folder.
 LOCAL_CHECKPOINT_DIR = "file:///tmp/checkpoints/evispark"
@@ -73,6 +74,24 @@ def _delete(spark: SparkSession, path: str) -> None:
         _WRITTEN.remove(path)
 
 
+#: Keys are joined where their rows stand from so many rows on, and from such a share of all rows on.
+HOT_ROWS, HOT_SHARE = 2000, 100_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with facts, unique by ``key``, whose column n says how many rows a key has (it is dropped).
+
+    Rows of hot keys are not shuffled together: facts of keys with more than 1 / HOT_SHARE of ``total`` rows, which are
+    less than HOT_SHARE whatever the total, are broadcast.  ``facts`` should be written, as it is read several times.
+    """
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    many = facts.filter(hot).drop("n")
+    if not many.take(1):
+        return rows.join(facts.drop("n"), key)
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(facts.filter(~hot).drop("n"), key)
+    return rows.join(F.broadcast(many), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

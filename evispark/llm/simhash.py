@@ -10,7 +10,7 @@ is compared whole and reports a spanning forest of its links, never its pairs.
 free bits (those the key does not fix) fall into r+1 groups, two fingerprints within the radius agree on one of them,
 and each group's bits refine the key.  Few free bits bound a bucket's size, so splitting ends.
 
-:func:`alike` holds such links against the texts: fingerprints and bands of minimum hashes only propose, and documents
+:func:`leaders` holds such links against the texts: fingerprints and bands of minimum hashes only propose, and documents
 belong together if the exact Jaccard similarity of their shingle sets links them.
 
 Results: null, empty and blank texts have fingerprint zero, which links like any other.  Texts with fewer words than a
@@ -20,6 +20,7 @@ shingle are one shingle.  Repeated rows get equal results.  An empty table gives
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import buffer_of, materialize, mix, release, slices
+from .common import buffer_of, join_facts, materialize, mix, release, slices
 
 BITS = 64
 #: Bytes of text in a block.
@@ -59,11 +60,11 @@ def fingerprint(text: bytes, words: int, seed: int) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id long, fp long: the fingerprint's 64 bits as a signed number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             raw, offsets = buffer_of(b.column("text"))
             data, cuts = raw.tobytes(), offsets.tolist()
             fps = np.array([fingerprint(data[x:y], words, seed) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], np.uint64)
@@ -189,31 +190,33 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges)
+    total = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = materialize(join_facts(both.filter("v > u"), low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_facts(large, least, "u", total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = materialize(small.select("e.u", "e.v").filter("u <> v").distinct())
         # Done when every node points at one that points nowhere: the table is a forest of stars.
-        same = after.select(F.count("*"), F.countDistinct("u")).first()
+        total, nodes = after.select(F.count("*"), F.countDistinct("u")).first()
         linked = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").take(1)
-        release(edges)
+        release(edges, low, large, least)
         edges = after
-        if same[0] == same[1] and not linked:
+        if total == nodes and not linked:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, fp long, component_id: the smallest doc_id that links reach, itself included), a row for each row of df."""
-    marked = materialize(fingerprints(df, words, seed, id_col, text_col))
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    marked = materialize(fingerprints(df, words, seed, id_col, text_col, block_bytes))
+    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     roots = components(fingerprint_links(classes.select("fp"), radius))
-    member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    component = materialize(member.join(lowest, "root").select("fp", "component_id"))
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id")
+    member = materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root")))
+    lowest = materialize(member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    rows, distinct = member.agg(F.sum("copies"), F.count("*")).first()
+    component = materialize(join_facts(member, lowest, "root", distinct).select("fp", "component_id", F.col("copies").alias("n")))
+    return join_facts(marked, component, "fp", rows or 0).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -303,11 +306,11 @@ def _proposed(df: DataFrame, words: int, radius: int, shingle: int) -> tuple[Dat
     return marked.select("doc_id", "same"), materialize(grouped.join(several, "root"))
 
 
-def alike(df: DataFrame, words: int, radius: int, shingle: int, least: float) -> DataFrame:
-    """(doc_id, component_id: the smallest doc_id that links reach) for each row of df (doc_id, text).
+def leaders(df: DataFrame, words: int, radius: int, shingle: int, least: float) -> DataFrame:
+    """(doc_id, same): of each group of df (doc_id, text) the smallest doc_id and the digest of its text there.
 
-    Links are those of exact Jaccard similarity ``least`` or more of shingle sets, among texts that links of fingerprints
-    (``words``, ``radius``) or bands of minimum hashes put together.  Blank texts are one group.
+    Groups are the components of links of exact Jaccard similarity ``least`` or more of shingle sets, among texts that
+    links of fingerprints (``words``, ``radius``) or bands of minimum hashes put together.  Blank texts are one group.
     """
     marked, proposed = _proposed(df, words, radius, shingle)
     rows = df.selectExpr("CAST(doc_id AS BIGINT) AS rep", "text").join(proposed.select("rep", "same", "root"), "rep")
@@ -318,8 +321,8 @@ def alike(df: DataFrame, words: int, radius: int, shingle: int, least: float) ->
 
         def close() -> pa.RecordBatch:
             first = clusters([s for _, s in held.values()], least)
-            reps = [rep for rep, _ in held.values()]
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([reps[c] for c in first], pa.int64())], ["same", "component_id"])
+            names = list(held)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[c] for c in first], pa.binary())], ["same", "lead"])
 
         for batch in batches:
             for b in slices([batch], "text", BLOCK_BYTES):
@@ -338,23 +341,39 @@ def alike(df: DataFrame, words: int, radius: int, shingle: int, least: float) ->
             yield close()
 
     ordered = rows.select("root", "rep", "same", "text").repartition("root").sortWithinPartitions("root", "rep", "same")
-    found = materialize(ordered.mapInArrow(run, "same binary, component_id long"))
-    lowest = marked.groupBy("same").agg(F.min("doc_id").alias("rep")).join(found, "same", "left")
-    component = lowest.select("same", F.coalesce("component_id", "rep").alias("component_id"))
-    return marked.join(component, "same").select("doc_id", "component_id")
+    found = materialize(ordered.mapInArrow(run, "same binary, lead binary"))
+    lowest = marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    return lowest.join(found.filter("same <> lead").select("same"), "same", "left_anti").select("doc_id", "same")
+
+
+def digested(df: DataFrame, column: str) -> DataFrame:
+    """df with the digest of its normalised text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", BLOCK_BYTES):
+            raw, offsets = buffer_of(b.column("text"))
+            data, cuts = raw.tobytes(), offsets.tolist()
+            yield b.append_column(column, pa.array([normal_digest(data[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(column, BinaryType())]))
 
 
-def one_of_each(df: DataFrame, words: int = 3, radius: int = 2, shingle: int | None = None, least: float = 0.8) -> DataFrame:
-    """The rows of df (doc_id, text, ...) without near-duplicates: of each component the row of the smallest doc_id.
+def one_of_each(df: DataFrame, words: int = 2, radius: int = 6, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of df (doc_id, text, ...) without near-duplicates: of each group of :func:`leaders` one row.
 
-    With ``shingle``, components are those of :func:`alike`.  Of rows that repeat a doc_id one stays.  Rows without doc_id
-    stand in no component and stay.
+    It is a row of the smallest doc_id; rows that share it but not their text are told apart by their texts.  Of rows that
+    share both (but for case and white space) the smallest by all columns stays.  Rows without doc_id stand in no group and
+    stay.  An empty table gives no rows.
     """
-    known = df.filter("doc_id IS NOT NULL")
-    found = near_duplicates(known, words, radius) if shingle is None else alike(known, words, radius, shingle, least)
-    first = materialize(found.filter("doc_id = component_id").select("doc_id").distinct())
-    stay = df.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(df.filter("doc_id IS NULL"))
+    first = materialize(leaders(df.filter("doc_id IS NOT NULL"), words, radius, shingle, least))
+    digest, number = f"digest_{uuid.uuid4().hex}", f"number_{uuid.uuid4().hex}"
+    keyed = digested(df.filter("doc_id IS NOT NULL"), digest).withColumn(number, F.col("doc_id").cast("long"))
+    often = df.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    first = materialize(first.join(often.withColumn("often", F.lit(True)), "doc_id", "left"))
+    lead = first.select(F.col("doc_id").alias(number), F.col("same").alias(digest), "often")
+    once = keyed.join(lead.filter("often IS NULL"), [number, digest], "left_semi").select(*df.columns)
+    several = keyed.join(lead.filter("often"), [number, digest], "left_semi").groupBy(number, digest).agg(F.min(F.struct(*df.columns)).alias("r")).select("r.*")
+    return once.unionByName(several).unionByName(df.filter("doc_id IS NULL"))
 
 
 def hex_digits(fp: Column) -> Column:

@@ -116,7 +116,27 @@ def test_simhash_equals_brute_force(spark):
     assert [got[i]["fp"] & (2**64 - 1) for i in range(len(texts))] == fps
     assert [got[i]["component_id"] for i in range(len(texts))] == slow_components(fps, 2)
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
-    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(slow_components(fps, 2))
+    small = by_id(simhash.near_duplicates(df, block_bytes=200))
+    assert [small[i]["fp"] for i in range(len(texts))] == [got[i]["fp"] for i in range(len(texts))]
+
+
+def test_one_of_each_keeps_other_texts_of_a_repeated_id(spark):
+    a, b = odd_texts()[5], odd_texts()[11]
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (1, a.upper(), "en", "s", 0), (1, a, "de", "s", 0), (2, a, "en", "s", 0), (3, b, "en", "s", 0), (None, a, "en", "s", 0), (4, None, "en", "s", 0), (5, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("often", F.lit("clash"))
+    got = sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in simhash.one_of_each(df).fillna("", "text").collect())
+    assert got == sorted([("1", min(a, a.upper()), "en"), ("1", b, "en"), ("None", a, "en"), ("4", "", "en")])
+
+
+def test_hot_keys_are_joined_in_place(spark, monkeypatch):
+    """Components, fingerprints and stars with more rows than a hot key may have give the same result."""
+    from evispark.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    test_simhash_equals_brute_force(spark)
+    links = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, i + 100) for i in range(1, 30)] + [(500, 501)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert got == {**{i: 0 for i in (*range(1, 30), *range(101, 130))}, 501: 500}
 
 
 @pytest.mark.parametrize("radius", [2, 3])
