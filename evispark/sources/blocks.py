@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,58 +63,85 @@ def html_markdown(s: pd.Series) -> pd.Series:
     return s.map(table_markdown)
 
 
-HEADING, IMAGE = re.compile(r"(#{1,6})\s+(.+)"), re.compile(r"!\[([^\]]*)\]\(([^)]+)\)\s*")
-RULE, ITEM = re.compile(r"\|[\s:|-]+\|?\s*"), re.compile(r"(?:[-*]|\d+\.)\s+")
 BLOCK = ArrayType(StructType([StructField("type", StringType()), StructField("level", IntegerType()), StructField("text", StringType()), StructField("body", StringType())]))
 
 
-def _kind(lines: list[str], i: int) -> str:
-    """What begins at line i."""
-    line = lines[i].strip()
-    if not line:
-        return "blank"
-    if HEADING.fullmatch(line):
-        return "title"
-    if IMAGE.fullmatch(line):
-        return "image"
-    if line.lower().startswith("<table"):
-        return "html"
-    if line.startswith("|") and i + 1 < len(lines) and RULE.fullmatch(lines[i + 1].strip()):
-        return "table"
-    return "list" if ITEM.match(line) else "text"
+def _marker(line: str) -> tuple[str, str]:
+    """(kind, rest) of a stripped line by what it begins with: "#", "!", "<table", "|", "-" for list items, "" else."""
+    word, _, rest = line.replace("\t", " ").partition(" ")
+    if rest.strip() and len(word) <= 6 and word == "#" * len(word) != "":
+        return "#", rest.strip()
+    if word in ("-", "*") or (word.endswith(".") and word[:-1].isdecimal()):
+        # A marker alone is no item: blanks at its end were stripped.
+        return ("-", rest.lstrip()) if rest else ("", line)
+    if line.startswith("!["):
+        caption, middle, path = line[2:].partition("](")
+        return "!" if middle and "]" not in caption and path.find(")") == len(path) - 1 > 0 else "![", line
+    return ("<table", line) if line[:6].lower() == "<table" else ("|" if line.startswith("|") else "", line)
+
+
+def _is_rule(line: str) -> bool:
+    """A line that parts a table's head from its body."""
+    return len(line) > 1 and line[0] == "|" and not line[1:].strip(" \t:|-")
+
+
+def _labelled(lines: list[str]) -> list[tuple[str, int] | None]:
+    """(kind, number of its block) of each line, None for blank ones; a block's lines follow each other."""
+    out: list[tuple[str, int] | None] = []
+    number, before, until = 0, "blank", ""
+    for i, raw in enumerate(lines):
+        line = raw.strip()
+        mark = _marker(line)[0]
+        if until == "</table>":
+            kind = "html"
+            if until in line.lower():
+                until = ""
+        elif mark == "|" and before == "table":
+            kind = "table"
+        elif not line:
+            kind = "blank"
+        elif mark == "<table":
+            # The table's first line is never its last, as a reader of whole elements would have it.
+            kind, until = "html", "</table>"
+            number += 1
+        elif mark == "|" and i + 1 < len(lines) and _is_rule(lines[i + 1].strip()):
+            kind = "table"
+        else:
+            kind = {"#": "title", "!": "image", "-": "list"}.get(mark, "text")
+        if kind != before or kind in ("title", "image") or mark == "![":
+            number += 1
+        before = kind
+        out.append(None if kind == "blank" else (kind, number))
+    return out
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip() for c in line.strip().strip("|").split("|")]
+
+
+def _block(kind: str, lines: list[str]) -> tuple[str, int | None, str, str]:
+    first = lines[0].strip()
+    if kind == "title":
+        return "title", len(first) - len(first.lstrip("#")), _marker(first)[1], ""
+    if kind == "image":
+        caption, _, path = first[2:-1].partition("](")
+        return "image", None, caption, path.strip()
+    if kind == "html":
+        return "table", None, "", "\n".join(lines)
+    if kind == "table":
+        head, *body = [_cells(x) for k, x in enumerate(lines) if k != 1]
+        marked = [f"<tr>{''.join(f'<{tag}>{c}</{tag}>' for c in row)}</tr>" for tag, rows in (("th", [head]), ("td", body)) for row in rows]
+        return "table", None, "", f"<table><thead>{marked[0]}</thead><tbody>{''.join(marked[1:])}</tbody></table>"
+    if kind == "list":
+        return "list", None, "\n".join(_marker(x.strip())[1] for x in lines), ""
+    return "text", None, "\n".join(lines).strip(), ""
 
 
 def markdown_blocks(markdown: str | None) -> list[tuple[str, int | None, str, str]]:
     """(type, heading level, text, body) of titles, images, tables, lists and paragraphs, in order."""
-    lines, out, i = (markdown or "").split("\n"), [], 0
-    while i < len(lines):
-        kind, line, start = _kind(lines, i), lines[i].strip(), i
-        i += 1
-        if kind == "title":
-            mark, text = HEADING.fullmatch(line).groups()
-            out.append(("title", len(mark), text.strip(), ""))
-        elif kind == "image":
-            caption, path = IMAGE.fullmatch(line).groups()
-            out.append(("image", None, caption, path.strip()))
-        elif kind == "html":
-            while i <= len(lines) and "</table>" not in lines[i - 1].lower() and i < len(lines):
-                i += 1
-            out.append(("table", None, "", "\n".join(lines[start:i])))
-        elif kind == "table":
-            while i < len(lines) and lines[i].strip().startswith("|"):
-                i += 1
-            cells = [[c.strip() for c in x.strip().strip("|").split("|")] for x in [lines[start], *lines[start + 2 : i]]]
-            row = lambda tag, r: "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in r) + "</tr>"
-            out.append(("table", None, "", f"<table><thead>{row('th', cells[0])}</thead><tbody>{''.join(row('td', r) for r in cells[1:])}</tbody></table>"))
-        elif kind == "list":
-            while i < len(lines) and _kind(lines, i) == "list":
-                i += 1
-            out.append(("list", None, "\n".join(ITEM.sub("", x.strip(), count=1) for x in lines[start:i]), ""))
-        elif kind == "text":
-            while i < len(lines) and _kind(lines, i) == "text":
-                i += 1
-            out.append(("text", None, "\n".join(lines[start:i]).strip(), ""))
-    return out
+    lines = (markdown or "").split("\n")
+    labelled = zip(_labelled(lines), lines, strict=True)
+    return [_block(label[0], [x for _, x in group]) for label, group in groupby(labelled, key=lambda p: p[0]) if label]
 
 
 @F.pandas_udf(BLOCK)

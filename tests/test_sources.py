@@ -54,6 +54,11 @@ def test_blocks_and_tables(spark):
     md = "# Head\npara one\nstill\n\n- a\n- b\n1. c\n![cap](x.png)\n| h | i |\n|---|---|\n| 1 | 2 |\n<table>\n<tr><td>x</td></tr>\n</table>\nend"
     got = [(t, lv, x) for t, lv, x, _ in B.markdown_blocks(md)]
     assert got == [("title", 1, "Head"), ("text", None, "para one\nstill"), ("list", None, "a\nb\nc"), ("image", None, "cap"), ("table", None, ""), ("table", None, ""), ("text", None, "end")]
+    odd = "####### no\n#no\n![open\n![a](b)c\nx\n-\n1.\tone\n| a |\nnot\n|h|\n|-|\n|1|\n\n|2|\n<TABLE>\n\nx</TABLE>\n## Two"
+    assert [(t, x, b) for t, _, x, b in B.markdown_blocks(odd)] == [
+        ("text", "####### no\n#no", ""), ("text", "![open", ""), ("text", "![a](b)c\nx\n-", ""), ("list", "one", ""), ("text", "| a |\nnot", ""),
+        ("table", "", "<table><thead><tr><th>h</th></tr></thead><tbody><tr><td>1</td></tr></tbody></table>"), ("text", "|2|", ""), ("table", "", "<TABLE>\n\nx</TABLE>"), ("title", "Two", ""),
+    ]
     assert B.markdown_blocks("") == [] and B.markdown_blocks(None) == []
     assert B.table_markdown("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td></tr></table>") == "| a | b |\n| --- | --- |\n| 1 |  |"
     df = spark.createDataFrame([(1, "x\nIntro\nbody\nReferences\nz"), (2, "plain")], "id int, t string")

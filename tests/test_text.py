@@ -9,13 +9,32 @@ def one(spark, column, **values):
     return spark.range(1).select(*(v.alias(k) for k, v in row.items())).select(column.alias("x")).first()["x"]
 
 
-def test_hgvs_aliases():
-    assert H.aliases("NM_000059.4(BRCA2):c.1A>G") == ["NM_000059.4(BRCA2):c.1A>G", "c.1A>G"]
-    assert H.aliases("p.Arg243Ter")[1] == "p.R243*"
-    assert H.aliases("p.Gly281AlafsTer20")[1] == "p.G281fs"
-    assert "p.R168*" in H.aliases("R168X") and "p.R168*" in H.aliases("Arg168Ter")
-    assert H.aliases("['p.S242R','p.S346I']") == ["p.S242R", "p.S346I"]
-    assert H.aliases("") == [] and H.aliases(None) == []
+def aliases(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r["x"] for r in df.select("i", H.hgvs_aliases(F.col("t")).alias("x")).orderBy("i").collect()]
+
+
+def test_hgvs_aliases(spark):
+    got = aliases(
+        spark, "NM_000059.4(BRCA2):c.1A>G", "p.Arg243Ter", "p.Gly281AlafsTer20", "R168X", "Arg168Ter", "['p.S242R','p.S346I']", "", None,
+        "c.727C>T(p.R243X)", "p.R243X,p.R244X", "Arg5Gly/p.Arg6Ter", "NM_1.2(G):c.5A>G (p.Lys2Arg)", "p.(Arg97Profs*23)", "p.Xyz5Gly", "&gt;c.1A", "R5C", "[\"p.Arg5Gly\"]", "p.Leu4del",
+    )
+    assert got[0] == ["NM_000059.4(BRCA2):c.1A>G", "c.1A>G"]
+    assert got[1] == ["p.Arg243Ter", "p.R243*"] and got[2] == ["p.Gly281AlafsTer20", "p.G281fs"]
+    assert got[3] == ["R168X", "p.R168*"] and got[4] == ["Arg168Ter", "p.R168*"]
+    assert got[5] == ["p.S242R", "p.S346I"] and got[6] == got[7] == []
+    assert got[8] == ["c.727C>T(p.R243X)", "p.R243*"] and got[9] == ["p.R243X,p.R244X", "p.R243*"] and got[10] == ["Arg5Gly/p.Arg6Ter", "p.R6*"]
+    assert got[11] == ["NM_1.2(G):c.5A>G(p.Lys2Arg)", "c.5A>G(p.Lys2Arg)", "p.K2R"] and got[12] == ["p.(Arg97Profs*23)", "p.R97fs"]
+    assert got[13] == ["p.Xyz5Gly"] and got[14] == [">c.1A"] and got[15] == ["R5C", "p.R5C"] and got[16] == ["p.Arg5Gly", "p.R5G"] and got[17] == ["p.Leu4del", "p.L4del"]
+
+
+def test_inheritance(spark):
+    want = {
+        "AD": "AD", "autosomal  dominant with reduced penetrance": "AD", "X-linked dominant; de novo": "XL", "xlr": "XL", "X连锁显性遗传": "XL", "常染色体隐性": "AR", "unknown": "UNKNOWN", "unknown inheritance": "Undetermined",
+        "somatic": "Somatic Mosaicism", "somatic variant": "SOMATIC VARIANT", "gonadal mosaicism": "Somatic Mosaicism", "maternal": "MATERNAL", "maternal inheritance": "Mitochondrial", "semi-dominant": "SD", " ": "", "Mitochondrial": "Mitochondrial",
+    }
+    df = spark.createDataFrame(list(want.items()), "t string, w string")
+    assert all(r["got"] == r["w"] for r in df.select("*", H.inheritance(F.col("t")).alias("got")).collect())
 
 
 def test_fuzzy_and_relevance(spark):
