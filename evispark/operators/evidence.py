@@ -103,39 +103,57 @@ def transition(grounding: Column, status: Column, table: Column) -> Column:
     return F.when((status == "found") & (grounding == "missing"), F.when(table, "table_ungrounded").otherwise("source_invalid")).otherwise(status)
 
 
-#: Cue words of each kind of support.
+#: Cue words of each kind of support, and diseases whose names show that a text is about others.
 CUES = {
-    "causal": ("caused by", "causes", "causative", "pathogenic variant", "disease-causing", "responsible for"),
-    "direct": ("associated with", "association", "identified in", "found in patients"),
-    "susceptibility": ("susceptibility", "risk factor", "predispos"),
-    "hedged": ("may ", "might", "suggest", "possibly", "could be"),
-    "refute": ("not associated", "no association", "does not cause", "excluded", "refute"),
-    "disputed": ("disputed", "conflicting", "controversial"),
-}
+    "causal": ("cause", "causal", "disease-causing", "pathogenic variant", "biallelic", "loss-of-function", "deficiency"),
+    "direct": ("associated", "association", "linked", "linkage"),
+    "susceptibility": ("risk", "susceptibility", "susceptible", "predispos"),
+    "hedged": (
+        "suggest", "may contribute", "may be involved", "may play a role", "may be due", "might be due", "could be due", "could contribute", "appears", "implies", "implicated", "central to", "pathogenesis", "mediating",
+        "involved in", "likely", "possibly", "possible", "predicted", "indicate", "unclear", "incidental finding", "pathogenic link", "preliminary",
+    ),
+    "refute": ("no evidence", "not associated", "refute", "conflicting"),
+    "disputed": ("disputed", "conflict", "unresolved", "controversial", "predicted", "computational prediction", "bioinformatic prediction"),
+}
+OTHER_DISEASES = ("influenza", "rsv", "covid-19", "crohn", "bacterial infection", "viral infection")
+#: Labels of a relationship.
+LABELS = ("causative", "susceptibility", "uncertain", "disputed", "refuted", "unknown")
 
 
 def cue(text: Column, kind: str) -> Column:
-    low = F.lower(text)
+    """Whether a text in lower case holds a cue of a kind."""
     out = F.lit(False)
     for word in CUES[kind]:
-        out = out | F.contains(low, F.lit(word))
+        out = out | F.contains(text, F.lit(word))
     return out
 
 
 def support(items: DataFrame) -> DataFrame:
-    """Deterministic support of items (snippet, target_gene, disease_alias): scores, label and whether to review.
+    """Deterministic support of items (snippet, target_gene, disease_alias, and field_id and value if known): scores, label
+    and whether to review.
 
-    Score = 0.65 x specificity + the strongest cue's weight, between 0 and 1; specificity is half for the gene and half for the
-    disease.  Refuting words outrank causal ones, those outrank susceptibility and hedging.
+    Score = 0.65 x specificity + the strongest cue's weight - what a list of other diseases costs, between 0 and 1.
+    Specificity is 1 if both gene and disease are named and 0.55 for one of them; without its disease a diagnosis has none.
+    A text that ties a variant of the gene to the disease, without hedging or doubt, counts as causal.
     """
-    low = F.lower(F.coalesce("snippet", F.lit("")))
-    gene = ~blank(F.col("target_gene")) & F.contains(low, F.lower("target_gene"))
-    disease = ~blank(F.col("disease_alias")) & F.contains(low, F.lower("disease_alias"))
+    clean = lambda c: T.collapse_spaces(F.lower(F.coalesce(c, F.lit(""))))
+    given = lambda name: F.col(name) if name in items.columns else F.lit("")
+    low, target, alias = clean(F.col("snippet")), clean(F.col("target_gene")), clean(F.col("disease_alias"))
+    gene, disease = (target != "") & F.contains(low, target), (alias != "") & F.contains(low, alias)
     c = {k: cue(low, k) for k in CUES}
-    weight = F.when(c["disputed"] & ~c["refute"], 0.15).when(c["refute"], 0.0).when(c["causal"], 0.45).when(c["susceptibility"] | c["direct"], 0.25).when(c["hedged"], 0.20).otherwise(0.0)
-    label = F.when(c["disputed"] & ~c["refute"], "disputed").when(c["refute"], "refuted").when(c["causal"], "causative").when(c["susceptibility"], "susceptibility").otherwise("uncertain")
-    spec = 0.5 * gene.cast("int") + 0.5 * disease.cast("int")
-    out = items.withColumn("specificity", spec).withColumn("support", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.65 * F.col("specificity") + weight)), 4))
+    # Words before the gene's name tell whether it is a variant of this gene; the name itself is compared, not matched.
+    of_gene = F.exists(F.split(low, r"\bvariants?\s+(?:in|of)\s+(?:the\s+)?"), lambda x: F.startswith(x, target) & ~F.rlike(F.substring(x, F.length(target) + 1, F.lit(1)), F.lit(r"(?U)\w")))
+    later = F.size(F.split(low, r"\bvariants?\s+(?:in|of)\s+(?:the\s+)?")) > 1
+    mendelian = c["direct"] & ~c["hedged"] & ~c["refute"] & ~c["disputed"] & gene & disease & later & of_gene
+    causal = c["causal"] | mendelian
+    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in OTHER_DISEASES), F.lit(0))
+    cost = F.when(disease | (hits == 0), 0.0).when(hits >= 3, 0.35).otherwise(0.15)
+    doubt = c["disputed"] & ~c["refute"]
+    weight = F.when(doubt, 0.15).when(c["refute"], 0.0).when(causal, 0.45).when(c["susceptibility"] | c["direct"], 0.25).when(c["hedged"], 0.20).otherwise(0.0)
+    own = F.replace(clean(given("value")), F.lit(" "), F.lit("_"))
+    label = F.when(doubt, "disputed").when(c["refute"], "refuted").when(causal, "causative").when(c["susceptibility"], "susceptibility").when(c["hedged"] | c["direct"], "uncertain").when(own.isin(*LABELS), own).otherwise("uncertain")
+    spec = F.when((given("field_id") == DISEASE_FIELD) & ~disease, 0.0).when(gene & disease, 1.0).when(gene | disease, 0.55).otherwise(0.0)
+    out = items.withColumn("specificity", spec).withColumn("support", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(0.65 * spec + weight - cost, 4))))
     out = out.withColumn("contradiction", F.when(c["refute"] & ~c["disputed"], 0.8).otherwise(0.0)).withColumn("label", label)
     return out.withColumn("review", (F.col("contradiction") >= 0.7) | (F.col("specificity") < 0.5) | (F.col("support") < 0.6))
 

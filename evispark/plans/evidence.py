@@ -108,13 +108,6 @@ def _(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", cause.alias("cause"))
 
 
-@query("h14_review_stars", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 3 WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END AS stars FROM orders")
-def _(t: Tables):
-    s = F.col("o_orderstatus")
-    text = F.when(s == "F", "Reviewed by expert panel").when(s == "P", "criteria provided, multiple submitters").otherwise("none")
-    return t.orders.select("o_orderkey", H.review_stars(text).alias("stars"))
-
-
 @query("h18_ids_in_text", "SELECT p_partkey, CASE WHEN p_size = p_size // 2 THEN 'MONDO:' || p_size ELSE 'MONDO:' || least(CAST(p_size AS VARCHAR), CAST(p_size // 2 AS VARCHAR)) || ';MONDO:' || greatest(CAST(p_size AS VARCHAR), CAST(p_size // 2 AS VARCHAR)) END AS ids FROM part")
 def _(t: Tables):
     text = F.concat(F.lit("see MONDO:"), F.col("p_size").cast("string"), F.lit("|HP:7, MONDO:"), F.floor(F.col("p_size") / 2).cast("string"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import hgvs as H
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import learning as N
@@ -19,36 +18,6 @@ def _(t: Tables):
     return t.customer.select("c_custkey", T.lookup_text(F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("k"))
 
 
-@query("h9_hgvs_aliases", "SELECT p_partkey, 'NM_1.2:c.' || p_partkey || 'A>G;c.' || p_partkey || 'A>G' AS aliases FROM part")
-def _(t: Tables):
-    name = F.concat(F.lit("NM_1.2:c."), F.col("p_partkey").cast("string"), F.lit("A>G"))
-    return t.part.select("p_partkey", F.array_join(H.hgvs_aliases(name), ";").alias("aliases"))
-
-
-@query("h13_rsid", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'rs' || p_partkey END AS rs FROM part")
-def _(t: Tables):
-    raw = F.when(F.col("p_size") % 4 == 0, "-1").when(F.col("p_size") % 4 == 1, F.concat(F.lit("RS"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_partkey").cast("string"))
-    return t.part.select("p_partkey", H.rsid(raw).alias("rs"))
-
-
-@query("h17_variant_class", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'missense' WHEN p_size % 3 = 1 THEN 'frameshift' ELSE 'other' END AS c FROM part")
-def _(t: Tables):
-    text = F.when(F.col("p_size") % 3 == 0, "Missense variant").when(F.col("p_size") % 3 == 1, "frameshift deletion").otherwise("regulatory")
-    return t.part.select("p_partkey", H.variant_class(text).alias("c"))
-
-
-@query("h22_inheritance", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'AD' WHEN p_size % 3 = 1 THEN 'XL' ELSE p_type END AS moi FROM part")
-def _(t: Tables):
-    text = F.when(F.col("p_size") % 3 == 0, "autosomal  Dominant, de novo").when(F.col("p_size") % 3 == 1, "xlr").otherwise(F.lower("p_type"))
-    return t.part.select("p_partkey", H.inheritance(text).alias("moi"))
-
-
-@query("h28_severity", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'P' THEN 1 ELSE 2 END AS severity FROM orders")
-def _(t: Tables):
-    text = F.when(F.col("o_orderstatus") == "F", "Pathogenic").when(F.col("o_orderstatus") == "P", "Likely benign").otherwise("VUS")
-    return t.orders.select("o_orderkey", T.severity(T.classification_level(text)).cast("int").alias("severity"))
-
-
 @query("h31_variant_sites", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS site FROM part")
 def _(t: Tables):
     sites = F.filter(F.transform(F.split(F.replace("p_name", F.lit(" "), F.lit(";")), ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -48,7 +48,11 @@ def test_grounding(spark):
 
 
 def test_support(spark):
-    rows = [("BRCA1 is causative of cancer", "causative", 1.0, False), ("BRCA1 is not associated with cancer", "refuted", 0.65, True), ("disputed link of BRCA1", "disputed", 0.475, True), ("nothing", "uncertain", 0.0, True), (None, "uncertain", 0.0, True)]
+    rows = [
+        ("BRCA1 causes cancer", "causative", 1.0, False), ("BRCA1 is not associated with cancer", "refuted", 0.65, True), ("disputed link of BRCA1", "disputed", 0.5075, True), ("nothing", "uncertain", 0.0, True), (None, "uncertain", 0.0, True),
+        ("biallelic BRCA1", "causative", 0.8075, False), ("BRCA1 is linked to Cancer", "uncertain", 0.9, False), ("preliminary BRCA1 cancer", "uncertain", 0.85, False), ("conflicting BRCA1 cancer", "refuted", 0.65, False),
+        ("a variant in the BRCA1 gene was associated with cancer", "causative", 1.0, False), ("variants of BRCA12 associated with cancer", "uncertain", 0.9, False), ("BRCA1 in influenza, RSV and Crohn", "uncertain", 0.0075, True), ("BRCA1 risk", "susceptibility", 0.6075, False),
+    ]
     df = spark.createDataFrame([(r[0], "BRCA1", "Cancer") for r in rows], "snippet string, target_gene string, disease_alias string")
     got = {r["snippet"]: (r["label"], r["support"], r["review"]) for r in E.support(df).collect()}
     for s, label, score, review in rows:
@@ -90,3 +94,22 @@ def test_merges_and_ranking(spark):
     g = spark.createDataFrame([("B", "v", "C"), ("b", None, "c")], "gene string, variant string, disease string")
     nodes, edges = E.literature_graph(g)
     assert nodes.count() == 3 and {(r["src"], r["evidence_count"]) for r in edges.collect()} == {("gene:b", 2), ("variant:v", 1)}
+
+
+def test_comparison_grades(spark):
+    from evispark.operators import comparison as C
+
+    want = spark.createDataFrame([(1, "F", "brown  cat"), (1, C.MODE_FIELDS[0], "AD"), (1, "G", "x y"), (1, "H", "z"), (2, C.PROTEIN_FIELD, "p.Arg243Ter")], "entry int, field_id string, value string")
+    got = spark.createDataFrame(
+        [(1, "F", 0, "a dog", "found"), (1, "F", 1, "the Brown cat", "found"), (1, "F", 2, "Brown cat", "found"), (1, "F", 3, "A  DOG", "found"), (1, "F", 4, "owl", "not_found"), (1, C.MODE_FIELDS[0], 0, "autosomal dominant", "found"), (1, "G", 0, "q", "found"), (1, "G", 1, "r", "found"), (2, C.PROTEIN_FIELD, 0, "R243X", "found")],
+        "entry int, field_id string, pos int, value string, status string",
+    )
+    rows = {r["field_id"]: (r["match_type"], r["extracted_value"], r["extra_values"]) for r in C.compare_fields(want, got).collect()}
+    assert rows["F"] == ("exact", "Brown cat", ["a dog"])
+    assert rows[C.MODE_FIELDS[0]] == ("field_normalized", "autosomal dominant", []) and rows[C.PROTEIN_FIELD] == ("field_normalized", "R243X", [])
+    assert rows["G"] == ("wrong_value", "q", []) and rows["H"] == ("missing", None, [])
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(C.phenotype_terms(F.lit("Global developmental\n delay, hp:0000001"))) == "HP:0000001;HP:0001263" and one(C.phenotype_terms(F.lit(" plain "))) == "plain"
+    assert one(C.canonical_alias(F.lit("NM_1.2(G):c.5A>G (p.Lys2Arg)"))) == "p.K2R" and one(C.canonical_alias(F.lit("p.Gly281AlafsTer20"))) == "p.G281fs" and one(C.canonical_alias(F.lit(None).cast("string"))) == ""
+    assert tuple(one(C.highlight(F.lit("see BRCA1 here"), F.lit("99"), F.lit("120"), F.lit("brca1")))) == (4, 9)
+    assert tuple(one(C.highlight(F.lit("abc"), F.lit("-2"), F.lit("2"), F.lit("b")))) == (0, 2) and one(C.highlight(F.lit(""), F.lit("0"), F.lit("2"), F.lit("b"))) is None
