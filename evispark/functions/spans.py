@@ -53,13 +53,21 @@ def quote_span(quote: Column, text: Column) -> Column:
 
 
 def _folded(text: str) -> tuple[str, list[int]]:
-    """NFKC, lower-cased text with white space runs as one blank, and for each character the one it came from."""
-    chars, origin = [], []
+    """NFKC, lower-cased text, and for each character the one it came from.
+
+    A run of white space is one blank between ASCII characters and nothing beside others: line breaks in CJK text part no
+    words.
+    """
+    chars, origin, gap = [], [], -1
     for i, c in enumerate(text):
+        if c.isspace():
+            gap = i if gap < 0 else gap
+            continue
+        if gap >= 0 and chars and chars[-1].isascii() and c.isascii():
+            chars.append(" ")
+            origin.append(gap)
+        gap = -1
         for x in unicodedata.normalize("NFKC", c).lower():
-            x = " " if x.isspace() else x
-            if x == " " and chars and chars[-1] == " ":
-                continue
             chars.append(x)
             origin.append(i)
     return "".join(chars), origin

@@ -92,7 +92,11 @@ def relevance_tokens(c: Column) -> Column:
 def lexical_relevance(query: Column, text: Column) -> Column:
     """Share of the query's distinct tokens that the text has; 0 for a query without tokens."""
     q = F.array_distinct(relevance_tokens(query))
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, relevance_tokens(text))) / F.size(q))
+    # One pass over the text; words stand between blanks, and pairs of CJK characters anywhere.
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+", " "), F.lit(" "))
+    pair = lambda w: F.rlike(w, F.lit(r"[぀-ヿ㐀-鿿]")) & (F.length(w) == 2)
+    held = F.filter(q, lambda w: F.when(pair(w), F.contains(words, w)).otherwise(F.contains(words, F.concat(F.lit(" "), w, F.lit(" ")))))
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(held) / F.size(q))
 
 
 def word_set(c: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .relational import best_tier, top_one
 
 #: Order of alias types in a lookup; others come last.
@@ -36,19 +37,47 @@ def finalize(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("mention_id", status.alias("status"), F.when(F.col("n") == 1, F.col("entry_id")).alias("entry_id"))
 
 
-def best_jaccard(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each query (query_id, tokens) the target (target_id, tokens) of largest Jaccard overlap; ties to smaller id.
+#: Words that tell no diseases apart.
+COMMON_WORDS = ["disease", "syndrome", "type", "the", "of", "and", "with", "due", "to", "a", "in", "for", "disorder", "deficiency", "mutation"]
 
-    Only pairs that share a token meet, through an inverted index; overlaps are counts of shared tokens.
+
+def significant_tokens(c: Column) -> Column:
+    """Distinct runs of a-z and 0-9 longer than two characters, without common words, in order."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))), lambda w: (F.length(w) > 2) & ~w.isin(COMMON_WORDS))
+
+
+def grams(c: Column, n: int = 3) -> Column:
+    """Distinct substrings of n characters; a shorter text is one by itself."""
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    return F.array_distinct(pieces)
+
+
+def rarest_gram_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(needle, hay) of needles (needle, grams) and hays (hay, grams) such that the hay has the needle's rarest gram.
+
+    Whatever contains all of a needle's grams is among them.  Each needle is looked up by one gram, the one that the
+    fewest hays have, so frequent ones pair nothing; a needle with a gram that no hay has is left out.
+    """
+    asked = needles.select("needle", F.explode("grams").alias("g"))
+    have = hays.select("hay", F.explode("grams").alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
+    sizes = have.groupBy("g").agg(F.count("*").alias("n"))
+    known = asked.join(sizes, "g", "left").groupBy("needle").agg(F.min(F.struct("n", "g")).alias("rare"), F.bool_and(F.col("n").isNotNull()).alias("whole"))
+    return known.filter("whole").select("needle", F.col("rare.g").alias("g")).join(have, "g").select("needle", "hay")
+
+
+def resolve_by_tokens(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(query_id, alias_id, score): for each query (query_id, text) the alias (alias_id, text) that contains all of its
+    significant tokens and has the largest Jaccard overlap of token sets; ties to the smaller id.
+
+    Queries without such tokens, and those that no alias contains, have no row.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("t"))
-    d = targets.select("target_id", F.explode(F.array_distinct("tokens")).alias("t"))
-    shared = q.join(d, "t").groupBy("query_id", "target_id").agg(F.count("*").alias("shared"))
-    sizes_q = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("nq"))
-    sizes_d = targets.select("target_id", F.size(F.array_distinct("tokens")).alias("nd"))
-    scored = shared.join(sizes_q, "query_id").join(sizes_d, "target_id")
-    scored = scored.withColumn("score", F.col("shared") / (F.col("nq") + F.col("nd") - F.col("shared")))
-    return top_one(scored, ["query_id"], [F.desc("score"), F.asc("target_id")]).select("query_id", "target_id", "score")
+    q = queries.select("query_id", significant_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    d = aliases.select("alias_id", F.lower("text").alias("low"), significant_tokens(F.col("text")).alias("own")).filter("low IS NOT NULL")
+    each = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x: grams(x))))
+    pairs = rarest_gram_pairs(q.select(F.col("query_id").alias("needle"), each(F.col("tokens")).alias("grams")), d.select(F.col("alias_id").alias("hay"), grams(F.col("low")).alias("grams")))
+    j = pairs.withColumnsRenamed({"needle": "query_id", "hay": "alias_id"}).distinct().join(q, "query_id").join(d, "alias_id")
+    j = j.filter(F.forall("tokens", lambda w: F.contains("low", w))).withColumn("score", T.jaccard(F.col("tokens"), F.col("own")))
+    return top_one(j.select("query_id", "alias_id", "score"), ["query_id"], [F.desc("score"), F.asc("alias_id")])
 
 
 def containing(points: DataFrame, spans: DataFrame, key: Sequence[str], at: str, start: str, end: str) -> DataFrame:
@@ -148,11 +177,17 @@ def by_gene_context(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
 def label_lookup(queries: DataFrame, labels: DataFrame) -> DataFrame:
     """(query, node): the label equal to the query, else the first by position that contains it or lies in it.
 
-    Only what no label equals is compared with all labels; labels (label, node, pos) are an ontology's, read in place.
+    labels (label, node, pos) are an ontology's.  What no label equals meets labels that share its rarest gram, or whose
+    rarest gram it has; texts of up to two characters are grams by themselves.
     """
     exact = queries.join(labels.groupBy("label").agg(F.max_by("node", "pos").alias("node")), queries["query"] == F.col("label")).select("query", "node")
-    rest = queries.join(exact.select("query"), "query", "left_anti")
-    near = rest.join(labels, F.contains("label", F.col("query")) | F.contains("query", F.col("label")))
+    rest = queries.filter("query <> ''").distinct().join(exact.select("query"), "query", "left_anti")
+    known = labels.filter("label <> ''")
+    sized = lambda c: F.array_distinct(F.concat(grams(c, 1), grams(c, 2), grams(c, 3)))
+    words, names = rest.select(F.col("query").alias("needle"), grams(F.col("query")).alias("grams")), known.select(F.col("label").alias("needle"), grams(F.col("label")).alias("grams")).distinct()
+    inside = rarest_gram_pairs(words, known.select(F.col("label").alias("hay"), sized(F.col("label")).alias("grams")).distinct()).select(F.col("needle").alias("query"), F.col("hay").alias("label"))
+    around = rarest_gram_pairs(names, rest.select(F.col("query").alias("hay"), sized(F.col("query")).alias("grams"))).select(F.col("hay").alias("query"), F.col("needle").alias("label"))
+    near = inside.unionByName(around).distinct().filter(F.contains("label", F.col("query")) | F.contains("query", F.col("label"))).join(known, "label")
     return exact.unionByName(near.groupBy("query").agg(F.min_by("node", "pos").alias("node")))
 
 

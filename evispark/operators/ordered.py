@@ -62,20 +62,24 @@ def merge_facts(df: DataFrame, keys: Sequence[str], position: str, confidence: s
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         facts: list[dict] = []
+        at: dict[str | None, int] = {}
         for r in pdf.sort_values(position, kind="stable").to_dict("records"):
             none = not isinstance(r[source], str)
-            own = next((f for f in facts if f["_key"] == (None if none else r[source])), None)
-            found = own or (facts[0] if none and facts else next((f for f in facts if f["_key"] is None), None))
-            if found is None:
-                facts.append(r | {"_key": None if none else r[source]})
-            elif r[confidence] > found[confidence]:
-                key, kept = found["_key"], found[source]
+            key = None if none else r[source]
+            # A fact is known by the source that it came with, for good.
+            where = at.get(key, 0 if none and facts else at.get(None))
+            if where is None:
+                at[key] = len(facts)
+                facts.append(dict(r))
+                continue
+            found = facts[where]
+            if r[confidence] > found[confidence]:
+                kept = found[source]
                 found.update(r)
-                found["_key"] = key
                 if none:
                     found[source] = kept
             elif not isinstance(found[source], str) and not none:
                 found[source] = r[source]
-        return pd.DataFrame(facts, columns=[*pdf.columns, "_key"])[list(pdf.columns)]
+        return pd.DataFrame(facts, columns=pdf.columns)
 
     return df.groupBy(*keys).applyInPandas(run, df.schema)

@@ -11,10 +11,14 @@ from ..streaming import health as S
 from .catalog import Tables, query
 
 
-@query("a19_tables")
+@query("a19_tables", "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS row, CAST(l_partkey AS VARCHAR) || '|' || l_returnflag || ' & ' || l_linestatus AS cells FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 0, 'part|flag' FROM lineitem")
 def _(t: Tables):
-    rows = t.pages.select("page_id", F.posexplode(B.html_rows("html")).alias("row", "cells"))
-    return rows.select("page_id", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"))
+    """Orders written as HTML tables and read back."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("<tr><td> "), "l_partkey", F.lit("</td><td><b>"), "l_returnflag", F.lit("</b> &amp; "), "l_linestatus", F.lit("</td></tr>")).alias("tr"))
+    rows = F.transform(F.array_sort(F.collect_list(line)), lambda r: r["tr"])
+    html = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.lit("<table><thead><tr><th>part</th><th>flag</th></tr></thead><tr></tr>"), F.array_join(rows, "\n"), F.lit("</table>")).alias("html"))
+    cells = html.select("l_orderkey", F.posexplode(B.html_rows("html")).alias("row", "cells"))
+    return cells.select("l_orderkey", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"))
 
 
 @query("a20_table_markdown")
@@ -50,10 +54,9 @@ def _(t: Tables):
 
 @query("g1_dedupe")
 def _(t: Tables):
-    d = t.documents.select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("h"), F.split("text", "\n")[0].alias("title"))
-    # Exact copies are settled by an aggregation first, so that a group holds distinct texts only.
-    first = d.groupBy("lang", "h").agg(F.min_by("title", "doc_id").alias("title"), F.min("doc_id").alias("doc_id"))
-    return O.dedupe_any_key(first.select("doc_id", "lang", "h", "title"), "lang", "doc_id", ["h", "title"]).select("doc_id")
+    """A conversation is a request, and its turns are candidates in order, known by their text and by their first word."""
+    c = t.conversations.select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("h"), F.lower(F.split("text", " ")[0]).alias("word"))
+    return O.dedupe_any_key(c, "conv_id", "turn", ["h", "word"]).select("conv_id", "turn")
 
 
 @query("g9_adjacent")
@@ -63,8 +66,8 @@ def _(t: Tables):
 
 @query("f11_merge_facts")
 def _(t: Tables):
-    e = t.events.select("user_id", "event_type", "event_id", "value", F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("source"))
-    return O.merge_facts(e, ["user_id", "event_type"], "event_id", "value", "source").select("user_id", "event_type", "event_id", "value", "source")
+    e = t.events.select("user_id", "event_type", F.to_date("ts").alias("day"), "event_id", "value", F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("source"))
+    return O.merge_facts(e, ["user_id", "event_type", "day"], "event_id", "value", "source").select("user_id", "event_type", "event_id", "value", "source")
 
 
 NOW = "TIMESTAMP '2024-01-15 12:00:00'"

@@ -226,9 +226,9 @@ def _(t: Tables):
     return names.filter(F.col("k").isin("nation_3", "nation_7", "n9")).select("n_nationkey").distinct()
 
 
-@query("k9_format", "SELECT string_agg(n_name || ' (' || r_name || ')', chr(10) ORDER BY n_nationkey) AS block FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 10) JOIN region ON r_regionkey = n_regionkey")
+@query("k9_format", "SELECT string_agg(n_name || ' (' || r_name || ')', chr(10) ORDER BY n_nationkey) AS block FROM nation JOIN region ON r_regionkey = n_regionkey")
 def _(t: Tables):
-    ten = t.nation.orderBy("n_nationkey").limit(10).join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"))
+    ten = t.nation.join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"))
     line = F.concat(F.col("n_name"), F.lit(" ("), F.col("r_name"), F.lit(")"))
     return ten.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("s")))), lambda x: x["s"]), "\n").alias("block"))
 

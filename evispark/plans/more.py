@@ -134,9 +134,9 @@ def clustered_bootstrap_of(t: Tables, replicates: int):
     return N.clustered_bootstrap(d, "source", "d", replicates, 3).select("replicate", F.round("mean", 6).alias("mean"))
 
 
-@query("j21_weight_grid", "SELECT l_orderkey, l_linenumber, l_partkey, g.id AS grid_id, round(l_discount * g.a + l_tax * g.b, 6) AS score FROM lineitem, (SELECT unnest([0, 1]) AS id, unnest([0.5, 1.0]) AS a, unnest([0.5, 0.25]) AS b) g WHERE l_orderkey < 500")
+@query("j21_weight_grid", "SELECT l_orderkey, l_linenumber, l_partkey, g.id AS grid_id, round(l_discount * g.a + l_tax * g.b, 6) AS score FROM lineitem, (SELECT unnest([0, 1]) AS id, unnest([0.5, 1.0]) AS a, unnest([0.5, 0.25]) AS b) g")
 def _(t: Tables):
-    return weight_grid_rows(t, t.lineitem.filter("l_orderkey < 500"))
+    return weight_grid_rows(t, t.lineitem)
 
 
 @query("j21_weight_grid_whole")
@@ -223,9 +223,9 @@ def _(t: Tables):
     return t.customer.select(F.col("c_nationkey").alias("k")).intersectAll(t.supplier.select("s_nationkey"))
 
 
-@query("n_ranking_windows", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(dense_rank() OVER w AS INTEGER) AS d, CAST(ntile(3) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_linenumber) AS INTEGER) AS t FROM lineitem WHERE l_orderkey < 1000 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity)")
+@query("n_ranking_windows", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(dense_rank() OVER w AS INTEGER) AS d, CAST(ntile(3) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_linenumber) AS INTEGER) AS t FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity)")
 def _(t: Tables):
-    return ranking_windows_rows(t, t.lineitem.filter("l_orderkey < 1000"))
+    return ranking_windows_rows(t, t.lineitem)
 
 
 @query("n_ranking_windows_whole")

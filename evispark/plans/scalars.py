@@ -47,9 +47,9 @@ def _(t: Tables):
     return t.orders.select("o_orderkey", T.classification_level(text).alias("level"))
 
 
-@query("h35_category", "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS category FROM lineitem WHERE l_orderkey < 200")
+@query("h35_category", "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS category FROM lineitem")
 def _(t: Tables):
-    return category_rows(t, t.lineitem.filter("l_orderkey < 200"))
+    return category_rows(t, t.lineitem)
 
 
 @query("h35_category_whole")
@@ -108,13 +108,13 @@ def _(t: Tables):
 @query(
     "h78_section_state",
     """
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id < 200),
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
          f AS (SELECT *, last_value(CASE WHEN length(line) <= 60 THEN pos % 2 = 1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS keep FROM l)
     SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE coalesce(keep, true)) AS kept FROM f GROUP BY doc_id
     """,
 )
 def _(t: Tables):
-    return section_state(t.documents.filter("doc_id < 200"))
+    return section_state(t.documents)
 
 
 @query("h78_section_state_whole")
