@@ -37,6 +37,15 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def url_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express: host, path, the longest suffix rule and its verdict, through the same functions."""
+    pages = table(spark, sf_dir, "pages")
+    host, path = url_rules.host_and_path(pages["url"])
+    parts = pages.select(pages["page_id"], host.alias("host"), path.alias("path"))
+    rule, verdict = url_rules.suffix_rule(parts["host"], parts["path"])
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
 def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.learn(docs))
@@ -89,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_url_rules": op6_url_rules,
+    "url_suffix_rules": url_suffix_rules,
     "op7_cross_parsing": op7_cross_parsing,
     "op8_tool_calls": op8_tool_calls,
     "op9_simhash": op9_simhash,
@@ -96,6 +106,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "url_suffix_rules": r"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+             h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+             r AS (SELECT unnest(['com', 'example.com', 'www.example.com', 'net', 'net']) AS h, unnest(['/', '/en/', '/en/', '/es/', '/fr/']) AS p, unnest(['allow', 'block', 'allow', 'block', 'block']) AS v),
+             m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM h JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN m USING (page_id)
+    """,
     "op8_tool_calls": """
         WITH t AS (
             SELECT conv_id, turn, role, text, length(text) AS n, role = 'assistant' AND text IS NOT NULL AS is_call,

@@ -1,14 +1,19 @@
 """URL filters: suffix rules first, association rules for the rest.
 
 A url's tokens (scheme, host labels, path words, query keys, extension, fragment) and the label of its document make a
-transaction; Spark's FP-growth mines frequent combinations.  Rules whose consequence is a label are pruned by support,
-by confidence and by simpler rules that are as sure.  An inverted index from a rule's first token finds the rules that
-may match a url; the surest match decides, and a url without one is allowed.
+transaction; Spark's FP-growth mines frequent combinations.  The document of a page is the one that the first number in
+its path names; a page without such a number, or whose document has no label, teaches nothing.
 
-How many rules there are follows from the least support, not from the number of rows, so they fit on the driver.
+Rules whose consequence is a label are pruned by support, by confidence and lift over the label's share (a url is
+blocked if that is likelier than not), by a lower confidence bound that must lie above that share, and by simpler rules
+that are as sure.  An inverted index from a rule's first token finds the rules that may match a url; the surest
+match decides, and a url without one is allowed.
+
+Support, lift and bound are tested by Spark; what comes to the driver is rules that passed all three.
 
 Results: a null url, or one without ``://``, has an empty host and path and no tokens.  Repeated rows get equal results;
-an empty table gives no rows.  Without labelled urls no rule is mined.  Extra columns are not read.
+an empty table gives no rows.  Without labelled urls no rule is mined.  Urls of any length are read whole.  Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -71,17 +77,20 @@ def document_number(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
+    """``gain``: how much of the way from the label's share to certainty the lower confidence bound lies."""
+
     tokens: tuple[str, ...]
     label: str
     confidence: float
     support: float
+    gain: float
 
     def sureness(self) -> tuple:
-        return (-self.confidence, -self.support, len(self.tokens), self.tokens, self.label)
+        return (-self.gain, -self.support, len(self.tokens), self.tokens, self.label)
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6, most_tokens: int = 4) -> list[Rule]:
-    """Pruned rules from labelled urls, surest first."""
+def transactions(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(items array<string>) of labelled urls: their tokens and a label, block if the document is of low quality or toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,16 +100,43 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.01, min_con
     bad = F.max(((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).cast("int"))
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(bad.alias("bad"))
     known = pages.filter("url IS NOT NULL").select("url", document_number(F.col("url")).alias("doc_id")).filter("doc_id IS NOT NULL").join(marks, "doc_id")
-    items = known.select("url", (F.col("bad") == 1).alias("bad")).mapInArrow(run, "items array<string>")
-    if not items.take(1):
+    return known.select("url", (F.col("bad") == 1).alias("bad")).mapInArrow(run, "items array<string>")
+
+
+def lower_bound(confidence: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a share that was observed in n cases."""
+    mid = confidence + z * z / (2 * n)
+    return (mid - z * F.sqrt(confidence * (1 - confidence) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5, min_lift: float = 1.5, z: float = 2.58, most_tokens: int = 4) -> list[Rule]:
+    """Pruned rules from labelled urls, surest first.
+
+    ``min_confidence`` and ``min_lift`` are asked of rules that block, as allowing is the default.
+    """
+    items = transactions(pages, labels)
+    n, blocked = items.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
+    if not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    share = blocked / n
+    # No rule that passes below has a smaller confidence.
+    least = min(max(share * min_lift, min_confidence), 1 - share)
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=least).fit(items)
     rules = model.associationRules.filter(F.array_contains("consequent", ALLOW) | F.array_contains("consequent", BLOCK))
     rules = rules.filter((F.size("antecedent") <= most_tokens) & ~F.array_contains("antecedent", ALLOW) & ~F.array_contains("antecedent", BLOCK))
-    found = [Rule(tuple(sorted(r["antecedent"])), r["consequent"][0], r["confidence"], r["support"]) for r in rules.collect()]
+    blocks = F.array_contains("consequent", BLOCK)
+    own = F.when(blocks, share).otherwise(1 - share)
+    bound = lower_bound(F.col("confidence"), F.lit(float(n)) * F.col("support") / F.col("confidence"), z)
+    rules = rules.withColumn("bound", bound).withColumn("share", own).filter((F.col("bound") > F.col("share")) & (~blocks | (F.col("confidence") >= F.greatest(min_lift * F.col("share"), F.lit(min_confidence)))))
+    rules = rules.withColumn("gain", F.round((F.col("bound") - F.col("share")) / (1 - F.col("share")), 9))
+    found = [Rule(tuple(sorted(r["antecedent"])), r["consequent"][0], r["confidence"], r["support"], r["gain"]) for r in rules.collect()]
+    best: dict[tuple[str, str], float] = {}
     kept: list[Rule] = []
     for r in sorted(found, key=lambda r: (len(r.tokens), r.sureness())):
-        if not any(set(k.tokens) < set(r.tokens) and k.label == r.label and k.confidence >= r.confidence for k in kept):
+        # Rules have few tokens, so their proper subsets are few, too.
+        smaller = [s for k in range(len(r.tokens)) for s in combinations(r.tokens, k)]
+        if not any(best.get((s, r.label), -1.0) >= r.gain for s in smaller):
+            best[r.tokens, r.label] = r.gain
             kept.append(r)
     return sorted(kept, key=Rule.sureness)
 

@@ -430,6 +430,39 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), labels).count() == 0
 
 
+def test_rules_equal_brute_force(spark):
+    """All token sets of labelled urls that pass support, lift and bound, but for those that a smaller one is as sure as."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        host, word = rng.choice(["a", "b", "spam"]), rng.choice(["en", "shop", "news"])
+        rows.append((i, f"http://{host}.site.org/{word}/{i if i % 11 else 'x'}{rng.choice(['', '?ref=1', '/'])}"))
+    rows += [(400, rows[3][1]), (401, None), (402, "no url"), (403, "http://b.site.org/en/99999999999999999999")]
+    bad = {i: int(("spam" in u and "shop" in u) or rng.random() < 0.1) for i, u in rows[:300]}
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items() if i % 4] + [(5, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {(r.tokens, r.label): (round(r.confidence, 9), round(r.support, 9), r.gain) for r in url_rules.mine(pages, labels, min_support=0.05, z=1.64)}
+    known = [(url_rules.tokens(u), bad[int(m[1])]) for _, u in rows if u and (m := re.search("://[^/?#]*/(?:[^?#]*?/)?([0-9]{1,18})", u)) and int(m[1]) in bad and int(m[1]) % 4]
+    n, share = len(known), sum(b for _, b in known) / len(known)
+    count = Counter((s, b) for t, b in known for k in range(1, 5) for s in combinations(t, k))
+    found = {}
+    for s in {s for s, _ in count}:
+        total = count[s, 0] + count[s, 1]
+        for b, label in ((1, url_rules.BLOCK), (0, url_rules.ALLOW)):
+            conf, own = count[s, b] / total, share if b else 1 - share
+            low = (conf + 1.64**2 / (2 * total) - 1.64 * (conf * (1 - conf) / total + 1.64**2 / (4 * total**2)) ** 0.5) / (1 + 1.64**2 / total)
+            if count[s, b] / n >= 0.05 and low > own and (not b or conf >= max(1.5 * share, 0.5)):
+                found[s, label] = (round(conf, 9), round(count[s, b] / n, 9), round((low - own) / (1 - own), 9))
+    want = {(s, v): x for (s, v), x in found.items() if not any(found.get((p, v), (0, 0, -1))[2] >= x[2] for k in range(1, len(s)) for p in combinations(s, k))}
+    assert got.keys() == want.keys() and any(v == url_rules.BLOCK for _, v in got)
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in got)
+    verdicts = by_id(url_rules.judge(pages, labels, min_support=0.05), "page_id")
+    assert verdicts[400]["verdict"] == verdicts[3]["verdict"]
+    assert all((verdicts[i]["verdict"] == "block") == ("spam" in u and "shop" in u) for i, u in rows[:300])
+
+
 def test_buffer_of_handles_slices_and_nulls():
     raw, offsets = buffer_of(pa.array(["ab", None, "c", ""]).slice(1, 3))
     assert raw.tobytes() == b"c" and offsets.tolist() == [0, 0, 1, 1]
