@@ -135,7 +135,7 @@ def weights(raw: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> tuple[n
     """(n-grams, summed log ratio) of each document of a block."""
     bucket, doc = grams(raw, offsets)
     n = np.bincount(doc, minlength=len(offsets) - 1).astype(np.int64)
-    return n, np.bincount(doc, ratios[bucket], len(offsets) - 1)
+    return n, np.bincount(doc, ratios[bucket], len(offsets) - 1).astype(float)
 
 
 def weigh(df: DataFrame, ratios: np.ndarray, block_bytes: int = BLOCK_BYTES) -> DataFrame:

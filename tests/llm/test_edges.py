@@ -141,3 +141,50 @@ def test_blocks_are_sorted_by_suffix():
             seen.add(x[k : k + 100])
     row, nth = suffix_dedup.repeated(raw, offsets, np.zeros(len(stretches), np.int64), 100)
     assert list(zip(row.tolist(), nth.tolist(), strict=True)) == want
+
+
+CLASH = ["rep", "same", "root", "band", "fp", "e", "place", "need", "calls", "good", "gumbel_key", "log_weight", "x", "hkey", "at", "part", "label", "shard", "replica", "v"]
+
+
+def odd_documents(spark):
+    """Nulls in every column, repeated rows and ids, ties, very long texts, and columns with clashing names."""
+    base = documents(spark)
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, odd_texts()[5], None, None, None), (3, None, "en", None, 1), (40, odd_texts()[11] * 30, None, "s", None)], SCHEMA)
+    return base.unionByName(base.filter("doc_id IN (5, 9)")).unionByName(nulls).select("*", *(F.lit(1).alias(c) for c in CLASH))
+
+
+def test_operators_take_odd_tables(spark):
+    """Every operator on documents gives a row for each row, whatever stands in the columns; results of equal rows are equal."""
+    from evispark.llm import byte_bpe, language_id, simhash, suffix_dedup
+
+    df, n = odd_documents(spark), odd_documents(spark).count()
+    labels = spark.createDataFrame([(5, 1, 0), (5, 1, None), (None, None, None), (9, None, 1), (11, 0, 0), (11, 0, 0)], "doc_id long, quality int, toxic int")
+    pattern = public_tokenizers.PATTERN
+    found = {
+        "importance": importance.resample(df, labels), "quality": quality_rules.judge(df, labels), "suffix": suffix_dedup.deduplicate(df), "language": language_id.predict(df, language_id.learn(df)),
+        "bpe": byte_bpe.round_trip_digest(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern), "simhash": simhash.near_duplicates(df),
+    }
+    for name, out in found.items():
+        rows = [tuple(str(v) for v in r) for r in out.collect()]
+        same = [r for r in rows if r[0] == "5"]
+        assert len(rows) == n or name == "simhash" and len(rows) == n, name
+        assert len(same) == 2 and len(set(same)) == 1, name
+    pieces = packing.pack(df, WORD, with_ids=False).filter("start = 0").count()
+    assert pieces == n
+    assert quality_rules.judge(df.limit(0), labels.limit(0)).count() == 0 and language_id.predict(df.limit(0), language_id.learn(df.limit(0))).count() == 0
+
+
+def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, df in (("odd", odd_documents(spark)), ("empty", odd_documents(spark).limit(0))):
+        folder = f"{tmp_path}/{name}"
+        df.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(5, 1, 0), (11, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            out = run(spark, docs, folder)
+            assert out.columns == docs.columns, stage
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert bool(rows) == (name == "odd")
+        assert not {r["doc_id"] for r in rows} & {0, 1, 2}
