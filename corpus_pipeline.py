@@ -18,7 +18,7 @@ from evispark.llm.common import clean_up, materialize, table, written
 
 #: Near-duplicates of the pipeline: five-word shingles of Jaccard similarity 0.8 or more, held against the texts.  Pairs
 #: are proposed by bands of minimum hashes and by fingerprints, whose two-word shingles flip fewer bits than longer ones.
-NEAR = {"words": 2, "radius": 6, "shingle": 5, "least": 0.8}
+NEAR = {"words": 2, "radius": 3, "shingle": 5, "least": 0.8}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,8 +74,9 @@ def _delete(spark: SparkSession, path: str) -> None:
         _WRITTEN.remove(path)
 
 
-#: Keys are joined where their rows stand from so many rows on, and from such a share of all rows on.
-HOT_ROWS, HOT_SHARE = 2000, 100_000
+#: Keys are joined where their rows stand from so many rows on, and from such a share of all rows on; tables of so few
+#: rows are joined plainly, as one task could take them whole.
+HOT_ROWS, HOT_SHARE, FEW_ROWS = 2000, 100_000, 500_000
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
@@ -84,6 +85,8 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataF
     Rows of hot keys are not shuffled together: facts of keys with more than 1 / HOT_SHARE of ``total`` rows, which are
     less than HOT_SHARE whatever the total, are broadcast.  ``facts`` should be written, as it is read several times.
     """
+    if total <= FEW_ROWS:
+        return rows.join(facts.drop("n"), key)
     hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
     many = facts.filter(hot).drop("n")
     if not many.take(1):

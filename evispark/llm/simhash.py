@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from . import common
 from .common import buffer_of, join_facts, materialize, mix, release, slices
 
 BITS = 64
@@ -192,10 +193,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(edges)
     total = edges.count()
     while True:
+        # What is read twice is written only where it is large.
+        held = materialize if total > common.FEW_ROWS else lambda df: df
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
-        large = materialize(join_facts(both.filter("v > u"), low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        low = held(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = held(join_facts(both.filter("v > u"), low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = held(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = join_facts(large, least, "u", total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = materialize(small.select("e.u", "e.v").filter("u <> v").distinct())
         # Done when every node points at one that points nowhere: the table is a forest of stars.
@@ -358,7 +361,7 @@ def digested(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(column, BinaryType())]))
 
 
-def one_of_each(df: DataFrame, words: int = 2, radius: int = 6, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, words: int = 2, radius: int = 3, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of df (doc_id, text, ...) without near-duplicates: of each group of :func:`leaders` one row.
 
     It is a row of the smallest doc_id; rows that share it but not their text are told apart by their texts.  Of rows that

@@ -45,7 +45,7 @@ GRAM = 32
 #: A perfect difference set: every residue modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of text in a block, anchors that a task settles together, bytes of a sorting block, stretches of a hot bucket.
-BLOCK_BYTES, TOGETHER, SORT_BYTES, HOT = 1 << 20, 400_000, 600_000, 10_000
+BLOCK_BYTES, TOGETHER, SORT_BYTES, HOT = 1 << 19, 200_000, 300_000, 3_000
 #: One document in so many is looked at for frequent anchors; at most so many of these are dealt out by stretch.
 SAMPLE, FREQUENT = 16, 4096
 #: Bits of a position in a text, and layout of ``place``: the anchor's position, 7 bits each of its least and largest offset.

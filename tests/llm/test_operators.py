@@ -133,6 +133,7 @@ def test_hot_keys_are_joined_in_place(spark, monkeypatch):
     from evispark.llm import common
 
     monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     test_simhash_equals_brute_force(spark)
     links = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, i + 100) for i in range(1, 30)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
