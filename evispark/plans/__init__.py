@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing the package registers them in the catalog."""
 
-from . import comparison, documents, evaluation, evidence, more, notation, relational, scalars  # noqa: F401
+from . import comparison, documents, evaluation, evidence, more, notation, relational, scalars, vocabularies  # noqa: F401

@@ -5,6 +5,8 @@ A provider is a mapping from item columns to expressions over its JSON text; add
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,6 @@ def _full(a) -> Column:
     return F.nullif(F.trim(F.concat_ws(" ", a["given"], a["family"])), F.lit(""))
 
 
-
-
 def mappings() -> dict[str, dict[str, Column]]:
     """Column expressions of each provider; built when needed, as expressions need a running session."""
     return {
@@ -50,8 +50,9 @@ def mappings() -> dict[str, dict[str, Column]]:
 COLUMNS = ["title", "authors", "journal", "year", "doi", "url"]
 
 
-def items(records: DataFrame) -> DataFrame:
-    """(provider, raw: JSON text) -> provider and the item columns; unknown providers take the generic mapping."""
+def items(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(provider, raw: JSON text) -> provider, the columns to ``keep`` and the item columns; unknown providers take the
+    generic mapping."""
     known = mappings()
     empty = F.array().cast("array<string>")
     out = {}
@@ -61,7 +62,7 @@ def items(records: DataFrame) -> DataFrame:
             if name != "generic":
                 e = F.when(F.col("provider") == name, m[c]).otherwise(e)
         out[c] = F.coalesce(e, empty) if c == "authors" else e
-    return records.select("provider", *(e.alias(c) for c, e in out.items()))
+    return records.select("provider", *keep, *(e.alias(c) for c, e in out.items()))
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
