@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import bounded, numbered
 
-def weighted_grid(df: DataFrame, terms: Sequence[str], grid: DataFrame) -> DataFrame:
-    """Scores of rows under each weighting of a small grid (grid_id and a weight column w_<term> for each term)."""
+
+def weighted_grid(df: DataFrame, terms: Sequence[str], grid: DataFrame, most: int = 10_000) -> DataFrame:
+    """Scores of rows under each weighting of a grid (grid_id and a weight column w_<term> for each term) of at most ``most``."""
     score = sum((F.col(t) * F.col(f"w_{t}") for t in terms), F.lit(0.0))
-    return df.join(F.broadcast(grid)).withColumn("score", F.round(score, 12))
+    return df.join(bounded(grid, most, "the grid")).withColumn("score", F.round(score, 12))
 
 
 def changed_rate(predictions: DataFrame, default: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -43,13 +45,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30)
     return w, mean, dev
 
 
-def leave_one_out(df: DataFrame, fold: str, features: Sequence[str], label: str, c: float = 1.0) -> DataFrame:
+def leave_one_out(df: DataFrame, fold: str, features: Sequence[str], label: str, c: float = 1.0, most: int = 1000) -> DataFrame:
     """(fold, label, probability): each fold's rows judged by a model of all others.
 
-    The samples of an evaluation are a report-sized input; each fold gets a copy of them, and folds run side by side.
+    Each of at most ``most`` folds gets a copy of the samples, which must fit a worker; folds run side by side.
     """
     folds = df.select(F.col(fold).alias("_held")).distinct()
-    copies = F.broadcast(folds).join(df.select(F.col(fold).alias("_fold"), F.col(label).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f) for f in features)))
+    copies = bounded(folds, most, "the set of folds").join(df.select(F.col(fold).alias("_fold"), F.col(label).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f) for f in features)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held = (pdf["_fold"] == pdf["_held"]).to_numpy()
@@ -67,11 +69,9 @@ def leave_one_out(df: DataFrame, fold: str, features: Sequence[str], label: str,
 def clustered_bootstrap(df: DataFrame, cluster: str, delta: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, mean): clusters are drawn with replacement; each counts as often as it is drawn, whole."""
     from .evaluation import unit_hash
-    from pyspark.sql import Window
 
     sums = df.groupBy(cluster).agg(F.sum(delta).alias("s"), F.count("*").alias("n"))
-    numbered = sums.withColumn("pos", F.row_number().over(Window.orderBy(cluster)) - 1)
-    k = numbered.count()
+    k = sums.count()
     draws = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(k - 1, 0)))).alias("draw"))
-    picked = draws.withColumn("pos", F.floor(unit_hash(F.lit(seed), F.col("replicate"), F.col("draw")) * k).cast("int"))
-    return picked.join(numbered, "pos").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    picked = draws.withColumn("pos", F.floor(unit_hash(F.lit(seed), F.col("replicate"), F.col("draw")) * k).cast("long"))
+    return picked.join(numbered(sums, [cluster], "pos"), "pos").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("mean"))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
+
 STATUS_PRIORITY = {"found": 4, "source_invalid": 3, "ocr_gap": 2, "table_ungrounded": 1, "not_found": 0}
 REVIEW_SEVERITY = {"provisional": 0, "approved": 1, "corrected": 2, "rejected": 3}
 
@@ -115,9 +117,42 @@ def incomplete_groups(df: DataFrame, group: str, *conditions: Column) -> DataFra
     return df.filter(F.col(group).isNotNull()).join(complete, group, "left_anti").unionByName(df.filter(F.col(group).isNull()).select(*df.columns))
 
 
-def densify(df: DataFrame, groups: DataFrame, catalog: DataFrame, keys: Sequence[str], defaults: dict[str, object]) -> DataFrame:
-    """A row for each group and catalog entry, defaults where df has none; the catalog is a small literal dimension."""
-    grid = groups.join(F.broadcast(catalog))
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, to be broadcast, if it has at most ``most`` rows; else an error, as every row would meet all of it."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return F.broadcast(df)
+
+
+def running_total(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """df with the sum of ``value`` over all rows up to each one in the given order, without a task that sees all rows.
+
+    Rows are range-sorted and written; each partition adds up its own, and one sum for each partition comes to the driver.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    out = spark.read.schema(df.withColumn("_part", F.lit(0)).schema).parquet(path)
+    sums = sorted(out.groupBy("_part").agg(F.sum(value).alias("s")).collect())
+    kind = "double" if any(isinstance(r["s"], float) for r in sums) else "long"
+    bases, total = [], 0.0 if kind == "double" else 0
+    for r in sums:
+        bases.append((r["_part"], total))
+        total += r["s"]
+    base = F.broadcast(spark.createDataFrame(bases, f"_part int, _base {kind}"))  # a row for each partition
+    upto = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("_sofar", upto).join(base, "_part").withColumn(name, F.col("_base") + F.col("_sofar")).drop("_part", "_sofar", "_base")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with each row's position in the given order, from 0."""
+    return running_total(df, order, F.lit(1), name).withColumn(name, F.col(name) - 1)
+
+
+def densify(df: DataFrame, groups: DataFrame, catalog: DataFrame, keys: Sequence[str], defaults: dict[str, object], most: int = 10_000) -> DataFrame:
+    """A row for each group and catalog entry, defaults where df has none; the catalog has at most ``most`` rows."""
+    grid = groups.join(bounded(catalog, most, "the catalog"))
     out = grid.join(df, list(keys), "left")
     return out.select(*(F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in out.columns))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import graph as G
+from ..operators import relational as R
 from .catalog import Tables, query
 
 
@@ -161,8 +162,7 @@ def _(t: Tables):
 
 
 def bootstrap_of(t: Tables, replicates: int):
-    w = Window.orderBy("doc_id")  # an evaluation's entries, a report-sized input
-    s = judged(t).select((F.row_number().over(w) - 1).alias("pos"), (F.col("gold") == F.col("pred")).cast("int").alias("v"))
+    s = R.numbered(judged(t).select("doc_id", (F.col("gold") == F.col("pred")).cast("int").alias("v")), ["doc_id"], "pos")
     i = E.interval(E.bootstrap_means(s, "pos", "v", replicates, 7))
     return i.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 

@@ -112,7 +112,7 @@ def _(t: Tables):
 
 def paired_bootstrap_of(t: Tables, replicates: int):
     right = lambda p: (F.col("gold") == F.col(p)).cast("int")
-    s = judged(t).select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("pos"), (right("pred") - right("pred2")).alias("v"))
+    s = R.numbered(judged(t).select("doc_id", (right("pred") - right("pred2")).alias("v")), ["doc_id"], "pos")
     i = E.interval(E.bootstrap_means(s, "pos", "v", replicates, 5))
     return i.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 

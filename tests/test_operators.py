@@ -116,3 +116,20 @@ def test_change_rate(spark):
     p = spark.createDataFrame([(0, "k", "x"), (0, "l", None), (1, "k", "y"), (1, "l", None)], "grid_id int, k string, v string")
     got = {r["grid_id"]: r["changed"] for r in N.changed_rate(p, p.filter("grid_id = 0"), ["k"], "v").collect()}
     assert got == {0: 0.0, 1: 0.5}
+
+
+def test_running_totals_and_bounds(spark):
+    import pytest
+
+    from evispark.operators import relational as R
+
+    df = spark.createDataFrame([((i * 37) % 101, i % 5, 0.5 * (i % 3)) for i in range(101)], "k int, v int, x double")
+    rows = sorted((r["k"], r["pos"], r["v"]) for r in R.numbered(df, ["k"], "pos").collect())
+    assert [p for _, p, _ in rows] == list(range(101))
+    total, got = 0.0, {r["k"]: r["t"] for r in R.running_total(df, ["k"], F.col("x"), "t").collect()}
+    for r in sorted(df.collect()):
+        total += r["x"]
+        assert abs(got[r["k"]] - total) < 1e-9
+    assert R.numbered(df.limit(0), ["k"], "pos").count() == 0
+    with pytest.raises(ValueError):
+        R.bounded(df, 100, "df")
