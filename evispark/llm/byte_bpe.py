@@ -6,7 +6,8 @@ lowest rank is taken from a heap, applied at all its positions at once, and only
 again.  Pieces never influence each other, so replaying one block gives the ids that replaying the whole corpus would:
 blocks bound memory, need no shuffle, and a lost executor costs its own blocks only.
 
-Results: a null text counts as empty; an empty text has no ids.  Ties (a pair that occurs repeatedly in a piece, or
+Results: a null text counts as empty; an empty text has no ids.  A text longer than a block is a block by itself, encoded
+whole.  Repeated rows get equal results; an empty table gives no rows.  Ties (a pair that occurs repeatedly in a piece, or
 pairs of different split with the same merged bytes) go to the leftmost place, as in the usual implementation.
 Extra columns are not read.
 """
@@ -191,12 +192,12 @@ def _encoded(texts: list[str | None], path: str, pattern: str) -> list[bytes]:
     return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, ids binary: packed little-endian unsigned 32-bit integers) of every whole text; one row for each row of df."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             ids = _encoded(b.column("text").to_pylist(), path, pattern)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
@@ -217,11 +218,11 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return df.selectExpr(f"`{id_col}` AS id", "ids").mapInArrow(run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
 
 
-def round_trip_digest(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip_digest(df: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Query op5: (doc_id, n_tokens, ids_sha256, decoded_sha256), encoding and decoding block by block in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             ids = _encoded(b.column("text").to_pylist(), path, pattern)
             engine = _loaded(path, pattern)[0]
             yield pa.RecordBatch.from_arrays(

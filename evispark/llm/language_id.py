@@ -266,19 +266,19 @@ def learn(df: DataFrame, max_docs: int = MAX_DOCS, max_symbols: int = MAX_SYMBOL
     return parser
 
 
-def predict(df: DataFrame, parser: CrossParser) -> DataFrame:
+def predict(df: DataFrame, parser: CrossParser, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, lang_pred, score, a row for each row of df."""
     shared = df.sparkSession.sparkContext.broadcast(parser)  # bounded: languages times symbols learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             names, score, _ = shared.value.judge(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def accepted(df: DataFrame, parser: CrossParser) -> DataFrame:
+def accepted(df: DataFrame, parser: CrossParser, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of df whose text is in a learned language, with all their columns; lang becomes the language found.
 
     Texts without a letter go, and those which need more phrases than the limit of the language that needs the fewest:
@@ -287,7 +287,7 @@ def accepted(df: DataFrame, parser: CrossParser) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK_BYTES):
+        for b in slices(batches, "text", block_bytes):
             names, _, inside = shared.value.judge(b.column("text").to_pylist())
             at = b.schema.get_field_index("lang")
             yield b.set_column(at, b.schema.field(at), pa.array(names, b.schema.field(at).type)).filter(pa.array(inside))

@@ -188,3 +188,33 @@ def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path):
         rows = corpus_pipeline.run(spark, folder).collect()
         assert bool(rows) == (name == "odd")
         assert not {r["doc_id"] for r in rows} & {0, 1, 2}
+
+
+def test_small_blocks_change_no_result(spark):
+    from evispark.llm import byte_bpe, language_id
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    df = documents(spark, [*odd_texts(), *morse_texts()])
+    parser = language_id.learn(df, max_symbols=300)
+    for run in (lambda n: byte_bpe.round_trip_digest(df, path, pattern, n), lambda n: language_id.predict(df, parser, n)):
+        assert sorted(map(tuple, run(300).collect())) == sorted(map(tuple, run(1 << 22).collect()))
+
+
+def test_verdicts_are_those_of_the_trees(spark):
+    """kept is the base rule and a walk down each tree, node by node."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "42", "#", "x.", "gamma"], int(rng.integers(20, 200)))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(t.count("#") < 10), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    trees = quality_rules.fit(df, labels)
+    rows = {r["doc_id"]: r for r in quality_rules.judge(df, labels).collect()}
+    for r in quality_rules.measured(df).collect():
+        total = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if r["x"][f[node]] > t[node] else 1)
+            total += v[node - len(f)]
+        score, got = 1 / (1 + np.exp(-total)), rows[r["doc_id"]]
+        assert abs(got["score"] - score) < 1e-12 and got["kept"] == (not got["base_failed"] and score >= 0.5)
+    assert len({r["kept"] for r in rows.values()}) == 2
