@@ -245,3 +245,49 @@ def error_summary(rows: DataFrame, dimensions: Sequence[str], exploded: str) ->
     one = [F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("none")).alias("value")) for d in dimensions]
     many = F.transform(F.coalesce(exploded, F.array().cast("array<string>")), lambda x: F.struct(F.lit(exploded).alias("dimension"), x.alias("value")))
     return rows.select(F.explode(F.concat(F.array(*one), many)).alias("r")).groupBy("r.dimension", "r.value").agg(F.count("*").alias("n"))
+
+
+def card_field(field_id: Column) -> Column:
+    """The column of an evidence card that shows a field; null for fields that no card shows."""
+    named = {GENE_FIELD: "gene", DISEASE_FIELD: "disease", "B.clinical_diagnosis": "disease", "J.authority_classification": "classification"}
+    found = F.coalesce(*(F.when(field_id == k, v) for k, v in named.items()))
+    return F.when(F.startswith(field_id, F.lit("A.variant_hgvs_")) | (field_id == "A.variant_legacy_name"), "variant").otherwise(found)
+
+
+def scope_bindings(gene: Column, disease: Column, protein: Column, entry: Column) -> Column:
+    """array<struct<role, id>> of an extraction target: gene and disease in their lookup forms, then what else is given."""
+    pair = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("id"))
+    always = F.array(pair("target_gene", F.upper(T.lookup_text(F.coalesce(gene, F.lit(""))))), pair("target_disease", T.lookup_text(F.coalesce(disease, F.lit("")))))
+    given = F.array(*(F.when(F.coalesce(c, F.lit("")) != "", pair(role, c)) for role, c in (("target_variant_p", protein), ("target_clingen_entry", entry))))
+    return F.concat(always, F.array_compact(given))
+
+
+def maps_to_source(source: Column, predicted: Column, start: Column, end: Column) -> Column:
+    """Whether a predicted text stands in its span of the source, anywhere in it, or as a sequence of its words.
+
+    White space and case do not count; in the last comparison neither do articles nor what is no letter or digit.
+    """
+    plain = lambda c: T.collapse_spaces(F.lower(F.coalesce(c, F.lit(""))))
+    words = lambda c: F.regexp_extract_all(plain(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    bare = lambda c: F.filter(words(c), lambda w: ~w.isin("a", "an", "the"))
+    given = (plain(predicted) != "") & (plain(source) != "")
+    inside = (start >= 0) & (end > start) & (end <= F.length(source)) & F.contains(plain(F.substring(source, start + 1, end - start)), plain(predicted))
+    sequence = (F.size(words(predicted)) > 0) & F.contains(line(words(source)), line(words(predicted)))
+    without = (F.size(bare(predicted)) > 0) & F.contains(line(bare(source)), line(bare(predicted)))
+    return F.coalesce(given & (F.coalesce(inside, F.lit(False)) | F.contains(plain(source), plain(predicted)) | sequence | without), F.lit(False))
+
+
+def native_gain(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What a second track adds: distinct (field_id, value) of found items on both tracks, on the original only, on the
+    translated only, and documents in which the translated one adds any; in total or by group."""
+    keys = items.filter("status = 'found'").select(*by, "document_id", "field_id", F.lower(F.trim("value")).alias("v"), "track").filter("v <> '' AND field_id <> ''")
+    one = keys.groupBy(*by, "document_id", "field_id", "v").agg(F.bool_or(F.col("track") == "original").alias("o"), F.bool_or(F.col("track") == "translated").alias("t"))
+    aggs = [F.count_if(F.col("o") & F.col("t")).alias("shared"), F.count_if(F.col("o") & ~F.col("t")).alias("original_only"), F.count_if(~F.col("o") & F.col("t")).alias("translated_only"), F.count_distinct(F.when(~F.col("o") & F.col("t"), F.col("document_id"))).alias("documents_gained")]
+    return one.groupBy(*by).agg(*aggs) if by else one.agg(*aggs)
+
+
+def baseline_table(baselines: DataFrame, traceability: DataFrame, f1: float, traceable_f1: float) -> DataFrame:
+    """Baselines (id, f1) beside their traceability (id, traceable_f1), if there is any, and a candidate's gains over both."""
+    j = baselines.join(traceability, "id", "left")
+    return j.select("id", "f1", "traceable_f1", F.round(F.lit(f1) - F.col("f1"), 6).alias("f1_gain"), F.round(F.lit(traceable_f1) - F.col("traceable_f1"), 6).alias("traceable_f1_gain"))

@@ -166,3 +166,62 @@ def _(t: Tables):
     """Phrases of the map, identifiers and other text by turns, in document text."""
     words = F.element_at(F.array(*(F.lit(p) for p in ("Seizures and hp:0001999", "low  muscular tension", "HP:0000001; HP:0000001", "spike slow\twaves", "nothing known", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
     return t.documents.select("doc_id", C.phenotype_terms(F.concat(words, F.when(F.col("doc_id") % 6 < 5, F.concat(F.lit(" "), F.substring("text", 1, 20))).otherwise(""))).alias("terms"))
+
+
+@query("c41_card_field", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'gene' WHEN '2-HIGH' THEN 'variant' WHEN '3-MEDIUM' THEN 'disease' WHEN '5-LOW' THEN 'classification' END AS card FROM orders")
+def _(t: Tables):
+    ids = {"1-URGENT": C.GENE_FIELD, "2-HIGH": C.CODING_FIELD, "3-MEDIUM": "B.clinical_diagnosis", "5-LOW": "J.authority_classification"}
+    field = F.coalesce(*(F.when(F.col("o_orderpriority") == k, v) for k, v in ids.items()), F.col("o_orderpriority"))
+    return t.orders.select("o_orderkey", C.card_field(field).alias("card"))
+
+
+@query(
+    "h7_scope_bindings",
+    "SELECT p_partkey, 'target_gene=' || upper(p_brand) || ';target_disease=' || lower(p_name) || CASE WHEN p_size % 2 = 0 THEN ';target_variant_p=' || p_type ELSE '' END || CASE WHEN p_size % 3 = 0 THEN '' ELSE ';target_clingen_entry=' || p_size END AS b FROM part",
+)
+def _(t: Tables):
+    b = C.scope_bindings(F.concat(F.lit(" "), "p_brand"), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.when(F.col("p_size") % 3 > 0, F.col("p_size").cast("string")).otherwise(""))
+    return t.part.select("p_partkey", F.array_join(F.transform(b, lambda x: F.concat(x["role"], F.lit("="), x["id"])), ";").alias("b"))
+
+
+SPAN_TEXT = "CASE doc_id % 4 WHEN 0 THEN '  ' || substring(text, 5, 30) WHEN 1 THEN 'the ' || regexp_replace(substring(text, 1, 40), '[^a-zA-Z0-9]+', '-', 'g') WHEN 2 THEN 'zzz' ELSE '' END"
+
+
+@query(
+    "j17_span_maps",
+    f"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS s, trim(regexp_replace(lower({SPAN_TEXT}), '\\s+', ' ', 'g')) AS p FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT *, ' ' || array_to_string(regexp_extract_all(s, '[a-z0-9]+'), ' ') || ' ' AS sw, ' ' || array_to_string(regexp_extract_all(p, '[a-z0-9]+'), ' ') || ' ' AS pw,
+        ' ' || array_to_string(list_filter(regexp_extract_all(s, '[a-z0-9]+'), lambda x: x NOT IN ('a', 'an', 'the')), ' ') || ' ' AS sb, ' ' || array_to_string(list_filter(regexp_extract_all(p, '[a-z0-9]+'), lambda x: x NOT IN ('a', 'an', 'the')), ' ') || ' ' AS pb FROM d)
+    SELECT doc_id, p <> '' AND s <> '' AND (contains(s, p) OR (trim(pw) <> '' AND contains(sw, pw)) OR (trim(pb) <> '' AND contains(sb, pb))) AS maps FROM w""",
+)
+def _(t: Tables):
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("  "), F.substring("text", 5, 30))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("the "), F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z0-9]+", "-"))).when(F.col("doc_id") % 4 == 2, "zzz").otherwise("")
+    return t.documents.filter("text IS NOT NULL").select("doc_id", C.maps_to_source(F.col("text"), text, F.lit(4), F.lit(34)).alias("maps"))
+
+
+@query(
+    "d19_native_gain",
+    f"WITH i AS ({ITEMS}), k AS (SELECT DISTINCT entry, field_id, p_name AS v, track FROM i WHERE status = 'found'), o AS (SELECT entry, field_id, v, bool_or(track = 'original') AS o, bool_or(track = 'translated') AS t FROM k GROUP BY ALL) SELECT field_id AS lang, count(*) FILTER (WHERE o AND t) AS shared, count(*) FILTER (WHERE o AND NOT t) AS original_only, count(*) FILTER (WHERE t AND NOT o) AS translated_only, count(DISTINCT CASE WHEN t AND NOT o THEN entry END) AS documents_gained FROM o GROUP BY field_id",
+)
+def _(t: Tables):
+    rows = items(t).select(F.col("field_id").alias("lang"), F.col("entry").alias("document_id"), "field_id", F.upper("p_name").alias("value"), "track", "status")
+    return C.native_gain(rows, ["lang"])
+
+
+@query("j27_baseline_table", "SELECT b.p_brand AS id, round(b.f1, 6) AS f1, round(t.f1, 6) AS traceable_f1, round(0.9 - round(b.f1, 6), 6) AS f1_gain, round(0.8 - round(t.f1, 6), 6) AS traceable_f1_gain FROM (SELECT p_brand, avg(p_size) / 50 AS f1 FROM part GROUP BY p_brand) b LEFT JOIN (SELECT p_brand, avg(p_size) / 60 AS f1 FROM part WHERE p_type <> 'ECONOMY' GROUP BY p_brand HAVING count(*) % 3 > 0) t ON t.p_brand = b.p_brand")
+def _(t: Tables):
+    base = t.part.groupBy(F.col("p_brand").alias("id")).agg(F.round(F.avg("p_size") / 50, 6).alias("f1"))
+    traced = t.part.filter("p_type <> 'ECONOMY'").groupBy(F.col("p_brand").alias("id")).agg(F.round(F.avg("p_size") / 60, 6).alias("traceable_f1"), F.count("*").alias("n")).filter("n % 3 > 0").drop("n")
+    return C.baseline_table(base, traced, 0.9, 0.8)
+
+
+@query(
+    "j12_paired_report",
+    """WITH d AS (SELECT round(l_discount * 100) AS r, round(l_tax * 100) AS c, l_discount > 0.05 AS ro, l_tax > 0.05 AS co FROM lineitem),
+    m AS (SELECT count(*) FILTER (WHERE ro AND NOT co) AS b, count(*) FILTER (WHERE NOT ro AND co) AS c FROM d), s AS (SELECT count(*) AS n, avg(c - r) AS mean, stddev_samp(c - r) AS sd FROM d),
+    z AS (SELECT c - r AS d, abs(c - r) AS a FROM d WHERE c <> r), k AS (SELECT d, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS r FROM z), w AS (SELECT round(sum(r) FILTER (WHERE d > 0), 6) AS w_plus, round(sum(r) FILTER (WHERE d < 0), 6) AS w_minus FROM k)
+    SELECT b, c, round(pow(greatest(abs(b - c) - 1, 0), 2) / (b + c), 6) AS chi2, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean / (sd / sqrt(n)), 6) AS t, round(mean - 1.96 * sd / sqrt(n), 6) AS low, round(mean + 1.96 * sd / sqrt(n), 6) AS high, w_plus, w_minus FROM m, s, w""",
+)
+def _(t: Tables):
+    r, c = F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100)
+    return C.paired_report(t.lineitem, r, c, F.col("l_discount") > 0.05, F.col("l_tax") > 0.05).drop("p_exact")
