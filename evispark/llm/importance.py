@@ -5,7 +5,8 @@ over labelled good texts the target model.  A document's weight is the log ratio
 n-grams.  Sampling k documents without replacement in proportion to (tempered) weights is taking the k largest of
 weight / temperature + Gumbel noise.  Noise comes from a hash of the id, so a task that runs again draws the same.
 
-k is a parameter, or else ``share`` of the documents that have words.  The k-th largest key is found by counting keys in
+k is a parameter, or else ``share`` of the documents that have words; by default that is all but CAUGHT of the share of
+labelled documents that are not good, so a cleaner corpus loses less.  The k-th largest key is found by counting keys in
 ever finer ranges; no sort of the table, and no document list on the driver.
 
 Results: null, empty and blank texts have weight 0 and no n-grams; they are never sampled.  Equal keys at the limit are
@@ -36,8 +37,9 @@ BEGINNING = 6
 #: Counts go to the reducers in so many parts; bytes of text in a block.
 PARTS, BLOCK_BYTES = 64, 1 << 20
 PART = SIZE // PARTS
-#: Labelled documents from which the target model is learned at most, and the share of documents that is sampled.
-MAX_LABELLED, SHARE = 40_000, 0.85
+#: Labelled documents from which the target model is learned at most; how much of the labelled share of documents that are
+#: not good is left out.
+MAX_LABELLED, CAUGHT = 40_000, 0.6
 
 
 LETTER = np.zeros(256, bool)
@@ -189,7 +191,7 @@ class Sampler:
     limit: float
 
 
-def fit(df: DataFrame, labels: DataFrame, k: int | None = None, share: float = SHARE, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, block_bytes: int = BLOCK_BYTES) -> tuple[Sampler, DataFrame]:
+def fit(df: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, block_bytes: int = BLOCK_BYTES) -> tuple[Sampler, DataFrame]:
     """The sampler for df, and what it weighed: doc_id, n_grams, log_weight, gumbel_key, a row for each row of df."""
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("quality"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -199,6 +201,8 @@ def fit(df: DataFrame, labels: DataFrame, k: int | None = None, share: float = S
     weighed = materialize(weigh(df, ratios, block_bytes).withColumn("gumbel_key", F.col("log_weight") / temperature + gumbel("doc_id")))
     with_words = weighed.filter("n_grams > 0")
     if k is None:
+        if share is None:
+            share = 1 - CAUGHT * (chosen.agg(F.avg(((F.col("quality") != 1) | (F.col("toxic") != 0)).cast("double"))).first()[0] or 0.0)
         k = round((share if target.any() else 1.0) * with_words.count())
     return Sampler(ratios, temperature, kth_largest(with_words, "gumbel_key", k)), weighed
 

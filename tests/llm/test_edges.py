@@ -218,3 +218,10 @@ def test_verdicts_are_those_of_the_trees(spark):
         score, got = 1 / (1 + np.exp(-total)), rows[r["doc_id"]]
         assert abs(got["score"] - score) < 1e-12 and got["kept"] == (not got["base_failed"] and score >= 0.5)
     assert len({r["kept"] for r in rows.values()}) == 2
+
+
+def test_default_share_follows_the_labels(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(30)), "en", "s", 0) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = importance.resample(spark.createDataFrame(rows, SCHEMA), labels).filter("kept").count()
+    assert got == round(200 * (1 - 0.6 * 0.25))
