@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column
@@ -110,11 +111,16 @@ def checked_pairs(a: str, b: str, raw: list[tuple[str, str]]) -> list[tuple[int,
 def token_pairs(a: str | None, b: str | None) -> list[tuple[int, int, int, int]]:
     """Monotonic token pairs: the next equal token (in any case), else the one at the proportional place, until none is left."""
     left, right = (list(re.finditer(r"\w+", x or "")) for x in (a, b))
+    places: dict[str, list[int]] = {}
+    for j, m in enumerate(right):
+        places.setdefault(m[0].lower(), []).append(j)
     out, at = [], 0
     for i, m in enumerate(left):
         if at >= len(right):
             break
-        same = next((j for j in range(at, len(right)) if right[j][0].lower() == m[0].lower()), None)
+        own = places.get(m[0].lower(), [])
+        k = bisect_left(own, at)
+        same = own[k] if k < len(own) else None
         # The first tokens and the last ones of both texts correspond.
         share = i / (len(left) - 1) if len(left) > 1 else 0.0
         j = same if same is not None else max(at, round(share * (len(right) - 1)))
