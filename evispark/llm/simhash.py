@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import common
-from .common import buffer_of, join_facts, materialize, mix, release, slices
+from .common import buffer_of, join_facts, materialize, mix, numbered, release, slices, word_spans, words_of
 
 BITS = 64
 #: Bytes of text in a block.
@@ -222,13 +222,59 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, seed: int =
     return join_facts(marked, component, "fp", rows or 0).select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles, none for a blank text; words as in :func:`fingerprint`."""
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words]), seed) for i in range(max(1, len(parts) - words + 1))), np.uint64))
+class BlockWords:
+    """Hashes of the words of a block of texts, A-Z lower-cased; each distinct word is hashed once."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+        low = raw + ((raw >= 0x41) & (raw <= 0x5A)).astype(np.uint8) * np.uint8(32)
+        start, end, self.doc = word_spans(low, offsets)
+        number, distinct = numbered(words_of(low, start, end))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
+        self.words, self.texts = hashes[number] if len(number) else np.zeros(0, np.uint64), len(offsets) - 1
+        self.first = np.searchsorted(self.doc, np.arange(self.texts + 1))
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, offsets) of the shingles of k words of each text, repeats included; fewer words are one shingle."""
+        counts = np.diff(self.first)
+        n = len(self.words) - k + 1
+        out = np.zeros(max(n, 0), np.uint64)
+        for j in range(k if n > 0 else 0):
+            out = mix(out * np.uint64(3) + self.words[j : j + n])
+        inside = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        full, sizes = out[inside], np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
+        offsets = np.append(0, np.cumsum(sizes))
+        short = np.flatnonzero((counts > 0) & (counts < k))
+        if len(short):
+            hashes = np.zeros(int(offsets[-1]), np.uint64)
+            plain = np.ones(len(hashes), bool)
+            plain[offsets[short]] = False
+            hashes[plain] = full
+            for d in short.tolist():
+                h = np.full(1, len(self.words[self.first[d] : self.first[d + 1]]) << 32, np.uint64)
+                for w in self.words[self.first[d] : self.first[d + 1]]:
+                    h = mix(h * np.uint64(3) + w)
+                hashes[offsets[d]] = h[0]
+            full = hashes
+        return full, offsets
+
+    def sets(self, k: int) -> list[np.ndarray]:
+        """Sorted distinct hashes of each text's shingles."""
+        hashes, offsets = self.shingles(k)
+        return [np.unique(x) for x in np.split(hashes, offsets[1:-1])] if self.texts else []
+
+    def fingerprints(self, k: int) -> np.ndarray:
+        """Majority votes of each text's shingles, as in :func:`fingerprint` but for the hash of a shingle."""
+        hashes, offsets = self.shingles(k)
+        out = np.zeros(self.texts, np.uint64)
+        for a in range(0, self.texts, 4096):
+            at = offsets[a : a + 4097]
+            some = np.flatnonzero(np.diff(at))
+            if not len(some):
+                continue
+            bits = np.unpackbits(hashes[at[0] : at[-1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = np.add.reduceat(bits, at[some] - at[0], axis=0, dtype=np.int64)
+            out[a + some] = np.packbits(2 * votes > np.diff(at)[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+        return out
 
 
 def normal_digest(text: bytes) -> bytes:
@@ -294,9 +340,10 @@ def _proposed(df: DataFrame, words: int, radius: int, shingle: int) -> tuple[Dat
         for b in slices(batches, "text", BLOCK_BYTES):
             raw, offsets = buffer_of(b.column("text"))
             data, cuts = raw.tobytes(), offsets.tolist()
-            texts = [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            fps = np.array([fingerprint(x, words, 42) for x in texts], np.uint64).view(np.int64)
-            same, bands = [normal_digest(x) for x in texts], [band_hashes(shingle_set(x, shingle)) for x in texts]
+            block = BlockWords(raw, offsets)
+            fps = block.fingerprints(words).view(np.int64)
+            same = [normal_digest(data[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            bands = [band_hashes(x) for x in block.sets(shingle)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "same", "bands"])
 
     marked = materialize(df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, fp long, same binary, bands array<long>"))
@@ -330,16 +377,15 @@ def leaders(df: DataFrame, words: int, radius: int, shingle: int, least: float)
         for batch in batches:
             for b in slices([batch], "text", BLOCK_BYTES):
                 raw, offsets = buffer_of(b.column("text"))
-                data, cuts = raw.tobytes(), offsets.tolist()
+                data, cuts, sets = raw.tobytes(), offsets.tolist(), BlockWords(raw, offsets).sets(shingle)
                 for k, (root, rep, same) in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "rep", "same")), strict=True)):
                     if root != at:
                         if held:
                             yield close()
                         at, held = root, {}
-                    text = data[cuts[k] : cuts[k + 1]]
                     # Rows that repeat a doc_id may have other texts.
-                    if same not in held and normal_digest(text) == same:
-                        held[same] = (rep, shingle_set(text, shingle))
+                    if same not in held and normal_digest(data[cuts[k] : cuts[k + 1]]) == same:
+                        held[same] = (rep, sets[k])
         if held:
             yield close()
 

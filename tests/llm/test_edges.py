@@ -225,3 +225,27 @@ def test_default_share_follows_the_labels(spark):
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
     got = importance.resample(spark.createDataFrame(rows, SCHEMA), labels).filter("kept").count()
     assert got == round(200 * (1 - 0.6 * 0.25))
+
+
+def test_block_shingles_equal_those_of_single_texts():
+    import pyarrow as pa
+
+    from evispark.llm import simhash
+
+    texts = [*odd_texts(), "a", "A  b", "a b c d", "a b c d e", "a b c d e f", "", "f a b c d e"]
+    whole = simhash.BlockWords(*buffer_of(pa.array(texts)))
+    for k in (2, 5):
+        sets, prints = whole.sets(k), whole.fingerprints(k)
+        names = {}
+        for t, s, f in zip(texts, sets, prints, strict=True):
+            w = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+            want = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+            alone = simhash.BlockWords(*buffer_of(pa.array([t], pa.string())))
+            assert len(s) == len(want) and alone.sets(k)[0].tolist() == s.tolist() and alone.fingerprints(k)[0] == f
+            for x in want:
+                names.setdefault(x, set()).update(s.tolist())
+        # Texts share as many hashes as they share shingles.
+        for a, b in ((5, 7), (5, 8), (9, 10), (-6, -5), (-4, -3), (-3, -1)):
+            wa, wb = (texts[i].lower().split() for i in (a, b))
+            sa, sb = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (wa, wb))
+            assert len(set(sets[a].tolist()) & set(sets[b].tolist())) == len(sa & sb)
