@@ -37,6 +37,8 @@ from .common import buffer_of, join_facts, materialize, mix, numbered, release,
 BITS = 64
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
+#: Shingles of texts that are compared together in one task.
+TOGETHER = 2_000_000
 #: Bands of minimum hashes and hashes in each: pairs of similarity 0.8 miss all bands with probability 6e-5, and pairs of
 #: 0.1 meet in one with 3e-5.
 BANDS, ROWS = 32, 6
@@ -334,7 +336,8 @@ def clusters(sets: list[np.ndarray], least: float) -> list[int]:
 
 def _proposed(df: DataFrame, words: int, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, same: digest of the text in lower case with single spaces) of all rows, and (rep: smallest doc_id, same,
-    root) of distinct texts that fingerprints or bands put together with others."""
+    root, size: shingles, total: those of all texts of the root) of distinct texts that fingerprints or bands put together
+    with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", BLOCK_BYTES):
@@ -343,56 +346,77 @@ def _proposed(df: DataFrame, words: int, radius: int, shingle: int) -> tuple[Dat
             block = BlockWords(raw, offsets)
             fps = block.fingerprints(words).view(np.int64)
             same = [normal_digest(data[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            bands = [band_hashes(x) for x in block.sets(shingle)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "same", "bands"])
+            sets = block.sets(shingle)
+            bands, size = [band_hashes(x) for x in sets], [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(size, pa.int64())], ["doc_id", "fp", "same", "bands", "size"])
 
-    marked = materialize(df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, fp long, same binary, bands array<long>"))
-    texts = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    marked = materialize(df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, fp long, same binary, bands array<long>, size long"))
+    texts = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size")))
     banded = texts.select(F.explode("bands").alias("band"), F.col("fp").alias("a")).withColumn("b", F.min("a").over(Window.partitionBy("band"))).filter("a <> b")
     links = fingerprint_links(texts.select("fp").distinct(), radius).unionByName(banded.select("a", "b"))
     roots = components(links).withColumnRenamed("node", "fp")
-    grouped = texts.join(roots, "fp", "left").select("rep", "same", F.coalesce("root", "fp").alias("root"))
-    several = grouped.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    return marked.select("doc_id", "same"), materialize(grouped.join(several, "root"))
+    grouped = materialize(texts.join(roots, "fp", "left").select("rep", "same", "size", F.coalesce("root", "fp").alias("root")))
+    several = materialize(grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1"))
+    return marked.select("doc_id", "same"), materialize(join_facts(grouped, several, "root", grouped.count()))
 
 
-def leaders(df: DataFrame, words: int, radius: int, shingle: int, least: float) -> DataFrame:
+def leaders(df: DataFrame, words: int, radius: int, shingle: int, least: float, together: int = TOGETHER) -> DataFrame:
     """(doc_id, same): of each group of df (doc_id, text) the smallest doc_id and the digest of its text there.
 
     Groups are the components of links of exact Jaccard similarity ``least`` or more of shingle sets, among texts that
     links of fingerprints (``words``, ``radius``) or bands of minimum hashes put together.  Blank texts are one group.
+
+    Texts put together are compared in one task while they have at most ``together`` shingles.  Larger ones are dealt to
+    parts of that size, each pair of parts is compared in a task of its own, and the links found are joined to components.
     """
     marked, proposed = _proposed(df, words, radius, shingle)
-    rows = df.selectExpr("CAST(doc_id AS BIGINT) AS rep", "text").join(proposed.select("rep", "same", "root"), "rep")
+    parts = F.ceil(F.col("total") / F.lit(float(together))).cast("int")
+    dealt = proposed.withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pairs = dealt.select("rep", "same", "root", "part", other.alias("k")).select("rep", "same", "root", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
+    rows = df.selectExpr("CAST(doc_id AS BIGINT) AS rep", "text").join(pairs, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (root, rep); a root's texts are compared together."""
+        """Rows come sorted by (root, i, j, rep, same); texts of one (root, i, j) are compared together.  Out: texts and the
+        first text of their group, if that is another."""
         at, held = None, {}
 
         def close() -> pa.RecordBatch:
             first = clusters([s for _, s in held.values()], least)
-            names = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[c] for c in first], pa.binary())], ["same", "lead"])
+            names, reps = list(held), [rep for rep, _ in held.values()]
+            later = [n for n, c in enumerate(first) if n != c]
+            lead = [first[n] for n in later]
+            columns = [pa.array([x[n] for n in y], t) for x, y, t in ((names, later, pa.binary()), (reps, later, pa.int64()), (names, lead, pa.binary()), (reps, lead, pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["same", "rep", "lead", "lead_rep"])
 
         for batch in batches:
             for b in slices([batch], "text", BLOCK_BYTES):
                 raw, offsets = buffer_of(b.column("text"))
                 data, cuts, sets = raw.tobytes(), offsets.tolist(), BlockWords(raw, offsets).sets(shingle)
-                for k, (root, rep, same) in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "rep", "same")), strict=True)):
-                    if root != at:
+                for k, (root, i, j, rep, same) in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "i", "j", "rep", "same")), strict=True)):
+                    if (root, i, j) != at:
                         if held:
                             yield close()
-                        at, held = root, {}
+                        at, held = (root, i, j), {}
                     # Rows that repeat a doc_id may have other texts.
                     if same not in held and normal_digest(data[cuts[k] : cuts[k + 1]]) == same:
                         held[same] = (rep, sets[k])
         if held:
             yield close()
 
-    ordered = rows.select("root", "rep", "same", "text").repartition("root").sortWithinPartitions("root", "rep", "same")
-    found = materialize(ordered.mapInArrow(run, "same binary, lead binary"))
+    ordered = rows.select("root", "i", "j", "rep", "same", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep", "same")
+    found = materialize(ordered.mapInArrow(run, "same binary, rep long, lead binary, lead_rep long"))
+    later = found.select("same")
+    if dealt.filter("parts > 1").take(1):
+        # A text may follow one text in one pair of parts and another in the next: groups are what links connect.
+        node = lambda c: F.xxhash64(F.col(c))
+        roots = components(found.select(node("same").alias("a"), node("lead").alias("b"))).withColumnRenamed("node", "id")
+        texts = found.select("same", "rep").unionByName(found.select(F.col("lead").alias("same"), F.col("lead_rep").alias("rep"))).distinct().withColumn("id", node("same"))
+        member = materialize(texts.join(roots, "id", "left").select("same", "rep", F.coalesce("root", "id").alias("root")))
+        first = materialize(member.groupBy("root").agg(F.min(F.struct("rep", "same")).alias("first"), F.count("*").alias("n")))
+        later = join_facts(member, first, "root", member.count()).filter(F.struct("rep", "same") != F.col("first")).select("same")
     lowest = marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    return lowest.join(found.filter("same <> lead").select("same"), "same", "left_anti").select("doc_id", "same")
+    return lowest.join(later, "same", "left_anti").select("doc_id", "same")
 
 
 def digested(df: DataFrame, column: str) -> DataFrame:
@@ -407,14 +431,14 @@ def digested(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(column, BinaryType())]))
 
 
-def one_of_each(df: DataFrame, words: int = 2, radius: int = 3, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, words: int = 2, radius: int = 3, shingle: int = 5, least: float = 0.8, together: int = TOGETHER) -> DataFrame:
     """The rows of df (doc_id, text, ...) without near-duplicates: of each group of :func:`leaders` one row.
 
     It is a row of the smallest doc_id; rows that share it but not their text are told apart by their texts.  Of rows that
     share both (but for case and white space) the smallest by all columns stays.  Rows without doc_id stand in no group and
     stay.  An empty table gives no rows.
     """
-    first = materialize(leaders(df.filter("doc_id IS NOT NULL"), words, radius, shingle, least))
+    first = materialize(leaders(df.filter("doc_id IS NOT NULL"), words, radius, shingle, least, together))
     digest, number = f"digest_{uuid.uuid4().hex}", f"number_{uuid.uuid4().hex}"
     keyed = digested(df.filter("doc_id IS NOT NULL"), digest).withColumn(number, F.col("doc_id").cast("long"))
     often = df.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")

@@ -46,6 +46,8 @@ GRAM = 32
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of text in a block, anchors that a task settles together, bytes of a sorting block, stretches of a hot bucket.
 BLOCK_BYTES, TOGETHER, SORT_BYTES, HOT = 1 << 19, 200_000, 300_000, 3_000
+#: Hot buckets that are broadcast at most.
+LARGE = 100_000
 #: One document in so many is looked at for frequent anchors; at most so many of these are dealt out by stretch.
 SAMPLE, FREQUENT = 16, 4096
 #: Bits of a position in a text, and layout of ``place``: the anchor's position, 7 bits each of its least and largest offset.
@@ -468,7 +470,10 @@ def repeats(docs: DataFrame, length: int, hot: int = HOT, block_bytes: int = BLO
     stretches = materialize(texts.select("doc", "th", "text", "need").mapInArrow(_fetch(length, block_bytes), kind), "zstd")
     reclaim(docs)
     large = stretches.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("g")
-    some = bool(large.take(1))
+    many = large.count()
+    some = many > 0
+    # At most one for each ``hot`` stretches; they are broadcast while they are few, so that no task gets one's rows.
+    large = F.broadcast(large) if many <= LARGE else large
     calm = stretches.join(large, "g", "left_anti") if some else stretches
     ordered = calm.repartition("g").sortWithinPartitions("g", "doc", "th", "first")
     parts = whole.unionByName(ordered.mapInArrow(_sort_blocks(length, sort_bytes), INTERVAL))

@@ -52,3 +52,25 @@ def test_near_duplicates_are_those_of_five_word_similarity(spark):
                     root[i] = root[j] = min(root[i], root[j])
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), "").collect()}
     assert kept == {i for i, r in enumerate(root) if i == r}
+    # The same when large groups are compared part by part.
+    from evispark.llm import simhash
+
+    parts = {r["doc_id"] for r in simhash.one_of_each(documents(spark, texts), **corpus_pipeline.NEAR, together=300).collect()}
+    assert parts == kept
+
+
+def test_a_chain_of_copies_is_one_group_however_it_is_dealt(spark):
+    """Each text is similar to its neighbours only; comparing part by part must join them all."""
+    from evispark.llm import simhash
+
+    rng = random.Random(2)
+    base = words(rng, 400).split()
+    texts = []
+    for i in range(40):
+        texts.append(" ".join(base))
+        for at in range(3, 400, 57):
+            base[(at + i * 5) % 400] = words(rng, 1)
+    texts += [words(rng, 50), texts[7]]
+    for together in (800, 1 << 20):
+        got = {r["doc_id"] for r in simhash.one_of_each(documents(spark, texts), **corpus_pipeline.NEAR, together=together).collect()}
+        assert got == {0, 40}
