@@ -34,6 +34,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: Chunks of these characters need no normalisation but lower case, and each lower-cases by itself.
 LATIN = re.compile(r"[\x21-\x7e\u00a1-\u00ff\u0100-\u012f\u0131-\u017f]*")
+#: ASCII letters, and signs that part from letters whatever stands around them: no apostrophe, nothing of special tokens.
+LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+SIGN[list(b'.,;:!?()"-')] = True
 #: Bytes from which the library merges a piece.
 LONG = 48
 NONE = np.int64(1 << 40)
@@ -42,7 +46,8 @@ NONE = np.int64(1 << 40)
 class WordTokenizer:
     """Ids of texts by a tokenizer file (BPE with word ends) whose splitting never looks across white space.
 
-    Texts are put together from remembered chunks (runs between ASCII white space); a chunk from remembered pieces.
+    Texts are put together from remembered chunks (runs between ASCII white space, cut where a letter meets one of the
+    signs that always part from it); a chunk from remembered pieces.
     New pieces are merged together: in each round every piece applies its lowest-ranked pair.  Chunks beyond the Latin
     range, those that may hold a special token, and long pieces are given to the library whole.
     """
@@ -152,6 +157,11 @@ class WordTokenizer:
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a block, ids of each text); texts lie in ``raw`` between ``offsets``."""
         start, end, doc = word_spans(raw, offsets)
+        cut = 1 + np.flatnonzero((LETTER[raw[:-1]] & SIGN[raw[1:]]) | (SIGN[raw[:-1]] & LETTER[raw[1:]]))
+        # Where a text begins a chunk does already.
+        cut = cut[~np.isin(cut, offsets)]
+        start, end = (np.sort(np.concatenate([x, cut])) for x in (start, end))
+        doc = np.searchsorted(offsets, start, side="right") - 1
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         which, distinct = numbered(words_of(raw, start, end))

@@ -249,3 +249,17 @@ def test_block_shingles_equal_those_of_single_texts():
             wa, wb = (texts[i].lower().split() for i in (a, b))
             sa, sb = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (wa, wb))
             assert len(set(sets[a].tolist()) & set(sets[b].tolist())) == len(sa & sb)
+
+
+def test_ids_of_random_signs_are_the_librarys():
+    """Letters, signs, apostrophes, digits and other scripts in any order: cutting at signs changes no id."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, tok = Tokenizer.from_file(WORD), packing.WordTokenizer(WORD)
+    rng = np.random.default_rng(12)
+    parts = [*"abZ.,;:!?()\"-'<|>#@/&_09 \n", "'s", "'ll", "é", "日", "—", "«", "́", " ", "ﬁ", "İ", "ß", "<|end|>"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(1, 60)))) for _ in range(3000)]
+    ids, counts = tok.encode(*buffer_of(pa.array(texts)))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
