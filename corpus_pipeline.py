@@ -60,8 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents.  What a stage wrote on its way is deleted once its own result is written."""
-    docs, since = table(spark, sf_dir, "documents"), written()
+    docs, before = table(spark, sf_dir, "documents"), written()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "zstd")
-        clean_up(spark, [docs], since)
+        clean_up(spark, [docs], before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -51,20 +51,20 @@ def release(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def clean_up(spark: SparkSession, keep: Iterable[DataFrame] = (), since: int = 0) -> None:
-    """Delete the tables that :func:`materialize` wrote, from the ``since``-th on and but for ``keep``.
+def clean_up(spark: SparkSession, keep: Iterable[DataFrame] = (), before: frozenset[str] = frozenset()) -> None:
+    """Delete the tables that :func:`materialize` wrote, but for those that existed ``before`` and those to ``keep``.
 
     To be called once the results that read them are written.
     """
     kept = {getattr(df, "_evispark_path", None) for df in keep}
-    for path in _WRITTEN[since:]:
-        if path not in kept:
+    for path in list(_WRITTEN):
+        if path not in kept and path not in before:
             _delete(spark, path)
 
 
-def written() -> int:
-    """How many tables exist now, to be given to :func:`clean_up`."""
-    return len(_WRITTEN)
+def written() -> frozenset[str]:
+    """The tables that exist now, to be given to :func:`clean_up`."""
+    return frozenset(_WRITTEN)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
