@@ -45,8 +45,8 @@ def _within(counted: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _repeated(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: does its value (a number below len + 1) occur twice or more in its document, and did it earlier there."""
-    key = doc * (len(value) + 1) + value
+    """For each entry: does its value (a number) occur twice or more in its document, and did it earlier there."""
+    key = doc * (int(value.max(initial=0)) + 1) + value
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     more, earlier = np.zeros(len(key), bool), np.zeros(len(key), bool)

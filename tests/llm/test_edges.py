@@ -1,10 +1,12 @@
 """Structured strings that weak hashes confuse, borders of blocks and caches, and the draw of the sampler."""
 
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evispark.llm import importance, packing, quality_rules
@@ -44,6 +46,19 @@ def test_quality_counts_of_structured_strings_and_small_blocks(spark):
         assert [(got[i]["n_words"], got[i]["n_dup_lines"], got[i]["n_repeat_words"]) for i in range(len(texts))] == [slow_counts(t) for t in texts]
 
 
+def test_quality_counts_of_many_short_documents_in_one_block():
+    rng = random.Random(11)
+    short = ["p\nq\n \n  \n   \n    \na", "q"]
+    for _ in range(400):
+        lines = [rng.choice(["", " " * rng.randint(1, 9), " ".join(f"w{rng.randint(0, 39)}" for _ in range(rng.randint(1, 20)))]) for _ in range(rng.randint(1, 6))]
+        short.append("\n".join(lines))
+    for size in (len(short), 7):
+        for i in range(0, len(short), size):
+            s = quality_rules.statistics(*buffer_of(pa.array(short[i : i + size])))
+            got = list(zip(s["n_words"].tolist(), s["n_dup_lines"].tolist(), s["n_repeat_words"].tolist(), strict=True))
+            assert got == [slow_counts(t) for t in short[i : i + size]]
+
+
 def test_quality_fit_takes_one_row_of_a_repeated_id(spark):
     df = documents(spark).union(documents(spark, list(reversed(odd_texts()))))
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(17)], "doc_id long, quality int, toxic int")
@@ -56,8 +71,6 @@ def test_ids_of_structured_words_are_the_librarys():
     library = Tokenizer.from_file(WORD)
     texts = [*morse_texts(), *odd_texts()]
     tiny = packing.WordTokenizer(WORD, remembered=3, remembered_chunks=5)
-    import pyarrow as pa
-
     for size in (1, 3, len(texts)):
         for i in range(0, len(texts), size):
             ids, counts = tiny.encode(*buffer_of(pa.array(texts[i : i + size])))
