@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, graph_search, importance, language_id, packing, quality_rules, simhash, suffix_dedup, tool_calls, url_rules
+from . import byte_bpe, conversation_repair, graph_search, importance, language_id, packing, quality_rules, simhash, suffix_dedup, tool_calls, url_rules
 from .common import table
 
 
@@ -91,6 +91,11 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op11_edit_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(damaged))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
     "op2_quality_trees": op2_quality_trees,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_calls": op8_tool_calls,
     "op9_simhash": op9_simhash,
     "op10_curve_packing": op10_curve_packing,
+    "op11_edit_composition": op11_edit_composition,
 }
 
 ORACLE_SQL: dict[str, str] = {
