@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, graph_search, importance, language_id, packing, quality_rules, simhash, suffix_dedup, tool_calls, url_rules
+from . import byte_bpe, conversation_repair, graph_search, importance, language_id, packing, quality_rules, simhash, suffix_dedup, tool_calls, url_rules, vector_codes
 from .common import table
 
 
@@ -96,6 +96,12 @@ def op11_edit_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(conversation_repair.repair(damaged))
 
 
+def op12_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return found.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
     "op2_quality_trees": op2_quality_trees,
@@ -109,9 +115,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_curve_packing": op10_curve_packing,
     "op11_edit_composition": op11_edit_composition,
+    "op12_annular_codes": op12_annular_codes,
 }
 
+def _codes_sql(rounds: int = 4, entries: int = 256) -> str:
+    """Codebooks by brute force: every part against every entry, round after round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+            a{r} AS (SELECT vec_id, x.p, min(CAST(x.n - 2 * list_dot_product(x.d, b.d) + b.n AS BIGINT) * {entries} + e) AS m FROM x JOIN b{r} AS b ON x.p = b.p GROUP BY vec_id, x.p)""")
+        if r < rounds:
+            steps.append(f"""
+            s{r} AS (SELECT x.p, m % {entries} AS e, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM x JOIN a{r} AS a ON x.vec_id = a.vec_id AND x.p = a.p),
+            m{r} AS (SELECT p, e, list(v ORDER BY i) AS s FROM (SELECT p, e, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v FROM s{r} GROUP BY ALL) GROUP BY p, e),
+            c{r} AS (SELECT b.p, b.e, coalesce(m.s, b.s) AS s FROM b{r} AS b LEFT JOIN m{r} AS m ON b.p = m.p AND b.e = m.e),
+            b{r + 1} AS MATERIALIZED (SELECT p, e, s, CAST(s AS DOUBLE[]) AS d, list_dot_product(CAST(s AS DOUBLE[]), CAST(s AS DOUBLE[])) AS n FROM c{r})""")
+    return f"""
+        WITH k AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), w AS (SELECT vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS s FROM k, range(4) AS r(p)),
+        x AS MATERIALIZED (SELECT vec_id, p, s, CAST(s AS DOUBLE[]) AS d, list_dot_product(CAST(s AS DOUBLE[]), CAST(s AS DOUBLE[])) AS n FROM w),
+        b0 AS MATERIALIZED (SELECT x.p, f.e, s, d, n FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {entries}) AS f USING (vec_id)),
+        {",".join(steps)},
+        t AS (SELECT vec_id, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM b{rounds}))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM t JOIN k USING (vec_id), h
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_annular_codes": _codes_sql(),
     "url_suffix_rules": r"""
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
              h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
