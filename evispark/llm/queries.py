@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, graph_search, importance, language_id, packing, quality_rules, simhash, suffix_dedup, tool_calls, url_rules, vector_codes
+from . import byte_bpe, conversation_repair, graph_search, importance, language_id, license_scan, packing, quality_rules, simhash, suffix_dedup, tool_calls, url_rules, vector_codes
 from .common import table
 
 
@@ -102,6 +102,33 @@ def op12_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def _places(spans: F.Column, kind: str) -> F.Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
+def _label_list(spans: F.Column) -> F.Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+
+def _license_columns(found: DataFrame) -> DataFrame:
+    base, notices = _places(found["spans"], "phrase"), _places(found["spans"], "notice")
+    starts = F.transform(base, lambda s: s["start"])
+    score = F.coalesce(F.array_max(F.transform(notices, lambda s: s["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        _label_list(base).alias("base_labels"), _label_list(found["spans"]).alias("labels"), score.alias("score"),
+    )
+
+
+def op13_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license_columns(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op13 that SQL can express: words and the places of the base phrases, through the same functions."""
+    return op13_rare_tokens(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
     "op2_quality_trees": op2_quality_trees,
@@ -116,6 +143,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_curve_packing": op10_curve_packing,
     "op11_edit_composition": op11_edit_composition,
     "op12_annular_codes": op12_annular_codes,
+    "op13_rare_tokens": op13_rare_tokens,
+    "license_phrases": license_phrases,
 }
 
 def _codes_sql(rounds: int = 4, entries: int = 256) -> str:
@@ -146,6 +175,19 @@ def _codes_sql(rounds: int = 4, entries: int = 256) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op12_annular_codes": _codes_sql(),
+    "license_phrases": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, w, list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS cc,
+                   list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl,
+                   list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS res
+            FROM w
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(cc || gpl || res) AS BIGINT) AS n_base, list_min(cc || gpl || res) AS first_word, list_max(cc || gpl || res) AS last_word,
+               concat_ws(',', CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END) AS base_labels
+        FROM p
+    """,
     "url_suffix_rules": r"""
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
              h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
