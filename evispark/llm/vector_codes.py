@@ -31,7 +31,7 @@ from .common import give_back, join_facts, materialize
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Rows that are searched together, and entries on either side that are evaluated before the interval is searched anew.
-BLOCK_ROWS, STRIDE = 2048, 12
+BLOCK_ROWS, STRIDE = 2048, 24
 #: Sums are shipped as high * 2**40 + low.
 LOW_BITS = 40
 MOST = (1 << 63) - 1
@@ -77,7 +77,7 @@ class Annuli:
     def _distances(self, x: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
         self.evaluated += len(rows)
         d = x[rows] - self.entries[places]
-        return (d * d).sum(1)
+        return (d * d).sum(1) if d.dtype == object else np.einsum("ij,ij->i", d, d)
 
     def _evaluate(self, x: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray, best: np.ndarray, entry: np.ndarray) -> None:
         """Hold rows against the entries first .. last - 1 of each."""
@@ -123,15 +123,18 @@ def _matrix(col: pa.ListArray, length: int) -> np.ndarray:
 
 
 def _joint(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both with the same kind of integer."""
-    wide = object if x.dtype == object or book.dtype == object else np.int64
-    return x.astype(wide), book.astype(wide)
+    """Both with the same kind of number: floats where all sums are exact integers in them, else 64-bit or Python integers."""
+    if x.dtype == object or book.dtype == object:
+        return x.astype(object), book.astype(object)
+    most = 2 * max(np.abs(x).max(initial=0), np.abs(book).max(initial=0))
+    kind = np.float64 if float(most) ** 2 * x.shape[1] < 2.0**52 else np.int64
+    return x.astype(kind), book.astype(kind)
 
 
 def _assigned(batches: Iterator[pa.RecordBatch], books: list[np.ndarray], length: int) -> Iterator[tuple[pa.RecordBatch, list, list, np.ndarray]]:
     """(batch, entries by part, squared distances by part, integers) in blocks of rows."""
     part = length // len(books)
-    ready: dict[tuple[int, bool], Annuli] = {}
+    ready: dict[tuple[int, np.dtype], Annuli] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK_ROWS):
             piece = batch.slice(at, BLOCK_ROWS)
@@ -139,12 +142,12 @@ def _assigned(batches: Iterator[pa.RecordBatch], books: list[np.ndarray], length
             entries, errors = [], []
             for p, book in enumerate(books):
                 own, other = _joint(x[:, p * part : (p + 1) * part], book)
-                key = (p, own.dtype == object)
+                key = (p, own.dtype)
                 if key not in ready:
                     ready[key] = Annuli(other)
                 entry, error = ready[key].nearest(own)
                 entries.append(entry)
-                errors.append(error)
+                errors.append(error if error.dtype == object else error.astype(np.int64))
             yield piece, entries, errors, x
     give_back()
 
