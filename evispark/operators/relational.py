@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import stored
 
 STATUS_PRIORITY = {"found": 4, "source_invalid": 3, "ocr_gap": 2, "table_ungrounded": 1, "not_found": 0}
 REVIEW_SEVERITY = {"provisional": 0, "approved": 1, "corrected": 2, "rejected": 3}
@@ -130,10 +130,8 @@ def running_total(df: DataFrame, order: Sequence[str], value: Column, name: str)
     Rows are range-sorted and written; each partition adds up its own, and one sum for each partition comes to the driver.
     """
     spark = df.sparkSession
-    path = scratch_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    out = spark.read.schema(df.withColumn("_part", F.lit(0)).schema).parquet(path)
+    out = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sums = sorted(out.groupBy("_part").agg(F.sum(value).alias("s")).collect())
     kind = "double" if any(isinstance(r["s"], float) for r in sums) else "long"
     bases, total = [], 0.0 if kind == "double" else 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import relational as R
+from ..operators import templates as MT
 from .catalog import Tables, query
 
 
@@ -115,6 +116,21 @@ def _(t: Tables):
     return lines.groupBy(F.regexp_replace("line", "[0-9]+", "<num>").alias("template")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "template").limit(20)
 
 
+#: Root causes of lines: the first whose words occur in the template.
+CAUSES = {"licence": ["license", "rights reserved", "cc by"], "contact": ["@", "http"], "secret": ["key", "token", "password"]}
+
+
+@query("d29_log_templates")
+def _(t: Tables):
+    """Every line of every document as a log line: its source is the place, and lines of doubtful documents are errors."""
+    bad = t.labels.groupBy("doc_id").agg(F.bool_or((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    docs = t.documents.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("message")).join(bad, "doc_id", "left")
+    log = docs.select(F.when(F.col("bad"), "ERROR").otherwise("WARNING").alias("level"), F.col("source").alias("location"), "message")
+    found = MT.mine(log, CAUSES)
+    pairs = F.array_join(F.transform("locations", lambda p: F.concat_ws("=", p["location"], p["n"].cast("string"))), ",")
+    return found.select("template", "n", "level", F.array_join("samples", "\n").alias("samples"), pairs.alias("locations"), "bucket")
+
+
 @query(
     "e17_graded_match",
     """
