@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing the package registers them in the catalog."""
 
-from . import comparison, documents, evaluation, evidence, graphs, more, notation, relational, scalars, significance, vocabularies  # noqa: F401
+from . import comparison, documents, evaluation, evidence, graphs, items, more, notation, relational, scalars, significance, vocabularies  # noqa: F401

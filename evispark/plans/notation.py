@@ -80,13 +80,12 @@ MODE = """CASE p_size % 13 WHEN 0 THEN 'autosomal  dominant, de novo' WHEN 1 THE
     WHEN 7 THEN 'somatic' WHEN 8 THEN 'somatic variant' WHEN 9 THEN 'gonadal mosaicism' WHEN 10 THEN 'Maternal inheritance' WHEN 11 THEN ' semi dominant ' END"""
 
 
-@query(
-    "h22_inheritance",
-    rf"""SELECT p_partkey, CASE WHEN coalesce(m, '') = '' THEN '' WHEN m IN ('AD', 'AR', 'SD', 'XL', 'Mitochondrial', 'Somatic Mosaicism', 'Undetermined') THEN m WHEN lower(m) IN ('xl', 'xld', 'xlr', 'x-linked') THEN 'XL' WHEN lower(m) IN ('ad', 'ar', 'sd') THEN upper(m)
-        WHEN lower(m) = 'mitochondrial' THEN 'Mitochondrial' WHEN lower(m) = 'somatic' THEN 'Somatic Mosaicism' WHEN lower(m) = 'undetermined' THEN 'Undetermined' WHEN regexp_matches(m, '(?i)autosomal\s*dominant') THEN 'AD' WHEN regexp_matches(m, '(?i)autosomal\s*recessive') THEN 'AR'
-        WHEN regexp_matches(m, '(?i)x[\s-]*linked') THEN 'XL' WHEN regexp_matches(m, '(?i)semi[\s-]*dominant') THEN 'SD' WHEN regexp_matches(m, '(?i)mitochondrial|maternal\s+inheritance') THEN 'Mitochondrial' WHEN regexp_matches(m, '(?i)somatic\s+mosaic|mosaicism') THEN 'Somatic Mosaicism'
-        WHEN regexp_matches(m, '(?i)undetermined|unknown\s+inheritance') THEN 'Undetermined' ELSE upper(m) END AS moi FROM (SELECT p_partkey, trim({MODE}) AS m FROM part)""",
-)
+_SHORT = " ".join(f"WHEN lower(m) = '{k}' THEN '{v}'" for k, v in H.SHORT_MODES.items())
+_PHRASES = " ".join(f"WHEN regexp_matches(lower(m), '{H.phrase_pattern(p)}') THEN '{v}'" for p, v in H.MODE_PHRASES)
+_CANONICAL = ", ".join(f"'{v}'" for v in sorted(set(H.SHORT_MODES.values())))
+
+
+@query("h22_inheritance", f"SELECT p_partkey, CASE WHEN coalesce(m, '') = '' THEN '' WHEN m IN ({_CANONICAL}) THEN m {_SHORT} {_PHRASES} ELSE upper(m) END AS moi FROM (SELECT p_partkey, trim({MODE}) AS m FROM part)")
 def _(t: Tables):
     return t.part.select("p_partkey", H.inheritance(F.expr(MODE)).alias("moi"))
 
