@@ -15,7 +15,7 @@ VARIANT = f"""CASE p_partkey % 12 WHEN 0 THEN 'NM_000059.4(BRCA2):c.' || {K} ||
     WHEN 3 THEN 'R' || {K} || 'X' WHEN 4 THEN 'Arg' || {K} || 'Ter' WHEN 5 THEN '["p.Ser' || {K} || 'Arg", "p.S' || {K} || 'I"]' WHEN 6 THEN 'c.727C>T (p.R' || {K} || 'X)'
     WHEN 7 THEN 'p.R' || {K} || 'X, p.R2X' WHEN 8 THEN 'Arg5Gly/p.Arg' || {K} || 'Ter' WHEN 9 THEN 'NM_1.2:p.(Lys' || {K} || 'Profs*23)' WHEN 10 THEN p_name END"""
 AA = "|".join(H.AMINO)
-CHANGE = rf"({AA})([0-9]+)({AA}|Ter|stop|X|[*]|fs|del|dup|ins)"
+CHANGE = rf"({AA})([0-9]+)({AA}|Ter|[*]|stop|X|fs|del|dup|ins)"
 CODES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in [*H.AMINO.items(), ("Ter", "*"), ("stop", "*"), ("X", "*"), ("*", "*"), ("fs", "fs"), ("del", "del"), ("dup", "dup"), ("ins", "ins")]) + "}"
 
 
