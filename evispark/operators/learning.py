@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .relational import bounded, numbered
 
 
@@ -45,25 +46,77 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30)
     return w, mean, dev
 
 
-def leave_one_out(df: DataFrame, fold: str, features: Sequence[str], label: str, c: float = 1.0, most: int = 1000) -> DataFrame:
+def leave_one_out(df: DataFrame, fold: str, features: Sequence[str], label: str, c: float = 1.0, most: int = 1000, steps: int = 30) -> DataFrame:
     """(fold, label, probability): each fold's rows judged by a model of all others.
 
-    Each of at most ``most`` folds gets a copy of the samples, which must fit a worker; folds run side by side.
+    All models of at most ``most`` folds are fitted together by Newton steps.  A step is one pass over the rows: tasks add
+    up gradients and Hessians, a row's for every fold but its own, and what comes to the driver has a row for each fold.
+    Means, deviations and class weights of a fold's others are the totals less the fold's own.  No task holds the samples.
     """
-    folds = df.select(F.col(fold).alias("_held")).distinct()
-    copies = bounded(folds, most, "the set of folds").join(df.select(F.col(fold).alias("_fold"), F.col(label).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f) for f in features)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = (pdf["_fold"] == pdf["_held"]).to_numpy()
-        x, y = pdf[list(features)].to_numpy(), pdf["_y"].to_numpy()
-        if len(set(y[~held])) < 2:
-            p = np.full(held.sum(), y[~held].mean() if (~held).any() else 0.5)
-        else:
-            w, mean, dev = fit_logistic(x[~held], y[~held], c)
-            p = 1 / (1 + np.exp(-(((x[held] - mean) / dev) @ w[:-1] + w[-1])))
-        return pd.DataFrame({"fold": pdf["_held"][held].astype(str), "label": y[held], "probability": p})
-
-    return copies.groupBy("_held").applyInPandas(run, "fold string, label double, probability double")
+    rows = stored(df.select(F.coalesce(F.col(fold).cast("string"), F.lit("")).alias("fold"), F.col(label).cast("double").alias("y"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features))))
+    d, names = len(features), [f"x{i}" for i in range(len(features))]
+    own = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), *(F.sum(x).alias(f"s_{x}") for x in names), *(F.sum(F.col(x) * F.col(x)).alias(f"q_{x}") for x in names))
+    bounded(own.select("fold"), most, "the set of folds")
+    sums = own.orderBy("fold").collect()
+    if not sums:
+        return rows.select("fold", F.col("y").alias("label"), F.lit(0.5).alias("probability"))
+    place = {r["fold"]: i for i, r in enumerate(sums)}
+    table = np.array([[r["n"], r["pos"], *(r[f"s_{x}"] for x in names), *(r[f"q_{x}"] for x in names)] for r in sums], float)
+    others = table.sum(0) - table
+    n, pos = np.maximum(others[:, 0], 1), others[:, 1]
+    mean = others[:, 2 : 2 + d] / n[:, None]
+    dev = np.sqrt(np.maximum(others[:, 2 + d :] / n[:, None] - mean**2, 0))
+    dev[dev < 1e-12] = 1
+    weight = np.stack([others[:, 0] / (2 * np.maximum(others[:, 0] - pos, 1)), others[:, 0] / (2 * np.maximum(pos, 1))], 1)
+    penalty = np.append(np.full(d, 1 / c), 1e-9)
+    w = np.zeros((len(sums), d + 1))
+    plain = (pos == 0) | (pos == others[:, 0])  # one class only: no model
+    open_ = ~plain
+
+    def scaled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(d)], 1)
+        z = (x[:, None, :] - mean[None]) / dev[None]
+        return np.array([place[f] for f in batch.column("fold").to_pylist()]), batch.column("y").to_numpy(zero_copy_only=False), np.concatenate([z, np.ones((*z.shape[:2], 1))], 2)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, 4_000_000 // (len(sums) * (d + 1)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                yield batch.slice(at, size)
+
+    for _ in range(steps):
+        if not open_.any():
+            break
+
+        def gradients(batches: Iterator[pa.RecordBatch], w: np.ndarray = w.copy()) -> Iterator[pa.RecordBatch]:
+            g, h = np.zeros((len(w), d + 1)), np.zeros((len(w), d + 1, d + 1))
+            for batch in pieces(batches):
+                at, y, z = scaled(batch)
+                p = 1 / (1 + np.exp(-np.clip(np.einsum("nfd,fd->nf", z, w), -30, 30)))
+                share = weight[:, y.astype(int)].T * (at[:, None] != np.arange(len(w))[None])
+                g += np.einsum("nf,nfd->fd", share * (p - y[:, None]), z)
+                h += np.einsum("nf,nfd,nfe->fde", share * p * (1 - p), z, z, optimize=True)
+            flat = np.concatenate([g, h.reshape(len(w), -1)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(w)), flat.shape[1])), pa.array(np.tile(np.arange(flat.shape[1]), len(w))), pa.array(flat.ravel())], ["f", "i", "v"])
+
+        total = np.zeros((len(sums), (d + 1) * (d + 2)))
+        for r in rows.mapInArrow(gradients, "f long, i long, v double").groupBy("f", "i").agg(F.sum("v").alias("v")).collect():
+            total[r["f"], r["i"]] = r["v"]
+        grad, hess = total[:, : d + 1] + penalty * w, total[:, d + 1 :].reshape(-1, d + 1, d + 1) + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+        w[open_] -= step[open_]
+        open_ &= np.abs(step).max(1) >= 1e-8
+    base = np.where(others[:, 0] > 0, pos / n, 0.5)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(d)], 1)
+            at = np.array([place[f] for f in batch.column("fold").to_pylist()], int)
+            margin = ((x - mean[at]) / dev[at] * w[at, :-1]).sum(1) + w[at, -1]
+            p = np.where(plain[at], base[at], 1 / (1 + np.exp(-margin)))
+            yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), pa.array(p)], ["fold", "label", "probability"])
+
+    return rows.mapInArrow(judge, "fold string, label double, probability double")
 
 
 def clustered_bootstrap(df: DataFrame, cluster: str, delta: str, replicates: int, seed: int) -> DataFrame:

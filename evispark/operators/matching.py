@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from .relational import best_tier, top_one
 
 #: Order of alias types in a lookup; others come last.
@@ -131,24 +134,104 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 1000) -> DataFrame:
-    """Exact k nearest vectors of each query (query_id, q); every vector is read once for each block of queries.
+def _unit(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, which rows have one) of a list column whose vectors are equally long; null and zero vectors have none."""
+    rows = col.to_pylist()
+    length = max((len(r) for r in rows if r), default=0)
+    good = np.array([bool(r) and len(r) == length and None not in r for r in rows])
+    out = np.zeros((len(rows), length))
+    if good.any():
+        out[good] = np.array([r for r, g in zip(rows, good, strict=True) if g], float)
+    norm = np.linalg.norm(out, axis=1)
+    good &= np.isfinite(norm) & (norm > 0)
+    out[good] /= norm[good, None]
+    return out, good
+
+
+class _Best:
+    """The k nearest vectors so far of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int) -> None:
+        self.ids, self.unit, self.k = ids, unit, k
+        self.score, self.vec = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+
+    def meet(self, ids: np.ndarray, unit: np.ndarray) -> None:
+        if not len(ids) or unit.shape[1] != self.unit.shape[1]:
+            return
+        # Rounded, so that equal vectors tie wherever they stand in a block.
+        score = np.round(self.unit @ unit.T, 12)
+        score[self.ids[:, None] == ids[None, :]] = -np.inf
+        score, vec = np.concatenate([self.score, score], 1), np.concatenate([self.vec, np.broadcast_to(ids, score.shape)], 1)
+        order = np.lexsort((vec, -score), axis=1)[:, : self.k]
+        self.score, self.vec = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
+
+    def rows(self) -> pa.RecordBatch | None:
+        q, j = np.nonzero(self.score > -np.inf)
+        if not len(q):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.vec[q, j]), pa.array(self.score[q, j])], ["query_id", "vec_id", "score"])
 
-    Blocks have about half of ``max_queries`` queries, dealt by hash, so what is broadcast at once has a known size.
-    """
-    n = queries.count()
-    if n > max_queries:
-        blocks = -(-2 * n // max_queries)
-        dealt = [_k_nearest(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), vectors, k) for i in range(blocks)]
-        return reduce(DataFrame.unionByName, dealt)
-    return _k_nearest(queries, vectors, k)
 
+def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 1000) -> DataFrame:
+    """Exact k nearest vectors of each query (query_id, q): (query_id, vec_id, score, rank), ties to the smaller id.
 
-def _k_nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    pairs = vectors.join(F.broadcast(queries)).filter(F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
+    Up to ``max_queries`` queries are broadcast, and vectors stay where they are.  More are dealt into blocks of about half
+    as many: a block is a key, not a branch of the plan, and meets each slice of the vectors in a task of its own.  Tasks
+    multiply matrices and keep k vectors of each query.  Null and zero vectors take no part.
+    """
+    known = stored(queries.select(F.col("query_id").cast("long").alias("id"), F.col("q").cast("array<double>").alias("v")))
+    rest = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    n = known.count()
+
+    def block_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        unit, good = _unit(batch.column("v"))
+        return batch.column("id").to_numpy(zero_copy_only=False)[good], unit[good]
+
+    if n <= max_queries:
+        shared = queries.sparkSession.sparkContext.broadcast([(r["id"], r["v"]) for r in known.orderBy("id").collect()])
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = pa.RecordBatch.from_arrays([pa.array([i for i, _ in shared.value], pa.int64()), pa.array([v for _, v in shared.value], pa.list_(pa.float64()))], ["id", "v"])
+            best = _Best(*block_of(own), k)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    best.meet(*block_of(batch.slice(at, 1024)))
+            if (out := best.rows()) is not None:
+                yield out
+
+        found = rest.mapInArrow(near, "query_id long, vec_id long, score double")
+    else:
+        blocks, slices = -(-2 * n // max_queries), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        asked = known.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), each(slices).alias("slice"), F.lit(0).alias("side"), "id", "v")
+        held = rest.select(each(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice"), F.lit(1).alias("side"), "id", "v")
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, own, best = None, [], None
+            for batch in batches:
+                where = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "slice", "side")], 1)
+                cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1), len(where)]
+                for first, last in itertools.pairwise(cuts):
+                    here, side = tuple(where[first, :2]), where[first, 2]
+                    if here != at:
+                        if best is not None and (out := best.rows()) is not None:
+                            yield out
+                        at, own, best = here, [], None
+                    piece = batch.slice(first, last - first).select(["id", "v"])
+                    if side == 0:
+                        own.append(piece)
+                        continue
+                    if best is None:
+                        best = _Best(*block_of(pa.Table.from_batches(own).combine_chunks().to_batches()[0]) if own else (np.zeros(0, np.int64), np.zeros((0, 0))), k)
+                    for i in range(0, piece.num_rows, 1024):
+                        best.meet(*block_of(piece.slice(i, 1024)))
+            if best is not None and (out := best.rows()) is not None:
+                yield out
+
+        both = asked.unionByName(held).repartition(int(blocks * slices), "block", "slice").sortWithinPartitions("block", "slice", "side")
+        found = both.mapInArrow(dealt, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def margin_decision(ranked: DataFrame, threshold: float, margin: float) -> DataFrame:

@@ -110,6 +110,29 @@ def test_logistic_separates_and_folds_are_held_out(spark):
     assert N.weighted_grid(df, ["a", "b"], grid).filter("grid_id = 1 AND abs(score - b) > 1e-9").count() == 0
 
 
+def test_folds_fitted_together_equal_folds_fitted_alone(spark):
+    import numpy as np
+
+    from evispark.operators import learning as N
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)) * [1, 5, 0.1]
+    y = (x[:, 0] + 0.3 * x[:, 1] + rng.normal(size=300) > 0.4).astype(int)
+    folds = [f"f{i}" for i in np.where(np.arange(300) % 3 == 0, 0, rng.integers(1, 7, 300))]  # one fold has a third of all rows
+    df = spark.createDataFrame([(f, *map(float, row), int(v)) for f, row, v in zip(folds, x, y)], "fold string, a double, b double, c double, y int").repartition(5)
+    got = {}
+    for r in N.leave_one_out(df, "fold", ["a", "b", "c"], "y").collect():
+        got.setdefault(r["fold"], []).append(r["probability"])
+    for f in set(folds):
+        held = np.array([g == f for g in folds])
+        w, mean, dev = N.fit_logistic(x[~held], y[~held].astype(float))
+        p = 1 / (1 + np.exp(-((x[held] - mean) / dev @ w[:-1] + w[-1])))
+        assert np.allclose(np.sort(got[f]), np.sort(p), atol=1e-6)
+    one = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1), ("b", 3.0, 1)], "fold string, a double, y int")
+    assert {r["probability"] for r in N.leave_one_out(one, "fold", ["a"], "y").collect()} == {1.0}
+    assert N.leave_one_out(one.limit(0), "fold", ["a"], "y").collect() == []
+
+
 def test_change_rate(spark):
     from evispark.operators import learning as N
 
