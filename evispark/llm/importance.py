@@ -94,21 +94,26 @@ def gram_counts(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[np.ndarr
             good = b.column("good").fill_null(False).to_numpy(zero_copy_only=False)
             if good.any():
                 total[1] += np.bincount(bucket[good[doc]], minlength=SIZE)
-        if total.any():
-            data = [np.ascontiguousarray(total[:, i : i + PART]).astype("<i8").tobytes() for i in range(0, SIZE, PART)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+        # Buckets that the task saw, and their counts: a task of few texts sends little.
+        used = [np.flatnonzero(total[0, i : i + PART]) for i in range(0, SIZE, PART)]
+        parts = [i for i in range(PARTS) if len(used[i])]
+        if parts:
+            places = [used[i].astype("<i4").tobytes() for i in parts]
+            data = [total[:, i * PART + used[i]].astype("<i8").tobytes() for i in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(places, pa.binary()), pa.array(data, pa.binary())], ["part", "places", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for b in batches:
-            for part, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-                totals[part] = totals.get(part, 0) + np.frombuffer(data, "<i8")
+            for part, places, data in zip(*(b.column(c).to_pylist() for c in ("part", "places", "data")), strict=True):
+                at = np.frombuffer(places, "<i4")
+                totals.setdefault(part, np.zeros((2, PART), np.int64))[:, at] += np.frombuffer(data, "<i8").reshape(2, -1)
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in totals.values()], pa.binary())], ["part", "data"])
 
     kind = "part int, data binary"
     out = np.zeros((2, SIZE), np.int64)
-    for r in df.select("text", "good").mapInArrow(count, kind).repartition(F.col("part")).mapInArrow(add, kind).collect():
+    for r in df.select("text", "good").mapInArrow(count, "part int, places binary, data binary").repartition(F.col("part")).mapInArrow(add, kind).collect():
         out[:, r["part"] * PART : (r["part"] + 1) * PART] += np.frombuffer(r["data"], "<i8").reshape(2, PART)
     return out[0], out[1]
 
@@ -191,8 +196,11 @@ class Sampler:
     limit: float
 
 
-def fit(df: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, block_bytes: int = BLOCK_BYTES) -> tuple[Sampler, DataFrame]:
-    """The sampler for df, and what it weighed: doc_id, n_grams, log_weight, gumbel_key, a row for each row of df."""
+def fit(df: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, block_bytes: int = BLOCK_BYTES, caught: float = CAUGHT) -> tuple[Sampler, DataFrame]:
+    """The sampler for df, and what it weighed: doc_id, n_grams, log_weight, gumbel_key, a row for each row of df.
+
+    Without k and share, k leaves out ``caught`` of the labelled share of documents that are not good.
+    """
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("quality"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     marked = F.broadcast(chosen.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")))  # at most max_labelled rows
@@ -202,7 +210,7 @@ def fit(df: DataFrame, labels: DataFrame, k: int | None = None, share: float | N
     with_words = weighed.filter("n_grams > 0")
     if k is None:
         if share is None:
-            share = 1 - CAUGHT * (chosen.agg(F.avg(((F.col("quality") != 1) | (F.col("toxic") != 0)).cast("double"))).first()[0] or 0.0)
+            share = 1 - caught * (chosen.agg(F.avg(((F.col("quality") != 1) | (F.col("toxic") != 0)).cast("double"))).first()[0] or 0.0)
         k = round((share if target.any() else 1.0) * with_words.count())
     return Sampler(ratios, temperature, kth_largest(with_words, "gumbel_key", k)), weighed
 
