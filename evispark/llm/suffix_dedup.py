@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, buffer_of, materialize, mix, slices
+from .common import SpanHashes, buffer_of, join_facts, materialize, mix, slices
 
 GRAM = 32
 #: A perfect difference set: every residue modulo PERIOD is a difference of two of its members.
@@ -480,8 +480,10 @@ def repeats(docs: DataFrame, length: int, hot: int = HOT, block_bytes: int = BLO
     if some:
         windows = materialize(stretches.join(large, "g", "left_semi").mapInArrow(_windows(length, sort_bytes), "n1 long, n2 long, doc long, th long, first long"))
         at = F.struct("doc", "th", "first")
-        earliest = windows.groupBy("n1", "n2").agg(F.min(at).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        later = windows.join(earliest, ["n1", "n2"]).filter(at > F.col("least"))
+        keyed = windows.withColumn("w", F.struct("n1", "n2")).drop("n1", "n2")
+        earliest = materialize(keyed.groupBy("w").agg(F.min(at).alias("least"), F.count("*").alias("n")).filter("n > 1"))
+        # Places of a window that many documents share stay where they are.
+        later = join_facts(keyed, earliest, "w", windows.count()).filter(at > F.col("least"))
         parts = parts.unionByName(later.select("doc", "th", "first", (F.col("first") + length).alias("last")))
     return parts
 
