@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -352,7 +352,10 @@ def _proposed(df: DataFrame, words: int, radius: int, shingle: int) -> tuple[Dat
 
     marked = materialize(df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, fp long, same binary, bands array<long>, size long"))
     texts = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size")))
-    banded = texts.select(F.explode("bands").alias("band"), F.col("fp").alias("a")).withColumn("b", F.min("a").over(Window.partitionBy("band"))).filter("a <> b")
+    bands = texts.select(F.explode("bands").alias("band"), F.col("fp").alias("a"))
+    # Texts of a band that a template fills stay where they are.
+    least_of = materialize(bands.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1"))
+    banded = join_facts(bands, least_of, "band", texts.count() * BANDS).filter("a <> b")
     links = fingerprint_links(texts.select("fp").distinct(), radius).unionByName(banded.select("a", "b"))
     roots = components(links).withColumnRenamed("node", "fp")
     grouped = materialize(texts.join(roots, "fp", "left").select("rep", "same", "size", F.coalesce("root", "fp").alias("root")))
@@ -409,10 +412,10 @@ def leaders(df: DataFrame, words: int, radius: int, shingle: int, least: float,
     later = found.select("same")
     if dealt.filter("parts > 1").take(1):
         # A text may follow one text in one pair of parts and another in the next: groups are what links connect.
-        node = lambda c: F.xxhash64(F.col(c))
-        roots = components(found.select(node("same").alias("a"), node("lead").alias("b"))).withColumnRenamed("node", "id")
-        texts = found.select("same", "rep").unionByName(found.select(F.col("lead").alias("same"), F.col("lead_rep").alias("rep"))).distinct().withColumn("id", node("same"))
-        member = materialize(texts.join(roots, "id", "left").select("same", "rep", F.coalesce("root", "id").alias("root")))
+        # Texts are named by their digests, which do not collide.
+        roots = components(found.select(F.col("same").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "same")
+        texts = found.select("same", "rep").unionByName(found.select(F.col("lead").alias("same"), F.col("lead_rep").alias("rep"))).distinct()
+        member = materialize(texts.join(roots, "same", "left").select("same", "rep", F.coalesce("root", "same").alias("root")))
         first = materialize(member.groupBy("root").agg(F.min(F.struct("rep", "same")).alias("first"), F.count("*").alias("n")))
         later = join_facts(member, first, "root", member.count()).filter(F.struct("rep", "same") != F.col("first")).select("same")
     lowest = marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
