@@ -354,7 +354,9 @@ def _proposed(df: DataFrame, words: int, radius: int, shingle: int) -> tuple[Dat
     texts = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size")))
     bands = texts.select(F.explode("bands").alias("band"), F.col("fp").alias("a"))
     # Texts of a band that a template fills stay where they are.
-    least_of = materialize(bands.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1"))
+    # A band whose texts all have one fingerprint links nothing.
+    spread = bands.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("most"), F.count("*").alias("n"))
+    least_of = materialize(spread.filter("b <> most").drop("most"))
     banded = join_facts(bands, least_of, "band", texts.count() * BANDS).filter("a <> b")
     links = fingerprint_links(texts.select("fp").distinct(), radius).unionByName(banded.select("a", "b"))
     roots = components(links).withColumnRenamed("node", "fp")
