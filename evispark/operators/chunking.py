@@ -1,7 +1,8 @@
 """Table functions that cut texts and block lists into prompt chunks, for lateral joins: a row for each chunk, no arrays.
 
 A chunk keeps within a budget of tokens (an ASCII character counts a quarter, others one).  Paragraphs are packed in order,
-one beyond the budget is cut at sentence ends, and a sentence beyond it hard; blocks are packed whole where they fit.  Each
+one beyond the budget is cut at sentence ends, and a sentence beyond it hard, by as many characters as the text's mix of
+letters allows for, so that a stretch of wide letters may have more tokens; blocks are packed whole where they fit.  Each
 chunk may carry the end of the one before and the beginning of the next.
 
 Results: null and empty texts give no chunk; empty blocks are passed over, as are indices that the list has not.
