@@ -244,13 +244,20 @@ def merge_maps(maps: DataFrame, lists: Sequence[str]) -> DataFrame:
 
 
 def merge_channels(chunks: DataFrame, concrete: Sequence[str]) -> DataFrame:
-    """Chunk classifications (document_id, pos, channels, confidence): those with a concrete channel win; their channels are joined."""
-    has = F.arrays_overlap("channels", F.array(*(F.lit(c) for c in concrete)))
-    w = Window.partitionBy("document_id")
-    top = chunks.withColumn("_c", has).withColumn("_any", F.bool_or("_c").over(w)).filter("_c OR NOT _any")
-    best = F.max_by("channels", F.struct("confidence", (-F.col("pos")).alias("p")))
-    union = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "channels"))), lambda s: s["channels"])))
-    return top.groupBy("document_id").agg(F.when(F.bool_or("_any"), union).otherwise(best).alias("channels"), F.max("confidence").alias("confidence"))
+    """(document_id, channels, confidence, pos: the winning chunk) of chunk classifications (document_id, pos, channels, confidence).
+
+    Chunks with a concrete channel win over others, then the highest confidence (null: lowest), then the first.  Channels are
+    the winner's; where several chunks are given and one is concrete, those of all concrete chunks, once each, in order.
+    """
+    has = F.coalesce(F.arrays_overlap("channels", F.array(*(F.lit(c) for c in concrete))), F.lit(False))
+    marked = chunks.withColumn("_c", has)
+    # Both parts are pre-aggregated where rows stand; a document has as many channels at last as there are kinds.
+    won = F.max_by(F.struct("channels", "confidence", "pos"), F.struct("_c", "confidence", (-F.col("pos")).alias("p")))
+    winner = marked.groupBy("document_id").agg(won.alias("w"), F.count("*").alias("n"))
+    each = marked.filter("_c").select("document_id", "pos", F.posexplode("channels").alias("i", "channel")).groupBy("document_id", "channel").agg(F.min(F.struct("pos", "i")).alias("at"))
+    union = each.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "channel"))), lambda s: s["channel"]).alias("joined"))
+    channels = F.when(F.col("n") > 1, F.coalesce("joined", "w.channels")).otherwise(F.col("w.channels"))
+    return winner.join(union, "document_id", "left").select("document_id", channels.alias("channels"), "w.confidence", "w.pos")
 
 
 def root_cause(matched: Column, candidates: Column, valid: Column, extra: Column, field: Column) -> Column:

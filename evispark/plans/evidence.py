@@ -207,7 +207,7 @@ def _(t: Tables):
     return R.page(t.part, [F.desc("p_size"), F.asc(F.lower("p_name")), F.asc("p_partkey")], 1, 60).select("p_partkey")
 
 
-@query("g4_candidate_id")
+@query("g4_candidate_id", """SELECT p_partkey, 'cand-' || left(sha1('{"brand":' || CAST(to_json(p_brand) AS VARCHAR) || ',"name":' || CAST(to_json(p_name) AS VARCHAR) || '}'), 12) AS id FROM part""")
 def _(t: Tables):
     from ..functions.text import canonical_json
 

@@ -96,6 +96,22 @@ def test_merges_and_ranking(spark):
     assert nodes.count() == 3 and {(r["src"], r["evidence_count"]) for r in edges.collect()} == {("gene:b", 2), ("variant:v", 1)}
 
 
+def test_channels_of_ties_nulls_and_single_chunks(spark):
+    rows = [
+        ("tie", 3, ["case"], 0.5), ("tie", 1, ["cohort", "x"], 0.5), ("tie", 2, ["y"], 0.9),
+        ("null", 0, ["case"], None), ("null", 1, ["case", "z"], 0.1), ("null", 2, None, 0.8),
+        ("plain", 1, ["u"], 0.3), ("plain", 0, ["v"], 0.3), ("one", 0, ["case", "case"], 0.2), ("none", 0, None, None),
+    ]
+    schema = "document_id string, pos int, channels array<string>, confidence double"
+    found = E.merge_channels(spark.createDataFrame(rows, schema), ["case", "cohort"])
+    got = {r["document_id"]: (r["channels"], r["confidence"], r["pos"]) for r in found.collect()}
+    assert got == {
+        "tie": (["cohort", "x", "case"], 0.5, 1), "null": (["case", "z"], 0.1, 1), "plain": (["v"], 0.3, 0),
+        "one": (["case", "case"], 0.2, 0), "none": (None, None, 0),
+    }
+    assert E.merge_channels(spark.createDataFrame([], schema), ["case"]).count() == 0
+
+
 def test_comparison_grades(spark):
     from evispark.operators import comparison as C
 
