@@ -69,3 +69,21 @@ def _(t: Tables):
     joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     items = joined.select(F.col("l_returnflag").alias("field"), (F.col("l_tax") > 0.01).alias("has_span"), F.coalesce(F.col("l_shipdate") >= F.col("o_orderdate"), F.lit(False)).alias("in_source"), (F.col("l_discount") > 0.03).alias("matched"))
     return V.traceability(items, ["field"])
+
+
+@query(
+    "d34_quality_report",
+    """WITH i AS (SELECT l_orderkey AS document_id, CASE WHEN l_tax > 0.02 THEN 'found' WHEN l_returnflag = 'A' THEN 'not_found' WHEN l_returnflag = 'N' THEN 'source_invalid' WHEN l_linestatus = 'O' THEN 'ocr_gap' ELSE 'table_ungrounded' END AS status,
+                 l_discount <= 0.01 AS bare, 'f' || l_linenumber AS field_id FROM lineitem),
+    g AS (SELECT document_id, count(*) FILTER (status = 'found') AS found, count(*) FILTER (status = 'not_found') AS not_found, count(*) FILTER (status = 'source_invalid') AS source_invalid, count(*) FILTER (status = 'ocr_gap') AS ocr_gap,
+                 count(*) FILTER (status = 'table_ungrounded') AS table_ungrounded, count(*) FILTER (status = 'found' AND bare) AS missing_source,
+                 concat_ws(',', CASE WHEN NOT bool_or(status = 'found' AND field_id = 'f1') THEN 'f1' END, CASE WHEN NOT bool_or(status = 'found' AND field_id = 'f2') THEN 'f2' END) AS missing_required FROM i GROUP BY document_id)
+    SELECT *, source_invalid + ocr_gap + table_ungrounded > 0 AS review, missing_source = 0 AND missing_required = '' AS passed, found > 0 AS scorable FROM g""",
+)
+def _(t: Tables):
+    """Order lines as items: what taxes, flags and discounts say stands for a status and a quoted source."""
+    flag = F.col("l_returnflag")
+    status = F.when(F.col("l_tax") > 0.02, "found").when(flag == "A", "not_found").when(flag == "N", "source_invalid").when(F.col("l_linestatus") == "O", "ocr_gap").otherwise("table_ungrounded")
+    snippet = F.when(F.col("l_discount") > 0.01, F.col("l_shipdate").cast("string"))
+    items = t.lineitem.select(F.col("l_orderkey").alias("document_id"), status.alias("status"), snippet.alias("snippet"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field_id"))
+    return E.quality_report(items, ["f2", "f1"]).withColumn("missing_required", F.array_join("missing_required", ","))
