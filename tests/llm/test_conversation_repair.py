@@ -155,6 +155,14 @@ def test_empty_dropped_and_clashing(spark):
     assert results(cr.digests(cr.repair(cr.damaged(extra)))) == {c: slow_repair(r) for c, r in slow_damage(rows).items()}
 
 
+def test_blank_and_truncated_by_the_last_character(spark):
+    ends = ["\t", "\n", "\v", "\f", "\r", " ", "\v\f", "\f \v", *"\\bcx0vfnr", "0x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "'"]
+    texts = [body + end for body in ("", "So.", "So", "Oh! b") for end in ends]
+    rows = [(c, t, role, text) for c, text in enumerate(texts) for t, role in enumerate(["user", "assistant", "user", "assistant"])]
+    want = {c: slow_repair(r) for c, r in slow_damage(rows).items()}
+    assert results(cr.digests(cr.repair(cr.damaged(spark.createDataFrame(rows, SCHEMA))))) == want
+
+
 def test_very_long_texts_stay_whole(spark):
     rows = [(1, 0, "user", "x" * 700_000 + "."), (1, 1, "assistant", "y" * 700_000 + "!"), (1, 2, "user", "z")]
     want = {c: slow_repair(r) for c, r in slow_damage(rows).items()}
