@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, worker_cache
 
 #: Bytes of text in a block, pieces remembered by a worker, and bytes from which a piece is merged by itself.
 BLOCK_BYTES, REMEMBERED, LONG = 8 << 20, 800_000, 512
@@ -169,7 +169,7 @@ class MergeReplay:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[tuple[str, str], tuple[MergeReplay, regex.Pattern, dict[str, bytes]]] = {}
+_LOADED: dict[tuple[str, str], tuple[MergeReplay, regex.Pattern, dict[str, bytes]]] = worker_cache("byte_bpe")
 
 
 def _loaded(path: str, pattern: str) -> tuple[MergeReplay, regex.Pattern, dict[str, bytes]]:
@@ -197,7 +197,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", block_bytes):
+        for b in slices(batches, "text", block_bytes, "byte_bpe"):
             ids = _encoded(b.column("text").to_pylist(), path, pattern)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
@@ -211,7 +211,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _loaded(path, ".")[0]
-        for b in slices(batches, "ids", BLOCK_BYTES):
+        for b in slices(batches, "ids", BLOCK_BYTES, "byte_bpe"):
             data = [engine.decode(x or b"") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(data, pa.binary())], ["id", "data"])
 
@@ -222,7 +222,7 @@ def round_trip_digest(df: DataFrame, path: str, pattern: str, block_bytes: int =
     """Query op5: (doc_id, n_tokens, ids_sha256, decoded_sha256), encoding and decoding block by block in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", block_bytes):
+        for b in slices(batches, "text", block_bytes, "byte_bpe"):
             ids = _encoded(b.column("text").to_pylist(), path, pattern)
             engine = _loaded(path, pattern)[0]
             yield pa.RecordBatch.from_arrays(

@@ -99,6 +99,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What operators keep in a Python worker between tasks, by operator.
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict for what tasks of one operator keep for later ones; :func:`slices` empties it when another's task begins."""
+    return _CACHES.setdefault(owner, {})
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on between tasks, and share a limit with their executor."""
     pa.default_memory_pool().release_unused()
@@ -108,8 +117,14 @@ def give_back() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the bytes of ``column`` in each stay near ``limit``; a longer text has a slice of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the bytes of ``column`` in each stay near ``limit``; a longer text has a slice of its own.
+
+    What other operators than ``keep`` left in the worker is dropped first: stages of a pipeline run in the same workers.
+    """
+    for owner, cache in _CACHES.items():
+        if owner != keep:
+            cache.clear()
     give_back()
     for batch in batches:
         if not batch.num_rows:
@@ -153,16 +168,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 742_938_285)
 BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 30, 256, dtype=np.uint64)
-_POWERS: dict[tuple[int, int], np.ndarray] = {}
+_POWERS: dict[tuple[int, int], np.ndarray] = worker_cache("spans")
 
 
 def powers(base: int, prime: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo a prime below 2**31; a worker keeps the longest table that it needed."""
     table = _POWERS.get((base, prime))
     if table is None or len(table) < n:
-        table = np.ones(1, np.uint64)
+        table = np.ones(1, np.uint32)
         while len(table) < n:
-            table = np.concatenate([table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)])
+            table = np.concatenate([table, (table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)).astype(np.uint32)])
         _POWERS[base, prime] = table
     return table[:n]
 

@@ -88,7 +88,7 @@ def gram_counts(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SIZE), np.int64)
-        for b in slices(batches, "text", block_bytes):
+        for b in slices(batches, "text", block_bytes, "spans"):
             bucket, doc = grams(*buffer_of(b.column("text")))
             total[0] += np.bincount(bucket, minlength=SIZE)
             good = b.column("good").fill_null(False).to_numpy(zero_copy_only=False)
@@ -150,7 +150,7 @@ def weigh(df: DataFrame, ratios: np.ndarray, block_bytes: int = BLOCK_BYTES) ->
     shared = df.sparkSession.sparkContext.broadcast(ratios)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", block_bytes):
+        for b in slices(batches, "text", block_bytes, "spans"):
             n, total = weights(*buffer_of(b.column("text")), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total)], ["doc_id", "n_grams", "log_weight"])
 
@@ -229,7 +229,7 @@ def sampled(df: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES, **
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        for b in slices(batches, "text", block_bytes):
+        for b in slices(batches, "text", block_bytes, "spans"):
             n, total = weights(*buffer_of(b.column("text")), s.ratios)
             keys = total / s.temperature + b.column(noise).to_numpy()
             yield b.filter(pa.array((n > 0) & (keys >= s.limit))).drop_columns([noise])

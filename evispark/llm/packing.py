@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, materialize, numbered, slices, word_spans, words_of
+from .common import buffer_of, materialize, numbered, slices, word_spans, words_of, worker_cache
 
 #: Hashed features, dimensions of the curve and bits in each.
 FEATURES, DIMENSIONS, BITS = 256, 4, 12
@@ -183,7 +183,7 @@ class WordTokenizer:
         return ids, np.bincount(doc, weights=sizes, minlength=len(offsets) - 1).astype(np.int64)
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[str, WordTokenizer] = worker_cache("packing")
 
 
 def _loaded(path: str) -> WordTokenizer:
@@ -246,7 +246,7 @@ def tokenize(df: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK_BYT
         tokenizer = _loaded(path)
         # Two bytes an id hold any vocabulary of this size; larger ones keep four.
         kind = np.dtype("<u2" if tokenizer.size <= 1 << 16 else "<u4")
-        for b in slices(batches, "text", block_bytes):
+        for b in slices(batches, "text", block_bytes, "packing"):
             ids, counts = tokenizer.encode(*buffer_of(b.column("text")))
             ids = np.insert(ids, np.cumsum(counts), end_id)
             stops = np.cumsum(counts + 1)

@@ -37,6 +37,8 @@ from .common import buffer_of, join_facts, materialize, mix, numbered, release,
 BITS = 64
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
+#: Shingles whose votes are added up at once: each takes some 300 bytes meanwhile.
+VOTES = 1 << 14
 #: Shingles of texts that are compared together in one task.
 TOGETHER = 2_000_000
 #: Bands of minimum hashes and hashes in each: pairs of similarity 0.8 miss all bands with probability 6e-5, and pairs of
@@ -268,14 +270,17 @@ class BlockWords:
         """Majority votes of each text's shingles, as in :func:`fingerprint` but for the hash of a shingle."""
         hashes, offsets = self.shingles(k)
         out = np.zeros(self.texts, np.uint64)
-        for a in range(0, self.texts, 4096):
-            at = offsets[a : a + 4097]
-            some = np.flatnonzero(np.diff(at))
-            if not len(some):
-                continue
-            bits = np.unpackbits(hashes[at[0] : at[-1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes = np.add.reduceat(bits, at[some] - at[0], axis=0, dtype=np.int64)
-            out[a + some] = np.packbits(2 * votes > np.diff(at)[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+        votes = np.zeros((self.texts, BITS), np.int32)
+        for a in range(0, len(hashes), VOTES):
+            part = hashes[a : a + VOTES]
+            # A text may have votes in several stretches.
+            first, last = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, a + len(part))
+            begin, stop = np.maximum(offsets[first:last], a), np.minimum(offsets[first + 1 : last + 1], a + len(part))
+            some = np.flatnonzero(stop > begin)
+            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[first + some] += np.add.reduceat(bits, begin[some] - a, axis=0, dtype=np.int32)
+        some = np.flatnonzero(np.diff(offsets))
+        out[some] = np.packbits(2 * votes[some].astype(np.int64) > np.diff(offsets)[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
         return out
 
 
@@ -307,10 +312,15 @@ def clusters(sets: list[np.ndarray], least: float) -> list[int]:
             root[i] = i = root[root[i]]
         return i
 
+    cuts = [s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1] for s in sets]
+    _, number, times = np.unique(np.concatenate(cuts or [np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    # Only hashes in several prefixes are indexed: others lead to no set.
+    shared_hashes = np.split(times[number] > 1, np.cumsum([len(x) for x in cuts])[:-1])
+    del number, times
     index: dict[int, dict[int, list[int]]] = {}
     for i, s in enumerate(sets):
         n, seen = len(s), set()
-        prefix = s[: n - math.ceil(least * n - 1e-9) + 1].tolist() if n else [-1]
+        prefix = cuts[i][shared_hashes[i]].tolist() if n else [-1]
         for h in prefix:
             held = index.setdefault(h, {})
             for c in [c for c in held if find(c) != c]:

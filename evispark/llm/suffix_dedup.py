@@ -88,7 +88,7 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 def segments(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
     """(batch, bytes, offsets, start): blocks of whole texts, or one text's segments that begin at start and overlap."""
-    for b in slices(batches, "text", limit):
+    for b in slices(batches, "text", limit, "spans"):
         raw, offsets = buffer_of(b.column("text"))
         if b.num_rows > 1 or len(raw) <= limit + overlap:
             yield b, raw, offsets, 0
@@ -250,7 +250,7 @@ def _settled(length: int, hot: list[int]):
 def _fetch(length: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of stretches listed for each text."""
-        for b in slices(batches, "text", block_bytes):
+        for b in slices(batches, "text", block_bytes, "spans"):
             out: list[list] = [[], [], [], [], []]
             texts = b.column("text").cast(pa.binary()).to_pylist()
             for doc, th, text, need in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), texts, b.column("need").to_pylist(), strict=True):
@@ -415,7 +415,7 @@ def _sort_blocks(length: int, sort_bytes: int):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (d, t, a, z)], ["doc", "th", "first", "last"])
 
         for batch in batches:
-            for b in slices(iter([batch]), "data", sort_bytes):
+            for b in slices(iter([batch]), "data", sort_bytes, "spans"):
                 held.append(b)
                 size += b.column("data").nbytes
                 if size < sort_bytes:
@@ -438,7 +438,7 @@ def _windows(length: int, sort_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each window of hot buckets: two names of 62 bits, and where it starts."""
         for batch in batches:
-            for b in slices(iter([batch]), "data", sort_bytes):
+            for b in slices(iter([batch]), "data", sort_bytes, "spans"):
                 raw, offsets = buffer_of(b.column("data"))
                 count = np.diff(offsets) - length + 1
                 row = np.repeat(np.arange(b.num_rows), count)
@@ -490,7 +490,7 @@ def repeats(docs: DataFrame, length: int, hot: int = HOT, block_bytes: int = BLO
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 2 << 20, "spans"):
             out: list[list] = [[], [], [], [], []]
             for data, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = data or b""
@@ -550,7 +550,7 @@ def cut_texts(df: DataFrame, length: int = 100, **sizes) -> DataFrame:
     found = found.withColumnsRenamed({"doc": doc, "th": th, "spans": spans})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 2 << 20, "spans"):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             kept = []
             for data, cuts in zip(texts, b.column(spans).to_pylist(), strict=True):

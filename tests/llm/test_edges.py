@@ -264,6 +264,58 @@ def test_block_shingles_equal_those_of_single_texts():
             assert len(set(sets[a].tolist()) & set(sets[b].tolist())) == len(sa & sb)
 
 
+def test_votes_are_added_up_in_stretches(monkeypatch):
+    import tracemalloc
+
+    from evispark.llm import simhash
+
+    rng = random.Random(3)
+    texts = ["", *(" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.choice([0, 1, 2, 3, 40, 900]))) for _ in range(200)), ""]
+    whole = simhash.BlockWords(*buffer_of(pa.array(texts)))
+    want = whole.fingerprints(2)
+    for votes in (1, 7, 64, 1000):
+        monkeypatch.setattr(simhash, "VOTES", votes)
+        assert whole.fingerprints(2).tolist() == want.tolist()
+    monkeypatch.undo()
+    large = simhash.BlockWords(*buffer_of(pa.array(["so it is " * 100] * 2000)))
+    tracemalloc.start()
+    large.fingerprints(2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # 600,000 shingles: added up at once they took 350 MB
+
+
+def test_clusters_equal_all_pairs():
+    from evispark.llm import simhash
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        bases = [rng.integers(0, 1 << 62, 30, dtype=np.uint64) for _ in range(4)]
+        sets = [np.unique(np.append(b[rng.random(30) < 0.93], rng.integers(0, 1 << 62, rng.integers(0, 3), dtype=np.uint64))) for b in bases for _ in range(6)]
+        sets += [np.zeros(0, np.uint64)] * 2
+        root = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.union1d(sets[i], sets[j]))
+                if not both or len(np.intersect1d(sets[i], sets[j])) / both >= 0.8:
+                    x, y = sorted((root[i], root[j]))
+                    root = [x if r == y else r for r in root]
+        assert simhash.clusters(sets, 0.8) == root
+    assert simhash.clusters([], 0.8) == []
+
+
+def test_workers_keep_what_one_operator_needs():
+    from evispark.llm import common
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_pydict({"text": ["so", "it"]})
+    tokenizer = packing._loaded(path)
+    assert list(common.slices(iter([batch]), "text", 100, "packing")) and packing._loaded(path) is tokenizer
+    SpanHashes(np.zeros(9, np.uint8))
+    assert common._POWERS and list(common.slices(iter([batch]), "text", 100, "spans")) and common._POWERS and not packing._LOADED
+    assert list(common.slices(iter([batch]), "text", 100)) and not common._POWERS
+
+
 def test_ids_of_random_signs_are_the_librarys():
     """Letters, signs, apostrophes, digits and other scripts in any order: cutting at signs changes no id."""
     import pyarrow as pa
