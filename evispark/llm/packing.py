@@ -15,6 +15,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,14 +136,20 @@ class WordTokenizer:
         pieces = self.pieces
         if len(pieces) > self.remembered:
             pieces.clear()
-        split, whole, need = {}, [], set()
+        single, split, whole, need = {}, {}, [], set()
         for w in words:
+            if w.isalpha():  # ASCII letters are one piece
+                single[w] = w.decode("ascii").lower()
+                continue
             t = w.decode()
             if "<|" in t or not LATIN.fullmatch(t):
                 whole.append(t)
-                continue
-            split[w] = parts = (ASCII_PIECES if w.isascii() else PIECES).findall(t.lower())
-            need.update(parts)
+            elif t.isalpha():
+                single[w] = t.lower()
+            else:
+                split[w] = parts = (ASCII_PIECES if w.isascii() else PIECES).findall(t.lower())
+                need.update(parts)
+        need.update(single.values())
         missing = [p for p in need if p not in pieces]
         raw = [p.encode() for p in missing]
         short = [i for i, r in enumerate(raw) if len(r) <= LONG]
@@ -150,7 +157,8 @@ class WordTokenizer:
             pieces.update(zip([missing[i] for i in short], self._merge([raw[i] for i in short]), strict=True))
         long = [missing[i] for i, r in enumerate(raw) if len(r) > LONG]
         pieces.update(zip(long, self._library(long), strict=True))
-        found = {w: pieces[x[0]] if len(x) == 1 else b"".join([pieces[p] for p in x]) for w, x in split.items()}
+        found = dict(zip(single, map(pieces.__getitem__, single.values()), strict=True))
+        found.update((w, b"".join([pieces[p] for p in x])) for w, x in split.items())
         found.update(zip([t.encode() for t in whole], self._library(whole), strict=True))
         return [found[w] for w in words]
 
@@ -165,18 +173,20 @@ class WordTokenizer:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         which, distinct = numbered(words_of(raw, start, end))
-        chunks = distinct.to_pylist()
+        chunks = distinct.to_numpy(zero_copy_only=False)  # bytes objects
         if len(self.known) > self.remembered_chunks:
             self.forget_chunks()
-        new = [c for c in chunks if c not in self.known]
-        if new:
+        number = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new = chunks[unknown].tolist()
             ids = self.encode_chunks(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             begin = len(self.pool) + np.cumsum(sizes) - sizes
-            self.known.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            number[unknown] = np.arange(len(self.at), len(self.at) + len(new))
+            self.known.update(zip(new, number[unknown].tolist(), strict=True))
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
             self.at = np.concatenate([self.at, np.stack([begin, sizes], 1)])
-        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         begin, sizes = self.at[number[which]].T
         stop = np.cumsum(sizes)
         ids = self.pool[np.repeat(begin - (stop - sizes), sizes) + np.arange(stop[-1])]

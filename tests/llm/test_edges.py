@@ -316,6 +316,32 @@ def test_workers_keep_what_one_operator_needs():
     assert list(common.slices(iter([batch]), "text", 100)) and not common._POWERS
 
 
+def test_chunks_of_letters_are_one_piece_without_splitting(monkeypatch):
+    class Never:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x41, 0x180) if chr(c).isalpha() and c != 0x130]
+    rng = random.Random(8)
+    words = ["Word", "WORD", "ZÜRICH", "ªº", "ŉ", "ſ", *letters, *("".join(rng.choices(letters, k=rng.randint(2, 30))) for _ in range(3000))]
+    want = tokenizer._library(words)
+    for name in ("PIECES", "ASCII_PIECES"):
+        monkeypatch.setattr(packing, name, Never())
+    assert tokenizer.encode_chunks([w.encode() for w in words]) == want
+
+
+def test_known_and_new_chunks_are_numbered_alike():
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), remembered_chunks=40)
+    rng = random.Random(2)
+    vocabulary = [f"w{i}x" for i in range(30)] + ["Über", "it's", "a-b", "x.y", "naïve", "12", "日本", "<|x|>", "..", "A"]
+    for _ in range(30):
+        texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) for _ in range(6)]
+        ids, counts = tokenizer.encode(*buffer_of(pa.array(texts)))
+        want = [e.ids for e in tokenizer.library.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_ids_of_random_signs_are_the_librarys():
     """Letters, signs, apostrophes, digits and other scripts in any order: cutting at signs changes no id."""
     import pyarrow as pa
