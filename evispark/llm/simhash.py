@@ -39,6 +39,8 @@ BITS = 64
 BLOCK_BYTES = 2 << 20
 #: Shingles whose votes are added up at once: each takes some 300 bytes meanwhile.
 VOTES = 1 << 14
+#: Bits, as a power of two, of the bitmap of documents that are compared (4 MB).
+MARKS = 25
 #: Shingles of texts that are compared together in one task.
 TOGETHER = 2_000_000
 #: Bands of minimum hashes and hashes in each: pairs of similarity 0.8 miss all bands with probability 6e-5, and pairs of
@@ -344,6 +346,26 @@ def clusters(sets: list[np.ndarray], least: float) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
+def likely(rows: DataFrame, keys: DataFrame, column: str, bits: int = MARKS) -> DataFrame:
+    """The rows whose ``column`` may be among those of ``keys``, before they are shuffled to a join.
+
+    A bitmap of hashes, of a size fixed by ``bits``, goes to all tasks.  No row of a key is lost; others pass by chance.
+    """
+    spark, place = rows.sparkSession, F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    marks = keys.select((place + 1).alias("place")).select(F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"))
+    bitmap = np.zeros((max(1, (1 << bits) >> 15), 4096), np.uint8)
+    for r in marks.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        bitmap[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap.ravel())
+
+    @F.pandas_udf("boolean")
+    def marked(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return rows.filter(marked(place))
+
+
 def _proposed(df: DataFrame, words: int, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, same: digest of the text in lower case with single spaces) of all rows, and (rep: smallest doc_id, same,
     root, size: shingles, total: those of all texts of the root) of distinct texts that fingerprints or bands put together
@@ -389,7 +411,8 @@ def leaders(df: DataFrame, words: int, radius: int, shingle: int, least: float,
     dealt = proposed.withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = dealt.select("rep", "same", "root", "part", other.alias("k")).select("rep", "same", "root", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
-    rows = df.selectExpr("CAST(doc_id AS BIGINT) AS rep", "text").join(pairs, "rep")
+    # Most texts are in no group: they are not shuffled.
+    rows = likely(df.selectExpr("CAST(doc_id AS BIGINT) AS rep", "text"), proposed, "rep").join(pairs, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (root, i, j, rep, same); texts of one (root, i, j) are compared together.  Out: texts and the

@@ -342,6 +342,19 @@ def test_known_and_new_chunks_are_numbered_alike():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_rows_of_no_key_are_left_out_before_a_join(spark):
+    from evispark.llm import simhash
+
+    ids = [0, 1, -1, 32768, 32769, 2**62, -(2**63), *range(100, 3000, 7)]
+    rows = spark.createDataFrame([(i,) for i in {*ids, *range(5000)}] + [(None,)], "rep long")
+    keys = spark.createDataFrame([(i,) for i in ids + ids[:3]], "rep long")
+    for bits in (3, 10, 25):
+        found = [r["rep"] for r in simhash.likely(rows, keys, "rep", bits).collect()]
+        assert set(ids) <= set(found)
+    assert len(found) < len(set(ids)) + 20
+    assert simhash.likely(rows, keys.limit(0), "rep").collect() == []
+
+
 def test_ids_of_random_signs_are_the_librarys():
     """Letters, signs, apostrophes, digits and other scripts in any order: cutting at signs changes no id."""
     import pyarrow as pa
