@@ -7,12 +7,13 @@ builds the shard's automaton before it reads texts.  No alias table passes the d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import collapse_spaces
 from ..sources.scratch import stored
@@ -58,68 +59,87 @@ def automaton(aliases: list[tuple[int, str]]) -> ahocorasick.Automaton:
     return found
 
 
-def places(found: ahocorasick.Automaton, text: str, whole_words: bool) -> Iterator[tuple[int, int, int]]:
-    """(alias_id, start, stop) of every place, overlapping ones too."""
+def places(found: ahocorasick.Automaton, text: str, whole_words: bool, overlapping: bool = True) -> Iterator[tuple[int, int, int]]:
+    """(alias_id, start, stop) of every place, overlapping ones too; else, of places of one alias, none that overlaps one before it."""
     if not len(found):
         return
     low = lowered(text)
+    past: dict[int, int] = {}
     for last, (n, ids) in found.iter(low):
         start, stop = last - n + 1, last + 1
+        if not overlapping:
+            if start < past.get(ids[0], 0):
+                continue
+            past[ids[0]] = stop
         if whole_words and ((start and low[start - 1].isalnum()) or (stop < len(low) and low[stop].isalnum())):
             continue
         for alias_id in ids:
             yield alias_id, start, stop
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "alias_id", "start", "stop"])
+def meet(texts: DataFrame, words: DataFrame, build: Callable[[list[tuple[int, str]]], object], match: Callable[[object, int, str], Iterable[tuple]], schema: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Rows (schema) that ``match(build(words), id, text)`` gives for texts (id, text) and words (id, text).
 
+    Words up to ``shard_bytes`` are broadcast; more are dealt into shards, and each of them meets each slice of the texts.
+    """
+    known = stored(words.filter("text IS NOT NULL AND text <> ''").select(F.col("id").cast("long").alias("id"), "text"))
+    texts = texts.filter("text IS NOT NULL AND text <> ''").select(F.col("id").cast("long").alias("id"), "text")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
+    kinds = to_arrow_schema(texts.sparkSession.createDataFrame([], schema).schema)
 
-def scan(docs: DataFrame, aliases: DataFrame, whole_words: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, alias_id, start, stop): every place of every alias (alias_id, alias) in documents (doc_id, text), in characters.
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
-    Case does not count.  Null or empty texts and aliases have no places.
-    """
-    known = stored(aliases.filter("alias IS NOT NULL AND alias <> ''").select(F.col("alias_id").cast("long").alias("alias_id"), "alias"))
-    texts = docs.filter("text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = known.agg(F.coalesce(F.sum(F.octet_length("alias") + 64), F.lit(0)).alias("n")).first()["n"]
     if size <= shard_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in known.collect()])
+        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in known.collect()])
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = automaton(shared.value)
+            found = build(shared.value)
             for batch in batches:
                 out = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    out += [(doc_id, *p) for p in places(found, text, whole_words)]
+                for own, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    out += match(found, own, text)
                 if out:
-                    yield _batch(out)
+                    yield batch_of(out)
 
-        return texts.mapInArrow(whole, PLACES)
+        return texts.mapInArrow(whole, schema)
     shards = -(-size // shard_bytes)
-    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Each slice of the documents meets each shard: aliases come first.
-    words = known.select(F.pmod(F.xxhash64("alias"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), F.lit(0).alias("side"), F.col("alias_id").alias("id"), F.col("alias").alias("text"))
-    read = texts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).alias("slice"), F.lit(1).alias("side"), F.col("doc_id").alias("id"), "text")
+    slices = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Each slice of the texts meets each shard: words come first.
+    dealt_words = known.select(F.pmod(F.xxhash64("text"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), F.lit(0).alias("side"), "id", "text")
+    read = texts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", "text"), F.lit(slices)).alias("slice"), F.lit(1).alias("side"), "id", "text")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, words_, found, out = None, [], None, []
         for batch in batches:
-            for shard, part, side, row_id, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "slice", "side", "id", "text")), strict=True):
+            for shard, part, side, own, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "slice", "side", "id", "text")), strict=True):
                 if at != (shard, part):
                     at, words_, found = (shard, part), [], None
                 if side == 0:
-                    words_.append((row_id, text))
+                    words_.append((own, text))
                     continue
                 if found is None:
-                    found, words_ = automaton(words_), []
-                out += [(row_id, *p) for p in places(found, text, whole_words)]
+                    found, words_ = build(words_), []
+                out += match(found, own, text)
             if out:
-                yield _batch(out)
+                yield batch_of(out)
                 out = []
 
-    both = words.unionByName(read).repartition(int(shards * slices), "shard", "slice").sortWithinPartitions("shard", "slice", "side")
-    return both.mapInArrow(dealt, PLACES)
+    both = dealt_words.unionByName(read).repartition(int(shards * slices), "shard", "slice").sortWithinPartitions("shard", "slice", "side")
+    return both.mapInArrow(dealt, schema)
+
+
+def scan(docs: DataFrame, aliases: DataFrame, whole_words: bool = True, shard_bytes: int = SHARD_BYTES, overlapping: bool = True) -> DataFrame:
+    """(doc_id, alias_id, start, stop): every place of every alias (alias_id, alias) in documents (doc_id, text), in characters.
+
+    Case does not count.  Null or empty texts and aliases have no places.  Without ``overlapping`` a text is searched for each
+    alias from left to right, and the search goes on behind a place that it found, whole words or not.
+    """
+
+    def match(found: ahocorasick.Automaton, doc_id: int, text: str) -> Iterator[tuple]:
+        return ((doc_id, *p) for p in places(found, text, whole_words, overlapping))
+
+    return meet(docs.select(F.col("doc_id").alias("id"), "text"), aliases.select(F.col("alias_id").alias("id"), F.col("alias").alias("text")), automaton, match, PLACES, shard_bytes)
 
 
 def groups_named(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import stored
+from .aliases import SHARD_BYTES, meet
 from .relational import best_tier, top_one
 
 #: Order of alias types in a lookup; others come last.
@@ -68,19 +71,47 @@ def rarest_gram_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     return known.filter("whole").select("needle", F.col("rare.g").alias("g")).join(have, "g").select("needle", "hay")
 
 
-def resolve_by_tokens(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+def token_index(queries: list[tuple[int, str]]) -> tuple[ahocorasick.Automaton, list[list[tuple[int, list[str]]]]]:
+    """An automaton of each query's longest token, and the queries (id, tokens) of each such token."""
+    found, of = ahocorasick.Automaton(), {}
+    for query_id, text in queries:
+        tokens = text.split(" ")
+        of.setdefault(max(tokens, key=lambda w: (len(w), w)), []).append((query_id, tokens))
+    for i, token in enumerate(of):
+        found.add_word(token, i)
+    found.make_automaton()
+    return found, list(of.values())
+
+
+def token_overlaps(index: tuple, alias_id: int, low: str) -> Iterator[tuple[int, int, float]]:
+    """(query_id, alias_id, score) of the queries all of whose tokens stand in the lower-case text."""
+    found, of = index
+    own, held = None, {}
+    for i in {i for _, i in found.iter(low)} if of else ():
+        for query_id, tokens in of[i]:
+            for w in tokens:
+                if w not in held:
+                    held[w] = w in low
+                if not held[w]:
+                    break
+            else:
+                if own is None:
+                    own = {w for w in re.findall("[a-z0-9]+", low) if len(w) > 2} - set(COMMON_WORDS)
+                same = len(own.intersection(tokens))
+                yield query_id, alias_id, same / (len(tokens) + len(own) - same)
+
+
+def resolve_by_tokens(queries: DataFrame, aliases: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, alias_id, score): for each query (query_id, text) the alias (alias_id, text) that contains all of its
     significant tokens and has the largest Jaccard overlap of token sets; ties to the smaller id.
 
-    Queries without such tokens, and those that no alias contains, have no row.
+    Ids are long.  Queries without such tokens, and those that no alias contains, have no row.  Each alias is read once, for
+    all queries' longest tokens together; only queries whose longest token it has are looked at.
     """
-    q = queries.select("query_id", significant_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    d = aliases.select("alias_id", F.lower("text").alias("low"), significant_tokens(F.col("text")).alias("own")).filter("low IS NOT NULL")
-    each = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x: grams(x))))
-    pairs = rarest_gram_pairs(q.select(F.col("query_id").alias("needle"), each(F.col("tokens")).alias("grams")), d.select(F.col("alias_id").alias("hay"), grams(F.col("low")).alias("grams")))
-    j = pairs.withColumnsRenamed({"needle": "query_id", "hay": "alias_id"}).distinct().join(q, "query_id").join(d, "alias_id")
-    j = j.filter(F.forall("tokens", lambda w: F.contains("low", w))).withColumn("score", T.jaccard(F.col("tokens"), F.col("own")))
-    return top_one(j.select("query_id", "alias_id", "score"), ["query_id"], [F.desc("score"), F.asc("alias_id")])
+    q = queries.select(F.col("query_id").alias("id"), F.array_join(significant_tokens(F.col("text")), " ").alias("text"))
+    rows = meet(aliases.select(F.col("alias_id").alias("id"), F.lower("text").alias("text")), q, token_index, token_overlaps, "query_id long, alias_id long, score double", shard_bytes)
+    best = rows.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "alias_id")).alias("_b"))
+    return best.select("query_id", F.col("_b.alias_id").alias("alias_id"), (-F.col("_b.s")).alias("score"))
 
 
 def containing(points: DataFrame, spans: DataFrame, key: Sequence[str], at: str, start: str, end: str) -> DataFrame:
