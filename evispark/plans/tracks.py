@@ -10,8 +10,13 @@ from .catalog import Tables, query
 
 
 def line_spans(t: Tables):
-    """Suppliers as documents: each of their order lines is a span of parts, and a point within some of them."""
-    rows = t.lineitem.select(F.col("l_suppkey").alias("document"), F.expr("l_orderkey * 10 + l_linenumber").alias("id"), F.col("l_partkey").alias("start"), F.col("l_quantity").cast("long").alias("q"), F.expr("CAST(l_linenumber AS BIGINT)").alias("n")).dropDuplicates(["id"])
+    """Suppliers as documents: each of their order lines is a span of parts, and a point within some of them.
+
+    Of lines of one id the first in the table counts, by file and place in it, whichever tasks read them.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_place")
+    lines = t.lineitem.select(F.expr("l_orderkey * 10 + l_linenumber").alias("id"), place, F.struct(F.col("l_suppkey").alias("document"), F.col("l_partkey").alias("start"), F.col("l_quantity").cast("long").alias("q"), F.expr("CAST(l_linenumber AS BIGINT)").alias("n")).alias("_line"))
+    rows = lines.groupBy("id").agg(F.min_by("_line", "_place").alias("_line")).select("id", "_line.*")
     spans = rows.select("document", F.col("id").alias("span"), "start", (F.col("start") + F.col("q") * 8).alias("stop"), (F.col("start") * 3).alias("o_start"), (F.col("start") * 3 + F.col("q") * 7).alias("o_stop"))
     points = rows.select("document", F.col("id").alias("point"), (F.col("start") + F.col("q")).alias("start"), (F.col("start") + F.col("q") + F.col("n") * 4 - 4).alias("stop"))
     return points, spans
