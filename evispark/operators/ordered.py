@@ -5,11 +5,14 @@ A group is one request, document or fact, which bounds its size; what can be don
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DUPLICATE_OVERLAP = 0.75
 
@@ -58,28 +61,51 @@ def dedupe_adjacent(df: DataFrame, group: str, position: str, text: str, kind: s
 
 def merge_facts(df: DataFrame, keys: Sequence[str], position: str, confidence: str, source: str) -> DataFrame:
     """Facts of equal keys merged in order: rows without a source join the first fact, those with one a fact of that source
-    or one without; higher confidence wins and takes over a source that it lacks."""
+    or one without; higher confidence wins and takes over a source that it lacks.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Most facts have few rows, so a task reads all of its rows in order of keys and positions instead of group by group; it
+    holds the facts of one key at a time.
+    """
+
+    def merged(rows: Iterator[dict]) -> list[dict]:
         facts: list[dict] = []
         at: dict[str | None, int] = {}
-        for r in pdf.sort_values(position, kind="stable").to_dict("records"):
+        for r in rows:
             none = not isinstance(r[source], str)
             key = None if none else r[source]
             # A fact is known by the source that it came with, for good.
             where = at.get(key, 0 if none and facts else at.get(None))
             if where is None:
                 at[key] = len(facts)
-                facts.append(dict(r))
+                facts.append(r)
                 continue
             found = facts[where]
-            if r[confidence] > found[confidence]:
+            if r[confidence] is not None and found[confidence] is not None and r[confidence] > found[confidence]:
                 kept = found[source]
-                found.update(r)
+                facts[where] = r
                 if none:
-                    found[source] = kept
+                    r[source] = kept
             elif not isinstance(found[source], str) and not none:
                 found[source] = r[source]
-        return pd.DataFrame(facts, columns=pdf.columns)
+        return facts
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+
+        def rows() -> Iterator[dict]:
+            nonlocal schema
+            for batch in batches:
+                schema = batch.schema
+                for at in range(0, batch.num_rows, 10_000):
+                    yield from batch.slice(at, 10_000).to_pylist()
+
+        out: list[dict] = []
+        for _, group in itertools.groupby(rows(), lambda r: tuple(r[k] for k in keys)):
+            out += merged(group)
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last(position)).mapInArrow(run, df.schema)
