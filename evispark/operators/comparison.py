@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import hgvs as H
 from ..functions import text as T
 from . import evaluation as E
-from .relational import top_one
 
 #: Phrases that stand for a phenotype; blanks in them stand for any white space.
 PHENOTYPES = {
@@ -74,6 +73,13 @@ def article_supported(evaluation_type: Column, source: Column, gold_source: Colu
     return (kind != "precision_only") & own.isin(ARTICLE_SOURCES) & (~gold.isin(EXTERNAL_SOURCES) | (own == "article"))
 
 
+def match_kind(field_id: Column, want: Column, value: Column) -> tuple[Column, Column]:
+    """exact, fuzzy, field_normalized or other, and the form in which values are told apart."""
+    a, b = F.lower(T.collapse_spaces(want)), F.lower(T.collapse_spaces(value))
+    na, nb = F.lower(field_normal(field_id, want)), F.lower(field_normal(field_id, value))
+    return F.when(a == b, "exact").when(F.coalesce(T.fuzzy_match(want, value), F.lit(False)), "fuzzy").when((na != "") & (na == nb), "field_normalized").otherwise("other"), b
+
+
 def compare_fields(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     """Graded match of each expected (entry, field_id, value) with extracted (entry, field_id, pos, value, status).
 
@@ -84,10 +90,8 @@ def compare_fields(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     found = extracted.filter("status = 'found'").select("entry", "field_id", "pos", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("_x"))
     want = F.coalesce(F.col("value").cast("string"), F.lit(""))
     j = expected.join(found, ["entry", "field_id"], "left")
-    a, b = F.lower(T.collapse_spaces(want)), F.lower(T.collapse_spaces(F.col("_x")))
-    na, nb = F.lower(field_normal(F.col("field_id"), want)), F.lower(field_normal(F.col("field_id"), F.col("_x")))
-    kind = F.when(F.col("_x").isNull(), None).when(a == b, "exact").when(F.coalesce(T.fuzzy_match(want, F.col("_x")), F.lit(False)), "fuzzy").when((na != "") & (na == nb), "field_normalized").otherwise("other")
-    j = j.withColumn("_kind", kind).withColumn("_norm", b)
+    kind, b = match_kind(F.col("field_id"), want, F.col("_x"))
+    j = j.withColumn("_kind", F.when(F.col("_x").isNotNull(), kind)).withColumn("_norm", b)
     hit = F.col("_kind").isin("exact", "fuzzy", "field_normalized")
     best = F.min(F.when(hit, F.struct(F.when(F.col("_kind") == "exact", 0).otherwise(1).alias("tier"), "pos", "_kind", "_x")))
     first = F.min(F.when(F.col("_x").isNotNull(), F.struct("pos", "_x")))
@@ -113,56 +117,59 @@ def compare_standardization(expected: DataFrame, bound: DataFrame) -> DataFrame:
 ORACLES: dict[str, tuple[str, ...] | None] = {"oracle_best_dual_candidate": None, "oracle_relationship_only": (RELATIONSHIP_FIELD,), "oracle_disease_only": (DISEASE_FIELD,), "oracle_no_over_extractions": ()}
 
 
-def oracle_items(expected: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(strategy, entry, field_id, pos, value, status): what each oracle of ORACLES selects of candidates
-    (entry, field_id, pos, value, status): the first found one, or for its fields the first that matches what is expected.
+def _judged(candidates: DataFrame, **picks: Column) -> DataFrame:
+    """(entry, field_id, _expected, picks) of candidates (entry, field_id, pos, value, status, want, ...), where want is the
+    expected value of the field, null if none is expected.
+
+    A pick is the least of its structs among found candidates; ``_fits`` and ``_kind`` tell how a value matches.  Only
+    picks are shuffled, one row for each field of an entry if candidates are dealt by entry.
+    """
+    want, value = F.coalesce(F.col("want"), F.lit("")), F.coalesce(F.col("value").cast("string"), F.lit(""))
+    rows = candidates.withColumn("_fits", F.coalesce(T.fuzzy_match(F.col("want"), F.col("value")), F.lit(False))).withColumn("_kind", match_kind(F.col("field_id"), want, value)[0])
+    least = [F.min(F.when(F.col("status") == "found", c)).alias(n) for n, c in picks.items()]
+    return rows.groupBy("entry", "field_id").agg(F.max(F.col("want").isNotNull()).alias("_expected"), *least)
+
 
-    All but the last select for expected fields only.  One pass serves all strategies.
+def oracle_scores(candidates: DataFrame) -> DataFrame:
+    """:func:`strategy_scores` of each oracle of ORACLES over candidates (entry, field_id, pos, value, status, want): the
+    first found one, or for its fields the first that matches what is expected.  All but the last select for expected fields only.
     """
-    found = candidates.filter("status = 'found'")
-    want = expected.groupBy("entry", "field_id").agg(F.min("value").alias("_want"))
-    j = found.join(want, ["entry", "field_id"], "left")
-    fits = F.coalesce(T.fuzzy_match(F.col("_want"), F.col("value")), F.lit(False))
-    row = lambda miss: F.struct(miss.alias("miss"), F.col("pos").alias("pos"), F.col("value").alias("value"))
-    g = j.groupBy("entry", "field_id").agg(F.min(row(~fits)).alias("_fit"), F.min(row(F.lit(False))).alias("_first"), F.max(F.col("_want").isNotNull()).alias("_expected"))
-    picks = []
+    row = lambda *c: F.struct(*c, "pos", "_kind")
+    g = _judged(candidates, _fit=row((~F.col("_fits")).alias("miss")), _first=row())
+    picks = {}
     for name, fields in ORACLES.items():
         free = F.lit(True) if fields is None else F.col("field_id").isin(*fields) if fields else F.lit(False)
-        taken = F.lit(True) if fields == () else F.col("_expected")
-        picks.append(F.when(taken, F.struct(F.lit(name).alias("strategy"), F.when(free, F.col("_fit")).otherwise(F.col("_first")).alias("p"))))
-    one = g.select("entry", "field_id", F.explode(F.array_compact(F.array(*picks))).alias("s"))
-    return one.select("s.strategy", "entry", "field_id", F.col("s.p.pos").alias("pos"), F.col("s.p.value").alias("value"), F.lit("found").alias("status"))
+        kind = F.when(free, F.col("_fit._kind")).otherwise(F.col("_first._kind"))
+        picks[name] = kind if fields == () else F.when(F.col("_expected"), kind)
+    return strategy_scores(g, picks)
 
 
 #: Ablations: how the two tracks' candidates become one answer.
 ABLATIONS = ("original_only", "translated_only", "first_found", "best_score")
 
 
-def ablated_items(candidates: DataFrame) -> DataFrame:
-    """(strategy, entry, field_id, pos, value, status): the answer of each strategy of ABLATIONS for each field, of
-    candidates (entry, field_id, track, pos, value, status, score)."""
-    found = candidates.filter("status = 'found'")
-    original = F.when(F.col("track") == "original", 0).otherwise(1)
-    parts = [
-        top_one(found.filter("track = 'original'"), ["entry", "field_id"], [F.asc("pos")]).withColumn("strategy", F.lit(ABLATIONS[0])),
-        top_one(found.filter("track = 'translated'"), ["entry", "field_id"], [F.asc("pos")]).withColumn("strategy", F.lit(ABLATIONS[1])),
-        top_one(found, ["entry", "field_id"], [original, F.asc("pos")]).withColumn("strategy", F.lit(ABLATIONS[2])),
-        top_one(found, ["entry", "field_id"], [F.desc("score"), original, F.asc("pos")]).withColumn("strategy", F.lit(ABLATIONS[3])),
-    ]
-    columns = ["strategy", "entry", "field_id", "pos", "value", "status"]
-    out = parts[0].select(*columns)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*columns))
-    return out
-
-
-def strategy_scores(expected: DataFrame, items: DataFrame) -> DataFrame:
-    """tp, fp, fn and precision, recall, f1 of each strategy's items against expected (entry, field_id, value)."""
-    names = items.select("strategy").distinct()  # a handful
-    want = expected.join(F.broadcast(names)).withColumn("entry", F.struct("strategy", "entry")).drop("strategy")
-    graded = compare_fields(want, items.withColumn("entry", F.struct("strategy", "entry")))
-    graded = graded.select("entry.strategy", F.when(F.col("match_type") == "field_normalized", "normalized").otherwise(F.col("match_type")).alias("match_type"), F.size("extra_values").alias("extra"))
-    return E.prf1(E.field_outcomes(graded, ["strategy"]))
+def ablation_scores(candidates: DataFrame) -> DataFrame:
+    """:func:`strategy_scores` of each strategy of ABLATIONS over candidates (entry, field_id, track, pos, value, status,
+    score, want)."""
+    original, score = F.when(F.col("track") == "original", 0).otherwise(1), F.col("score")
+    row = lambda *c: F.struct(*c, "pos", "_kind")
+    of = lambda t: F.when(F.col("track") == t, row())
+    best = row(score.isNull().alias("none"), (-score).alias("score"), original.alias("track"))
+    g = _judged(candidates, **dict(zip(ABLATIONS, (of("original"), of("translated"), row(original.alias("track")), best), strict=True)))
+    return strategy_scores(g, {name: F.col(f"{name}._kind") for name in ABLATIONS})
+
+
+def strategy_scores(fields: DataFrame, picks: dict[str, Column]) -> DataFrame:
+    """tp, fp, fn and precision, recall, f1 of each strategy over fields (_expected, ...): a strategy's pick is how its one
+    value matches, null if it has none.  Strategies without any value have no row.
+    """
+    counts = []
+    for name, kind in picks.items():
+        given, hit = F.col("_expected") & kind.isNotNull(), kind.isin("exact", "fuzzy", "field_normalized")
+        counts += [F.count(kind), F.count_if(given & hit), F.count_if(given & ~hit), F.count_if(F.col("_expected") & kind.isNull())]
+    sums = fields.agg(*(c.alias(f"_{i}") for i, c in enumerate(counts)))
+    rows = [F.struct(F.lit(name).alias("strategy"), *(F.col(f"_{4 * i + k}").alias(n) for k, n in enumerate(("n", "tp", "fp", "fn")))) for i, name in enumerate(picks)]
+    return E.prf1(sums.select(F.explode(F.array(*rows)).alias("s")).select("s.*").filter("n > 0").drop("n"))
 
 
 def paired_report(df: DataFrame, reference: Column, compared: Column, reference_ok: Column, compared_ok: Column) -> DataFrame:
