@@ -92,3 +92,14 @@ def test_registered_query_covers_all_lines(spark):
     n = lines.filter(F.col("m").rlike(r"[^\s|]")).count()
     found = catalog.QUERIES["d29_log_templates"](spark, sf)
     assert found.agg(F.sum("n")).first()[0] == n
+
+
+def test_leaves_do_not_keep_texts_at_each_level(spark):
+    """Each level of the tree wrote all texts, and none was deleted: 28 times the input lay on disk or was shuffled."""
+    from evispark.sources import scratch
+
+    before = set(scratch._STORED)
+    rows = spark.createDataFrame([(f"line {w} of some {w} text", 1) for w in "abcdefghij"], "seq string, n long")
+    found = T.leaves(rows, 5, 100)
+    assert found.count() == 10 and len(set(scratch._STORED) - before) == 1
+    assert {r["leaf"] for r in found.collect()} == {f"6 line {w} of" for w in "abcdefghij"}
